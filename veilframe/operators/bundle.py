@@ -114,10 +114,17 @@ def record_lines(tables: Mapping[str, DataFrame]) -> DataFrame:
     return out
 
 
-def pack_parts(lines: DataFrame, line: Column, max_bytes: int | str, base: str, suffix: str = ".jsonl") -> DataFrame:
-    """Lines in input order to parts; a group never holds more than one part's bytes and one line."""
-    sized = lines.select(line.alias("line"))
-    parts = assign_parts(sized, F.octet_length("line") + 1, max_bytes, base)
+def pack_parts(
+    lines: DataFrame,
+    line: Column,
+    max_bytes: int | str,
+    base: str,
+    suffix: str = ".jsonl",
+    order_by: list[str] | None = None,
+) -> DataFrame:
+    """Lines to parts, in input order or sorted; a group never holds more than one part's bytes and one line."""
+    sized = lines.select(line.alias("line"), *[c for c in order_by or [] if c != "line"])
+    parts = assign_parts(sized, F.octet_length("line") + 1, max_bytes, base, order_by)
     ordered = F.sort_array(F.collect_list(F.struct("__row", "line")))
     text = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
     return (

@@ -184,9 +184,11 @@ def classify_columns(columns: DataFrame) -> DataFrame:
     )
 
 
-def classification_summary(classified: DataFrame) -> DataFrame:
-    """Columns per rule kind and per key kind with their counts, and the totals."""
-    full = F.concat("table", F.lit("."), "column")
+def classification_summary(classified: DataFrame, lists: bool = True) -> DataFrame:
+    """Columns per rule kind and per key kind with their counts, and the totals.
+
+    `lists` also names the columns of each group; leave it out where the catalog itself is large data.
+    """
     groups = F.explode(
         F.filter(
             F.array(
@@ -196,11 +198,13 @@ def classification_summary(classified: DataFrame) -> DataFrame:
             lambda g: g.isNotNull(),
         )
     )
+    full = F.concat("table", F.lit("."), "column")
     rows = classified.select(groups.alias("group"), full.alias("full"))
-    listed = F.when(F.col("group").startswith("total:"), F.lit(None)).otherwise(F.col("full"))
-    return rows.groupBy("group").agg(
-        F.count(F.lit(1)).alias("n_columns"), F.array_join(F.sort_array(F.collect_set(listed)), ", ").alias("columns")
-    )
+    counts = [F.count(F.lit(1)).alias("n_columns")]
+    if lists:
+        listed = F.when(~F.col("group").startswith("total:"), F.col("full"))
+        counts.append(F.array_join(F.sort_array(F.collect_set(listed)), ", ").alias("columns"))
+    return rows.groupBy("group").agg(*counts)
 
 
 def rules_from_classification(classified: DataFrame, base: RuleSet | None = None) -> RuleSet:
