@@ -116,10 +116,10 @@ def _unquoted(c: Column) -> Column:
 def table_of(statements: DataFrame, table: str, schema: T.StructType) -> DataFrame:
     """Text rows of one table of a dump; give them to `split_rejects` for typed rows."""
     rows = statements.filter(F.col("table") == table.lower())
-    pairs = F.map_from_arrays("columns", "values")
     out = []
     for f in schema.fields:
-        text = _unquoted(F.element_at(pairs, F.lit(f.name)))
+        at = F.array_position("columns", f.name).cast("int") - 1
+        text = _unquoted(F.get("values", at))
         if isinstance(f.dataType, T.BinaryType):
             text = F.unhex(F.regexp_replace(text, r"^\\x", ""))
         elif not isinstance(f.dataType, T.StringType):

@@ -172,11 +172,11 @@ def constraint_ddl(spark, sf):
 
 # column catalogs read from part names: plural tables, junction tables, key and value columns
 _NAMES_SQL = (
-    "(SELECT DISTINCT t AS \"table\", c AS \"column\" FROM (SELECT unnest(["
+    "(SELECT DISTINCT x.t AS \"table\", x.c AS \"column\" FROM (SELECT unnest(["
     "{{'t': b || 's', 'c': b || '_id'}}, {{'t': b || 's', 'c': a || '_id'}}, {{'t': b || 's', 'c': a || '_name'}}, "
     "{{'t': a || '_' || b, 'c': a || '_id'}}, {{'t': a || '_' || b, 'c': b || '_id'}}, {{'t': a || '_' || b, 'c': lower(p_type) || '_price'}}, "
     "{{'t': lower(p_type), 'c': 'pk_' || lower(p_type)}}, {{'t': lower(p_type), 'c': ['email', 'ssn', 'cvv', 'dob', 'user_name', 'uuid', 'tenant_id', 'notes'][p_partkey % 8 + 1]}}"
-    "]) AS x, x.t AS t, x.c AS c FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)))"
+    "]) AS x FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)))"
 ).replace("{{", "{").replace("}}", "}")
 
 
