@@ -25,7 +25,7 @@ def observe_counts(df: DataFrame, name: str | None = None, kept: Column | None =
 
 @dataclass
 class Ledger:
-    """Appends entries below `path`; each append is one small file."""
+    """Appends entries below `path`, each in a folder of its own, so that jobs may append at the same time."""
 
     spark: SparkSession
     path: str
@@ -35,7 +35,8 @@ class Ledger:
     def append(self, step: str, status: str, started: dt.datetime, read=None, written=None, error: str | None = None):
         ended = dt.datetime.now(dt.timezone.utc) if status != "RUNNING" else None
         row = (self.run_id, self.kind, step, status, read, written, error, started, ended)
-        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
+        entry = f"{self.path}/entry-{uuid.uuid4().hex}"
+        self.spark.createDataFrame([row], SCHEMA).coalesce(1).write.parquet(entry)
 
     def run(self, step: str, action, observation: Observation | None = None) -> bool:
         """Run one step and record how it went; an error is recorded, not raised, so other steps go on."""
@@ -51,7 +52,7 @@ class Ledger:
         return True
 
     def entries(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(self.path)
+        return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", "true").parquet(self.path)
 
 
 def history(*runs: DataFrame) -> DataFrame:
