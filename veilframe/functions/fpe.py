@@ -227,8 +227,9 @@ def hash_token(c: Column, key: str) -> Column:
 _DIGITS = (48, 57)
 _ROUNDS = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_LONG_ROW = 48
 # characters encrypted per batch of equal-length strings, bounds the work arrays
-_CHUNK = 1 << 20
+_CHUNK = 1 << 16
 
 # Alphabets, each a sequence of character ranges in digit order.
 ALPHABETS = {
@@ -246,7 +247,7 @@ _LISTS = {
     for name, ranges in ALPHABETS.items()
 }
 # Blocks of other scripts, permuted among themselves (first code point, size).
-_BLOCKS = [(0xA0, 0x60), (0x4E00, 0x5200), (0xAC00, 0x2BA4)]
+_BLOCKS = [(0xA0, 0x60), (0x4E00, 0x5200), (0xAC00, 0x2B80)]
 
 
 def _uint64_mix(x: np.ndarray) -> np.ndarray:
@@ -255,73 +256,111 @@ def _uint64_mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _round_keys(key: str) -> list[np.uint64]:
-    raw = b"".join(hashlib.sha256(f"veil.text|{i}|{key}".encode()).digest() for i in range(_ROUNDS))
-    return [np.uint64(int.from_bytes(raw[32 * i : 32 * i + 8], "big")) for i in range(_ROUNDS)]
+def _round_keys(key: str) -> list[bytes]:
+    return [hashlib.sha256(f"veil.text|{i}|{key}".encode()).digest() for i in range(_ROUNDS)]
 
 
-def _keystream(source: np.ndarray, width: int, k: np.uint64) -> np.ndarray:
-    """A (rows, width) block of 64-bit numbers that depends on every digit of each source row and on the key."""
-    places = _uint64_mix(np.arange(1, source.shape[1] + 1, dtype=np.uint64) * _M2 + k)
-    state = _uint64_mix((source.astype(np.uint64) + np.uint64(1)) * places).sum(axis=1, dtype=np.uint64)
-    state = _uint64_mix(state ^ k)
-    return _uint64_mix(state[:, None] + np.arange(1, width + 1, dtype=np.uint64) * _M1)
+def _row_states(source: np.ndarray, key: bytes) -> np.ndarray:
+    """A 64-bit number per row that depends on every digit and on the key.
 
+    Long rows are hashed one by one, short ones all together with key-dependent odd weights.
+    """
+    if source.shape[1] >= _LONG_ROW:
+        rows = np.ascontiguousarray(source)
+        digests = b"".join(hashlib.blake2b(row, digest_size=8, key=key).digest() for row in rows)
+        return np.frombuffer(digests, dtype="<u8")
+    k = np.uint64(int.from_bytes(key[:8], "big"))
+    places = _uint64_mix(np.arange(1, source.shape[1] + 1, dtype=np.uint64) * _M2 + k) | np.uint64(1)
+    return (source.astype(np.uint64) + np.uint64(1)) @ places ^ k
 
-def _digits_and_radix(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
-    """Per character: its digit, the size of its alphabet, and how to turn digits back into characters."""
-    n, width = codes.shape
+
+def _draw(source: np.ndarray, radix: np.ndarray, key: bytes) -> np.ndarray:
+    """One digit per cell of `radix`, from the states of the rows of `source`."""
+    width = radix.shape[1]
+    words = np.arange(1, (width + 1) // 2 + 1, dtype=np.uint64) * _M1
+    halves = _uint64_mix(_row_states(source, key)[:, None] + words).view(np.uint32)[:, :width]
+    scaled = np.multiply(halves, radix, dtype=np.uint64)
+    return (scaled >> np.uint64(32)).astype(np.uint32)
+
+
+def _add(digits: np.ndarray, draw: np.ndarray, radix: np.ndarray) -> np.ndarray:
+    draw += digits
+    np.subtract(draw, radix, out=draw, where=draw >= radix)
+    return draw
+
+
+# Classes of text, the first that fits counts; `hex` needs exactly 24 characters.
+_CLASSES = ("digits", "hex_lower", "hex_upper", "upper_digits", "lower_digits", "letters", "alphanumeric")
+
+
+def _class_ids(codes: np.ndarray) -> np.ndarray:
+    """Position of each row's class in `_CLASSES`, or its length for any other text."""
     is_digit = (codes >= 48) & (codes <= 57)
     is_upper = (codes >= 65) & (codes <= 90)
     is_lower = (codes >= 97) & (codes <= 122)
-    has = {
-        "digits": is_digit.all(axis=1),
-        "upper_digits": (is_digit | is_upper).all(axis=1),
-        "lower_digits": (is_digit | is_lower).all(axis=1),
-        "letters": (is_upper | is_lower).all(axis=1),
-        "alphanumeric": (is_digit | is_upper | is_lower).all(axis=1),
+    is_letter = is_upper | is_lower
+    fits = {
+        "digits": is_digit, "upper_digits": is_digit | is_upper, "lower_digits": is_digit | is_lower,
+        "letters": is_letter, "alphanumeric": is_digit | is_letter,
     }
-    if width == 24:
-        has["hex_lower"] = (is_digit | ((codes >= 97) & (codes <= 102))).all(axis=1)
-        has["hex_upper"] = (is_digit | ((codes >= 65) & (codes <= 70))).all(axis=1)
-    value = np.zeros((n, width), dtype=np.uint64)
-    radix = np.ones((n, width), dtype=np.uint64)
-    decoders, left = [], np.ones(n, dtype=bool)
-    for name in ("digits", "hex_lower", "hex_upper", "upper_digits", "lower_digits", "letters", "alphanumeric"):
-        if name not in has:
+    if codes.shape[1] == 24:
+        fits["hex_lower"] = is_digit | ((codes >= 97) & (codes <= 102))
+        fits["hex_upper"] = is_digit | ((codes >= 65) & (codes <= 70))
+    ids = np.full(len(codes), len(_CLASSES))
+    for i in range(len(_CLASSES) - 1, -1, -1):
+        if _CLASSES[i] in fits:
+            ids[fits[_CLASSES[i]].all(axis=1)] = i
+    return ids
+
+
+def _digits_and_radix(codes: np.ndarray, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+    """Per character: its digit, the size of its alphabet, and how to turn digits back into characters."""
+    value = np.zeros(codes.shape, dtype=np.uint32)
+    radix = np.ones(codes.shape, dtype=np.uint32)
+    decoders = []
+    for i in np.unique(classes):
+        rows = classes == i
+        if i < len(_CLASSES):
+            letters = _LISTS[_CLASSES[i]]
+            value[rows] = np.searchsorted(letters, codes[rows])
+            radix[rows] = len(letters)
+            decoders.append((np.broadcast_to(rows[:, None], codes.shape), letters, None))
             continue
-        rows = left & has[name]
-        left &= ~rows
-        if rows.any():
-            letters = _LISTS[name]
-            value[rows] = np.searchsorted(letters, codes[rows]).astype(np.uint64)
-            radix[rows] = np.uint64(len(letters))
-            decoders.append((rows[:, None] & np.ones(width, dtype=bool), letters, None))
-    if left.any():
-        rest = left[:, None]
-        spans = [(32, 95)] + _BLOCKS
-        open_cells = rest & (codes >= 32) & (codes != 127)
-        for first, size in spans:
+        open_cells = rows[:, None] & (codes >= 32) & (codes != 127)
+        for first, size in [(32, 95)] + _BLOCKS:
             cells = open_cells & (codes >= first) & (codes < first + size)
             if cells.any():
-                value[cells] = codes[cells].astype(np.uint64) - np.uint64(first)
-                radix[cells] = np.uint64(size)
+                value[cells] = codes[cells] - np.uint32(first)
+                radix[cells] = size
                 decoders.append((cells, None, first))
                 open_cells &= ~cells
-        # any other script: pages of 64 code points; control characters (radix one) keep their place
+        # any other script: pages of 64 code points; control characters (alphabet of one) keep their place
         cells = open_cells & (codes >= 256)
         if cells.any():
-            value[cells] = codes[cells].astype(np.uint64) & np.uint64(63)
-            radix[cells] = np.uint64(64)
+            value[cells] = codes[cells] & np.uint32(63)
+            radix[cells] = 64
             decoders.append((cells, None, codes & ~np.uint32(63)))
     return value, radix, decoders
 
 
-def encrypt_codes(codes: np.ndarray, key: str) -> np.ndarray:
-    """Encrypt equal-length strings given as a (rows, length) array of code points."""
-    value, radix, decoders = _digits_and_radix(codes)
+def encrypt_codes(codes: np.ndarray, key: str, round_keys: list[bytes]) -> np.ndarray:
+    """Encrypt equal-length strings given as a (rows, length) array of code points.
+
+    The alphabets overlap, so a result may look like another class; such a row is encrypted again until it has its
+    class back. That walk along the permutation's cycle keeps all texts apart, not just those of one class.
+    """
+    classes = _class_ids(codes)
+    out = _permute_codes(codes, classes, key, round_keys)
+    astray = np.flatnonzero(_class_ids(out) != classes)
+    while len(astray):
+        out[astray] = _permute_codes(out[astray], classes[astray], key, round_keys)
+        astray = astray[_class_ids(out[astray]) != classes[astray]]
+    return out
+
+
+def _permute_codes(codes: np.ndarray, classes: np.ndarray, key: str, round_keys: list[bytes]) -> np.ndarray:
+    value, radix, decoders = _digits_and_radix(codes, classes)
     width = codes.shape[1]
-    keys = _round_keys(key)
     if width == 1:
         # a one-character string: a keyed permutation of its alphabet
         shuffled = np.zeros_like(value)
@@ -333,32 +372,32 @@ def encrypt_codes(codes: np.ndarray, key: str) -> np.ndarray:
         cut = width // 2
         left, right = value[:, :cut], value[:, cut:]
         radix_left, radix_right = radix[:, :cut], radix[:, cut:]
-        for i, k in enumerate(keys):
+        for i, k in enumerate(round_keys):
             if i % 2 == 0:
-                left = (left + _keystream(right, cut, k) % radix_left) % radix_left
+                left = _add(left, _draw(right, radix_left, k), radix_left)
             else:
-                right = (right + _keystream(left, width - cut, k) % radix_right) % radix_right
+                right = _add(right, _draw(left, radix_right, k), radix_right)
         value = np.concatenate([left, right], axis=1)
     out = codes.copy()
     for cells, letters, base in decoders:
         digits = value[cells]
         if letters is not None:
-            out[cells] = letters[digits.astype(np.int64)]
+            out[cells] = letters[digits]
         elif isinstance(base, int):
-            out[cells] = (digits + np.uint64(base)).astype(np.uint32)
+            out[cells] = digits + np.uint32(base)
         else:
-            out[cells] = (base[cells].astype(np.uint64) + digits).astype(np.uint32)
+            out[cells] = base[cells] + digits
     return out
 
 
 def _small_table(radix: int, key: str) -> np.ndarray:
     draws = [hashlib.sha256(f"veil.char|{radix}|{i}|{key}".encode()).digest() for i in range(radix)]
-    return np.argsort(np.array([int.from_bytes(d[:7], "big") for d in draws])).astype(np.uint64)
+    return np.argsort(np.array([int.from_bytes(d[:7], "big") for d in draws])).astype(np.uint32)
 
 
 def encrypt_texts(values: list, key: str) -> list:
     """Encrypt a list of texts (None and '' pass through), grouped by length."""
-    out = list(values)
+    out, round_keys = list(values), _round_keys(key)
     lengths = np.fromiter((len(v) if v else 0 for v in values), dtype=np.int64, count=len(values))
     order = np.argsort(lengths, kind="stable")
     at = int(np.searchsorted(lengths[order], 1))
@@ -369,7 +408,7 @@ def encrypt_texts(values: list, key: str) -> list:
         rows = order[at:end]
         joined = "".join(values[r] for r in rows)
         codes = np.frombuffer(joined.encode("utf-32-le"), dtype=np.uint32).reshape(len(rows), width)
-        text = encrypt_codes(codes, key).astype("<u4").tobytes().decode("utf-32-le")
+        text = encrypt_codes(codes, key, round_keys).astype("<u4").tobytes().decode("utf-32-le")
         for i, r in enumerate(rows):
             out[r] = text[i * width : (i + 1) * width]
         at = end
@@ -457,6 +496,15 @@ def fpe(
     return c
 
 
+def _null_with(c: Column, masked: Column, dtype: T.DataType) -> Column:
+    """`masked` where `c` is present.
+
+    Said this way, a not-null test on the masked column (every join on it adds one) reduces to a not-null test on `c`,
+    which the scan can take, instead of a copy of the whole network.
+    """
+    return F.when(c.isNotNull(), F.coalesce(masked, F.lit(1).cast(dtype)))
+
+
 def fpe_column(
     c: Column,
     dtype: T.DataType,
@@ -471,11 +519,11 @@ def fpe_column(
         return fpe_uuid(c, key)
     if isinstance(dtype, T.IntegralType):
         own = {T.ByteType: "byte", T.ShortType: "short", T.IntegerType: "int", T.LongType: "long"}[type(dtype)]
-        return fpe_int(c, domain or own, key, permuter).cast(dtype)
+        return _null_with(c, fpe_int(c, domain or own, key, permuter).cast(dtype), dtype)
     if isinstance(dtype, T.DecimalType):
-        return fpe_decimal(c, dtype.precision, dtype.scale, key, permuter)
+        return _null_with(c, fpe_decimal(c, dtype.precision, dtype.scale, key, permuter), dtype)
     if isinstance(dtype, T.FractionalType):
-        return fpe_fraction(c, dtype, key, permuter)
+        return _null_with(c, fpe_fraction(c, dtype, key, permuter), dtype)
     if isinstance(dtype, T.BooleanType):
         return fpe_bool(c, key)
     if isinstance(dtype, T.StringType):
