@@ -127,3 +127,13 @@ def test_decimal_pairs_stay_distinct(spark):
     out = mask_table(df, "t", RuleSet(key=KEY, constraint=("d",)))
     assert isinstance(out.schema["d"].dataType, T.DecimalType)
     assert out.distinct().count() == 29_900
+
+
+def test_sql_names_agree_with_columns(spark):
+    from veilframe.functions.sql import register_functions
+
+    assert "mask_text" in register_functions(spark, KEY)
+    spark.createDataFrame([("Ann", 5), (None, None)], "s string, n smallint").createOrReplaceTempView("sql_names")
+    df = spark.sql("SELECT s, n, mask_text(s) AS t, mask_smallint(n) AS m FROM sql_names")
+    same = df.select("t", "m", fpe.fpe_text(F.col("s"), KEY).alias("t2"), fpe.fpe_int(F.col("n"), "short", KEY).alias("m2"))
+    assert same.filter("t <=> t2 AND m <=> m2").count() == 2

@@ -279,9 +279,8 @@ def find_parts(files: DataFrame, start: str | None = None, prefix: str | None =
         stem = start[: marked.end()] if marked else None
         return order_parts(files.filter(F.col("name").startswith(stem) if stem else F.col("name") == start))
     if prefix:
-        hits = files.withColumn("__hit", lower.startswith(prefix.lower()))
-        any_hit = F.max("__hit").over(Window.partitionBy(F.lit(1)))  # a file listing, not data
-        files = hits.withColumn("__any", any_hit).filter(F.col("__hit") | ~F.col("__any")).drop("__hit", "__any")
+        hits = files.filter(lower.startswith(prefix.lower()))
+        files = files if hits.isEmpty() else hits
     return order_parts(files)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -214,10 +214,9 @@ def running_total(df: DataFrame, column: str, order_by: list[str], out: str) ->
 
 
 def key_column_count(columns: DataFrame) -> DataFrame:
-    """Adds the number of `_id` columns of each row's table."""
-    ids = F.count_if(F.lower("column").endswith("_id")).over(Window.partitionBy("table"))
-    return columns.withColumn("n_id_columns", ids)
+    """Adds the number of `_id` columns of each row's table.
 
-
-def quoted(c: str) -> Column:
-    return F.col(f"`{c}`")
+    A combinable count joined back: unlike a window it never gathers one table's rows in a task.
+    """
+    ids = columns.groupBy("table").agg(F.count_if(F.lower("column").endswith("_id")).alias("n_id_columns"))
+    return columns.join(ids, "table")

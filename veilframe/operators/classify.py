@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.operators.catalog import key_column_count
 from veilframe.plans.rules import RuleSet
 
 # Fixed values: (category, rule, provider, confidence, name test, reason), first full match wins, case is ignored.
@@ -139,16 +140,12 @@ def name_rule(column: Column) -> Column:
 
 
 def classify_columns(columns: DataFrame) -> DataFrame:
-    """`(table, column)` rows to the classified ones: category, rule, confidence, key kind, target, reason.
-
-    Counting the `_id` columns of a table is a combinable aggregate joined back, not a window over the table's rows.
-    """
-    named = columns.withColumns({"__t": F.lower(F.trim("table")), "__c": F.lower(F.trim("column"))})
-    ids = named.groupBy("table").agg(F.count_if(F.col("__c").endswith("_id")).alias("__ids"))
-    rows = infer_parent(named.join(ids, "table"))
+    """`(table, column)` rows to the classified ones: category, rule, confidence, key kind, target, reason."""
+    named = key_column_count(columns).withColumns({"__t": F.lower(F.trim("table")), "__c": F.lower(F.trim("column"))})
+    rows = infer_parent(named)
     t, c = F.col("__t"), F.col("__c")
     kind = (
-        F.when(is_mapping_column(t, c, F.col("__ids")), "TABLE_MAPPING")
+        F.when(is_mapping_column(t, c, F.col("n_id_columns")), "TABLE_MAPPING")
         .when(is_primary_key(t, c), "PRIMARY_KEY")
         .when(is_foreign_key(t, c), "FOREIGN_KEY")
         .when(is_unique_key(c), "UNIQUE_KEY")

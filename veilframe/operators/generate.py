@@ -194,6 +194,7 @@ def gen_composite_key(
         total *= count
     if n > total:
         raise ValueError(f"{n} rows do not fit into {total} key combinations")
+    total = min(total, 2**62)  # what a long can number; still more than any row count
     out = rows.withColumn("__combo", permute(F.col("seq") - 1, total, key, "composite"))
     rest = F.col("__combo")
     for column, (table, count) in parents.items():

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions import formats, fpe, partial, synthetic, tokens
+from veilframe.functions.sql import register_functions
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.nested import mask_array, mask_docs, mask_json
 from veilframe.plans.rules import RuleSet
@@ -593,3 +594,22 @@ def token_roundtrip(spark, sf):
         "conv_id", "turn", tokens.detokenize(F.col("token"), KEY, "salt").alias("v"),
         (F.col("token") != F.col("text")).alias("hidden"), tokens.detokenize_number(F.col("number"), KEY, "s").alias("n"),
     )
+
+
+@query(
+    "sql_functions",
+    f"SELECT c_custkey, k1 AS k, CAST(k2 AS INTEGER) AS n, {_LAST4_X.format(c='c_name')} AS l, "
+    f"'ENC_' || substr(sha256('{KEY}|token|' || c_mktsegment), 1, 16) AS t FROM "
+    + s.feistel(
+        s.feistel("customer", "c_custkey", 1, 9223372036854775806, "int.long", "k1"),
+        "c_nationkey", 1, 2147483647, "int.int", "k2",
+    ),
+)
+def sql_functions(spark, sf):
+    """The same functions called from SQL text."""
+    register_functions(spark, KEY)
+    table(spark, sf, "customer").createOrReplaceTempView("veil_customer")
+    return spark.sql(
+        "SELECT c_custkey, mask_bigint(c_custkey) AS k, mask_int(c_nationkey) AS n, mask_last4(c_name) AS l, "
+        "mask_token(c_mktsegment) AS t FROM veil_customer"
+    )
