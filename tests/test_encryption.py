@@ -137,3 +137,11 @@ def test_sql_names_agree_with_columns(spark):
     df = spark.sql("SELECT s, n, mask_text(s) AS t, mask_smallint(n) AS m FROM sql_names")
     same = df.select("t", "m", fpe.fpe_text(F.col("s"), KEY).alias("t2"), fpe.fpe_int(F.col("n"), "short", KEY).alias("m2"))
     assert same.filter("t <=> t2 AND m <=> m2").count() == 2
+
+
+def test_array_elements_encrypt_like_columns(spark):
+    from veilframe.plans.nested import mask_json
+
+    df = spark.range(1, 400).select(F.col("id").cast("int").alias("k"), F.array(F.col("id").cast("int"), F.lit(None).cast("int")).alias("a"))
+    out = mask_json(df, "t", RuleSet(key=KEY, constraint=("k", "a")))
+    assert out.filter("a[0] <> k OR a[1] IS NOT NULL OR size(a) <> 2").count() == 0

@@ -94,7 +94,7 @@ def test_preview_of_an_empty_table(spark):
     df = spark.createDataFrame([], "id int, email string, first_name string, notes string")
     shown = preview.preview(df, "t", RuleSet(key=KEY), 20)
     rows = shown.after.collect()
-    assert len(rows) == 10 and rows[0].id == "1001" and rows[0].email == "user1@enterprise.com" and rows[0].notes == "Sample notes 1"
+    assert len(rows) == 10 and rows[0].id == "1001" and rows[0].email == "user1@example.com" and rows[0].notes == "Sample notes 1"
 
 
 def test_checks_find_what_is_wrong(spark):

@@ -136,6 +136,36 @@ def permute_range(c: Column, lo: int, hi: int, key: str, label: str = "") -> Col
     return permute(_index(c, lo, hi, key, label), hi - lo + 1, key, label) + F.lit(lo).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is computed once; for use inside array functions, where columns cannot be bound."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def permute_element(c: Column, lo: int, hi: int, key: str, label: str = "") -> Column:
+    """The same bijection for elements of an array: each half round is bound by a one-element array."""
+    size = hi - lo + 1
+    if size == 1:
+        return F.when(c.isNotNull(), F.lit(lo).cast("long"))
+    constants = round_constants(key, label)
+    a, b = (F.lit(x).cast("long") for x in split_domain(size))
+
+    def step(i: int, s: Column) -> Column:
+        left, right = s.getField("l"), s.getField("r")
+        if i == HALF_ROUNDS:
+            return let(left * b + right, lambda out: walk_table(out, size, constants) + F.lit(lo))
+        c6 = [F.lit(x).cast("long") for x in constants[i]]
+        if i % 2 == 0:
+            left = (left + mix(right, c6)) % a
+        else:
+            right = (right + mix(left, c6)) % b
+        return let(F.struct(left.alias("l"), right.alias("r")), lambda t: step(i + 1, t))
+
+    def halves(i: Column) -> Column:
+        return let(F.struct(int_div(i, b).alias("l"), (i % b).alias("r")), lambda t: step(0, t))
+
+    return let(_index(c, lo, hi, key, label), halves)
+
+
 class BoundPermuter:
     """The same bijection with one bound column per half round, so plans with many keys stay small."""
 
@@ -226,7 +256,7 @@ def hash_token(c: Column, key: str) -> Column:
 
 _DIGITS = (48, 57)
 _ROUNDS = 8
-_M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+_M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _LONG_ROW = 48
 # characters encrypted per batch of equal-length strings, bounds the work arrays
 _CHUNK = 1 << 16
@@ -251,9 +281,9 @@ _BLOCKS = [(0xA0, 0x60), (0x4E00, 0x5200), (0xAC00, 0x2B80)]
 
 
 def _uint64_mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _M1
-    x = (x ^ (x >> np.uint64(27))) * _M2
-    return x ^ (x >> np.uint64(31))
+    x = (x ^ (x >> np.uint64(33))) * _M1
+    x = (x ^ (x >> np.uint64(33))) * _M2
+    return x ^ (x >> np.uint64(33))
 
 
 def _round_keys(key: str) -> list[bytes]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import datetime as dt
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
@@ -41,20 +41,12 @@ def default_value(value: str | None, dtype: T.DataType) -> Column:
         if isinstance(dtype, T.BooleanType):
             return F.lit(text.lower() == "true")
         if isinstance(dtype, (T.DateType, T.TimestampType, T.TimestampNTZType)):
-            return F.try_to_timestamp(F.lit(text)).cast(dtype)
+            return F.lit(dt.datetime.fromisoformat(text).replace(tzinfo=None).isoformat(" ")).cast(dtype)
     except (ValueError, InvalidOperation):
         return F.lit(value)
     return F.lit(value)
 
 
-def is_uuid_text(text: str) -> bool:
-    try:
-        uuid.UUID(text)
-        return True
-    except ValueError:
-        return False
-
-
 def keep_last4(c: Column, fill: str = "X", mask_short: bool = False) -> Column:
     """All but the last four characters replaced; short values stay, or are filled with `mask_short`."""
     n = F.length(c)

@@ -117,7 +117,7 @@ def key_capacity(col: GenColumn) -> int | None:
     if kind == "text" and 0 < col.size <= 5:
         return {1: 26, 2: 936}.get(col.size, 36**col.size)
     if kind == "text" and col.size:
-        room = col.size - (len("user@bnp.com") if "email" in col.name.lower() else len(col.name) + 1)
+        room = col.size - (len("user@example.com") if "email" in col.name.lower() else len(col.name) + 1)
         return 10 ** max(room, 0) - 1
     return None
 
@@ -147,7 +147,7 @@ def gen_key(seq: Column, col: GenColumn, n: int, key: str = "generate") -> Colum
     if 0 < col.size <= 5:
         return short_code(seq, col.size)
     if "email" in name:
-        return F.concat(F.lit("user"), seq.cast("string"), F.lit("@bnp.com"))
+        return F.concat(F.lit("user"), seq.cast("string"), F.lit("@example.com"))
     return F.concat(F.lit(col.name.upper() + "_"), seq.cast("string"))
 
 
@@ -205,7 +205,7 @@ def gen_composite_key(
 
 def unused_combinations(candidates: DataFrame, existing: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The first `n` candidate rows (by `seq`) whose key columns the existing table does not hold."""
-    free = candidates.join(existing.select(*columns), columns, "left_anti")
+    free = candidates.join(existing.select(*columns).distinct(), columns, "left_anti")
     return indexed(free, ["seq"]).filter(F.col("idx") < n).drop("idx")
 
 

@@ -23,12 +23,13 @@ def check_unique(df: DataFrame, columns: list[str], primary: bool = False) -> Da
 def check_foreign_key(child: DataFrame, child_columns: list[str], parent: DataFrame, parent_columns: list[str]) -> DataFrame:
     """Child keys without a parent, with how many rows carry each.
 
-    The child is reduced to its distinct keys before the join, so one hot key is a single row there.
+    Both sides are reduced to distinct keys before the join, so one hot key is a single row there; the reduction uses
+    the shuffle the join needs anyway.
     """
     complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in child_columns])
     keys = child.filter(complete).groupBy(*child_columns).agg(F.count(F.lit(1)).alias("n_rows"))
     parents = parent.select(*[F.col(p).alias(c) for c, p in zip(child_columns, parent_columns, strict=True)])
-    return keys.join(parents, child_columns, "left_anti")
+    return keys.join(parents.distinct(), child_columns, "left_anti")
 
 
 def check_not_null(df: DataFrame, columns: list[str]) -> DataFrame:

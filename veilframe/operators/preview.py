@@ -52,7 +52,7 @@ def stand_in_value(name: str, i: Column) -> tuple[Column, T.DataType]:
     """A plausible value for a column name and a row number (from 1)."""
     c, text = name.lower(), i.cast("string")
     fixed: list[tuple[tuple[str, ...], Column]] = [
-        (("email",), F.concat(F.lit("user"), text, F.lit("@enterprise.com"))),
+        (("email",), F.concat(F.lit("user"), text, F.lit("@example.com"))),
         (("first_name", "fname"), F.lit("John")),
         (("last_name", "lname"), F.lit("Doe")),
         (("name",), F.concat(F.lit("User "), text)),

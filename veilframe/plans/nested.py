@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.fpe import BoundPermuter, permute_range
+from veilframe.functions.fpe import BoundPermuter, permute_element
 from veilframe.functions.hashing import Bindings
 from veilframe.plans.compiler import PROFILES, FieldPlan, Profile, _quoted, map_levels, max_length_of
 from veilframe.plans.rules import CMF, DEFAULT, NULL, SFD, RuleSet
@@ -45,7 +45,7 @@ class _Walker:
             self.rules, self.profile, self.table, path, dtype, max_length_of(field) if field else None,
             (field.metadata or {}).get("logical") if field else None, seed=F.lit(path), names=names,
             root=root if index else None, index=index, bindings=self.bindings,
-            permuter=permute_range if index else self.permuter,
+            permuter=permute_element if index else self.permuter,
         )
 
     def struct(self, c, dtype, path, root, index) -> Column:

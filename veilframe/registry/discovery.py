@@ -322,7 +322,7 @@ def preview_after(spark, sf):
 
 @query(
     "stand_in_values",
-    "SELECT c_custkey, CAST(c_custkey + 1000 AS INTEGER) AS order_id, 'user' || c_custkey || '@enterprise.com' AS email, "
+    "SELECT c_custkey, CAST(c_custkey + 1000 AS INTEGER) AS order_id, 'user' || c_custkey || '@example.com' AS email, "
     "'User ' || c_custkey AS nick_name, c_custkey * 250 + 5000.0::DOUBLE AS salary, TRUE AS is_open, 'Sample remark ' || c_custkey AS remark, "
     "strftime(make_date(CAST(1985 + c_custkey % 15 AS INTEGER), CAST(c_custkey % 12 + 1 AS INTEGER), CAST(c_custkey % 28 + 1 AS INTEGER)), '%Y-%m-%d') AS dob FROM customer",
 )

@@ -24,7 +24,7 @@ _SEQ = "(SELECT c_custkey + 1 AS seq FROM customer)"
 @query(
     "gen_keys",
     "SELECT seq, seq AS a, CAST(seq % 1000000 + 1 AS INTEGER) AS b, CAST(seq % 32000 + 1 AS SMALLINT) AS c, 'CODE_' || seq AS d, "
-    "'user' || seq || '@bnp.com' AS e, lpad(to_base(seq - 1, 36), 5, '0') AS f, DATE '2025-01-01' - CAST(seq % 7300 AS INTEGER) AS g, "
+    "'user' || seq || '@example.com' AS e, lpad(to_base(seq - 1, 36), 5, '0') AS f, DATE '2025-01-01' - CAST(seq % 7300 AS INTEGER) AS g, "
     f"TIMESTAMP '2025-01-01' - to_seconds(seq * 300) AS h, CAST(seq AS DECIMAL(12,2)) AS i, {s.hash_uuid('seq', 'j')} AS j FROM {_SEQ}",
 )
 def gen_keys(spark, sf):

@@ -73,7 +73,8 @@ def new_rows(df: DataFrame, target: DataFrame, keys: list[str], order_by: list[s
     complete = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
     order = F.struct(*(order_by or df.columns))
     first = df.filter(complete).groupBy(*keys).agg(F.min_by(F.struct(*df.columns), order).alias("__row"))
-    first = first.select("__row.*").join(target.select(*keys), keys, "left_anti").select(*df.columns)
+    held = target.select(*keys).distinct()  # shares the join's shuffle and shrinks a hot key
+    first = first.select("__row.*").join(held, keys, "left_anti").select(*df.columns)
     return first.unionByName(df.filter(~complete))
 
 
