@@ -5,6 +5,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from veilframe.functions.formats import parse_date_text
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.jobs import key_plan
 from veilframe.plans.rules import (
@@ -131,3 +132,17 @@ def test_default_values(spark):
     row = one(df, "t", defaults={"n": "42", "t.s": "null", "*.b": "false"})
     assert row == (42, None, False)
     assert one(df, "t", defaults={"n": "many"}).n == "many"
+
+
+def test_every_spelling_of_a_date(spark):
+    spelled = {
+        "2024-03-15": "2024-03-15 00:00:00", "2024-03-15T10:20": "2024-03-15 10:20:00", "2024-03-15T10:20:30.123456789Z": "2024-03-15 10:20:30",
+        "2024-03-15T10:20:30+02:00[Europe/Paris]": "2024-03-15 10:20:30", "2024-03-15 10:20:30.5": "2024-03-15 10:20:30",
+        "2024-03-15 10:20:30+02": "2024-03-15 10:20:30", "15/03/2024": "2024-03-15 00:00:00", "03/15/2024": "2024-03-15 00:00:00",
+        "04/03/2024": "2024-03-04 00:00:00", "2024/03/15": "2024-03-15 00:00:00", "15-03-2024": "2024-03-15 00:00:00",
+        "20240315": "2024-03-15 00:00:00", "31/04/2024": "2024-04-30 00:00:00", "2023-02-30": "2023-02-28 00:00:00",
+        " 2024-03-15 ": "2024-03-15 00:00:00", "2024-13-15": None, "2024": None, "soon": None, "2024-03-15 25:00:00": None,
+    }
+    df = spark.createDataFrame(list(spelled.items()), "text string, want string")
+    got = df.select("text", "want", F.date_format(parse_date_text(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("got")).collect()
+    assert {r.text: r.got for r in got} == spelled

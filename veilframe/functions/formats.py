@@ -18,32 +18,38 @@ from veilframe.functions.hashing import digit, int_div, keyed_hash, pick, random
 
 # ---------------------------------------------------------------- dates
 
+_MONTH, _DAY = r"(0[1-9]|1[0-2])", r"(0[1-9]|[12]\d|3[01])"
 # local date-time with an optional zone, which is dropped (the local clock time is what gets printed)
 _ISO_TEXT = (
-    r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2}(?::\d{2}(?:\.\d{1,6})?)?)\d{0,3}"
+    rf"^(\d{{4}}-{_MONTH}-){_DAY}(?:[T ](\d{{2}}:\d{{2}}(?::\d{{2}}(?:\.\d{{1,6}})?)?)\d{{0,3}}"
     r"(?:Z|[+-]\d{2}(?::?\d{2})?)?(?:\[[^\]]*\])?)?$"
 )
-# fixed values: the accepted day-only forms, tried in this order
+# The other accepted day forms with their year-month-day order, tried from the first.
 _DAY_FORMS = [
-    (r"^\d{2}/\d{2}/\d{4}$", "dd/MM/yyyy"),
-    (r"^\d{2}/\d{2}/\d{4}$", "MM/dd/yyyy"),
-    (r"^\d{4}/\d{2}/\d{2}$", "yyyy/MM/dd"),
-    (r"^\d{2}-\d{2}-\d{4}$", "dd-MM-yyyy"),
-    (r"^\d{8}$", "yyyyMMdd"),
+    (rf"^{_DAY}/{_MONTH}/(\d{{4}})$", "$3-$2-$1"),
+    (rf"^{_MONTH}/{_DAY}/(\d{{4}})$", "$3-$1-$2"),
+    (rf"^(\d{{4}})/{_MONTH}/{_DAY}$", "$1-$2-$3"),
+    (rf"^{_DAY}-{_MONTH}-(\d{{4}})$", "$3-$2-$1"),
+    (rf"^(\d{{4}}){_MONTH}{_DAY}$", "$1-$2-$3"),
 ]
 _PATTERN_LETTERS = set("GyuMLdEaHkKhmsSVzOXxZQqDF")
 
 
 def parse_date_text(c: Column) -> Column:
-    """Timestamp (no zone) of a text in any accepted form, NULL when none fits."""
+    """Timestamp (no zone) of a text in any accepted form, NULL when none fits.
+
+    A day beyond the end of its month (31 April) counts as the last day of that month.
+    """
     text = F.trim(c.cast("string"))
-    day = F.regexp_extract(text, _ISO_TEXT, 1)
-    time = F.regexp_extract(text, _ISO_TEXT, 2)
-    iso = F.when(day != "", F.concat(day, F.when(time != "", F.concat(F.lit(" "), time)).otherwise(F.lit(""))))
-    tries = [iso.try_cast("timestamp_ntz")]
-    for shape, form in _DAY_FORMS:
-        tries.append(F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(form))).cast("timestamp_ntz"))
-    return F.coalesce(*tries)
+    iso = text
+    for pattern, order in reversed(_DAY_FORMS):
+        iso = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, order)).otherwise(iso)
+    month = F.regexp_extract(iso, _ISO_TEXT, 1)
+    first = F.when(month != "", F.concat(month, F.lit("01"))).try_cast("date")
+    day = F.regexp_extract(iso, _ISO_TEXT, 3).try_cast("int")
+    date = F.date_add(first, F.least(day, F.day(F.last_day(first))) - 1)
+    time = F.regexp_extract(iso, _ISO_TEXT, 4)
+    return F.concat(date.cast("string"), F.when(time != "", F.concat(F.lit(" "), time)).otherwise("")).try_cast("timestamp_ntz")
 
 
 @dataclass(frozen=True)
