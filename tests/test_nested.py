@@ -2,6 +2,7 @@
 
 import pytest
 
+from veilframe.plans.compiler import mask_table
 from veilframe.plans.nested import mask_docs, mask_json
 from veilframe.plans.rules import RuleSet
 
@@ -71,3 +72,14 @@ def test_sequence_of_rules_in_document_exports(spark):
     row = mask_docs(df, "c", rules, "doc_export").head()
     assert row.a.startswith("****") and not row.a.endswith("cdef") and len(row.a) == 8
     assert row.b == "z" and row.n > 0
+
+
+def test_whole_containers(spark):
+    df = spark.createDataFrame([(1, ("a",), ["x"], {"k": "v"})], "id int, s struct<a:string>, l array<string>, m map<string,string>")
+    row = mask_docs(df, "c", RuleSet(key=KEY, nullify=("c.s", "l", "m"))).head()
+    assert row == (1, None, None, None)
+    with pytest.raises(ValueError):
+        mask_docs(df, "c", RuleSet(key=KEY, partial=("m",)))
+    with pytest.raises(ValueError):
+        mask_table(df, "c", RuleSet(key=KEY, masking=("c.l",)))
+    assert mask_table(df, "c", RuleSet(key=KEY, nullify=("c.l",))).head().l is None

@@ -170,7 +170,7 @@ def mask_table(
     for f in df.schema.fields:
         c = F.col(_quoted(f.name))
         if isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)):
-            out.append(c)
+            out.append(mask_container(c, f, rules, spec, table))
             continue
         plan = FieldPlan(
             rules, spec, table, f.name, f.dataType, max_length_of(f), (f.metadata or {}).get("logical"),
@@ -181,6 +181,16 @@ def mask_table(
     return bindings.apply(df).select(*out)
 
 
+def mask_container(c: Column, field: T.StructField, rules: RuleSet, profile: Profile, table: str, path: str | None = None) -> Column:
+    """A whole struct, array or map can be set to null; any other rule on it is refused rather than skipped."""
+    hit = rules.action(table, path or field.name, profile.order, profile.how)
+    if hit is None:
+        return c
+    if hit[0] == NULL:
+        return F.lit(None).cast(field.dataType).alias(field.name)
+    raise ValueError(f"a {hit[0]} rule cannot act on {path or field.name} of type {field.dataType.simpleString()}")
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions.fpe import BoundPermuter, permute_element
 from veilframe.functions.hashing import Bindings
-from veilframe.plans.compiler import PROFILES, FieldPlan, Profile, _quoted, map_levels, max_length_of
+from veilframe.plans.compiler import PROFILES, FieldPlan, Profile, _quoted, map_levels, mask_container, max_length_of
 from veilframe.plans.rules import CMF, DEFAULT, NULL, SFD, RuleSet
 
 
@@ -31,12 +31,15 @@ class _Walker:
 
         `root` is the field extracted over all enclosing arrays and `index` the position inside it.
         """
+        if isinstance(dtype, (T.StructType, T.MapType)) or (isinstance(dtype, T.ArrayType) and not self.profile.mask_arrays):
+            if self.rules.action(self.table, path, (NULL,), self.profile.how):
+                return F.lit(None).cast(dtype)
         if isinstance(dtype, T.StructType):
             return self.struct(c, dtype, path, root, index)
         if isinstance(dtype, T.ArrayType):
             return self.array(c, dtype, path, root, index, field)
         if isinstance(dtype, T.MapType):
-            return c
+            return mask_container(c, T.StructField(path, dtype), self.rules, self.profile, self.table, path)
         return self.plan(path, dtype, root, index, field).mask(c)
 
     def plan(self, path, dtype, root, index, field) -> FieldPlan:

@@ -139,6 +139,20 @@ def rejected_rows(spark, sf):
     return sides.groupBy("side").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("key").alias("keys"))
 
 
+@query(
+    "csv_ragged_rows",
+    "SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name, CASE WHEN p_partkey % 3 > 0 THEN p_brand ELSE '' END AS col_2, "
+    "CASE WHEN p_partkey % 3 = 2 THEN p_type ELSE '' END AS col_3 FROM part",
+)
+def csv_ragged_rows(spark, sf):
+    """Rows with more fields than the header; the surplus gets columns of its own."""
+    k = F.col("p_partkey") % 3
+    line = F.concat_ws(",", F.col("p_partkey").cast("string"), "p_name", F.when(k > 0, F.col("p_brand")), F.when(k == 2, F.col("p_type")))
+    path = fresh_path(spark, "csv")
+    table(spark, sf, "part").select(line.alias("p_partkey,p_name")).write.csv(path, header=True, sep=";")
+    return readers.scan_csv(spark, path, ragged="col_")
+
+
 # ---------------------------------------------------------------- bundles
 
 _PART_BYTES = 40_000
@@ -289,3 +303,34 @@ def secure_json_roundtrip(spark, sf):
     jobs.secure_export("json", {"events.json": df}, RuleSet(key=KEY, partial=("event_type",)), folder, KEY, max_bytes="100KB")
     again = RuleSet(key=KEY, nullify=("events.value",))
     return jobs.secure_import(spark, folder, KEY, {"events.json": df.schema}, again, "json")["events.json"]
+
+
+@query(
+    "secure_docs_roundtrip",
+    f"SELECT event_id, {_FIXED.format(c='event_type')} AS kind, user_id AS uid, 'x' AS note FROM events",
+)
+def secure_docs_roundtrip(spark, sf):
+    """Nested documents exported under the rules of a document backup and restored."""
+    docs = table(spark, sf, "events").select(
+        "event_id", F.struct(F.col("event_type").alias("kind"), F.lit("secret").alias("note")).alias("body"),
+        F.array(F.struct(F.col("user_id").alias("uid"))).alias("items"),
+    )
+    folder = fresh_path(spark, "secure")
+    rules = RuleSet(key=KEY, partial=("events.body.kind",), defaults={"events.body.note": "x"})
+    jobs.secure_export("docs", {"events": docs}, rules, folder, KEY, max_bytes="200KB")
+    back = jobs.secure_import(spark, folder, KEY, {"events": docs.schema})["events"]
+    return back.select("event_id", "body.kind", F.col("items")[0]["uid"].alias("uid"), "body.note")
+
+
+@query(
+    "backup_key_check",
+    "SELECT count(*) AS n_rows, TRUE AS right_key, FALSE AS wrong_key, FALSE AS no_key FROM customer",
+)
+def backup_key_check(spark, sf):
+    """The first part tells whether a key opens the backup."""
+    df = table(spark, sf, "customer")
+    parts = stage(bundle.export_bundle({"customer": df}, "backup", "30KB", KEY), "bundle")
+    answers = [bundle.validate_key(parts, k) for k in (KEY, KEY + "x", None)]
+    restored = bundle.scan_bundle(parts, KEY)
+    names = ("right_key", "wrong_key", "no_key")
+    return restored.agg(F.count(F.lit(1)).alias("n_rows"), *[F.lit(a).alias(n) for n, a in zip(names, answers, strict=True)])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from veilframe.operators import ledger
 from veilframe.plans import jobs
+from veilframe.plans.compiler import mask_table
 from veilframe.plans.rules import ForeignKey, RuleSet
 from veilframe.registry import sqltext as s
 from veilframe.registry.base import query, table, tables
@@ -125,6 +128,48 @@ def migrated_csv(spark, sf):
     return readers.scan_csv(spark, f"{target}/supplier.csv")
 
 
+@query(
+    "migrated_docs",
+    f"SELECT event_id, {_LAST4_X.format(c='event_type')} AS kind, CAST(NULL AS BIGINT) AS uid FROM events",
+)
+def migrated_docs(spark, sf):
+    docs = table(spark, sf, "events").select(
+        "event_id", F.struct(F.col("event_type").alias("kind")).alias("body"), F.array(F.struct(F.col("user_id").alias("uid"))).alias("items")
+    )
+    target = fresh_path(spark, "docs")
+    book = ledger.Ledger(spark, fresh_path(spark, "ledger"), "docs")
+    rules = RuleSet(key=KEY, partial=("events.body.kind",), nullify=("events.items.uid",))
+    jobs.migrate_docs({"events": docs}, target, rules, book)
+    back = readers.scan_docs(spark, f"{target}/events", docs.schema)
+    return back.select("event_id", "body.kind", F.col("items")[0]["uid"].alias("uid"))
+
+
+@query(
+    "migrated_json",
+    "SELECT n_nationkey AS id, repeat('*', length(n_name) - 4) || right(n_name, 4) AS name, ['-', '-'] AS tags FROM nation",
+)
+def migrated_json(spark, sf):
+    """JSON files of one array each; an empty array under a default is filled."""
+    source, target = fresh_path(spark, "json"), fresh_path(spark, "json")
+    one = F.to_json(F.array(F.struct(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"), F.array().cast("array<string>").alias("tags"))))
+    table(spark, sf, "nation").select(one.alias("value")).write.option("maxRecordsPerFile", 1).text(f"{source}/nation.json")
+    book = ledger.Ledger(spark, fresh_path(spark, "ledger"), "json")
+    rules = RuleSet(key=KEY, partial=("name",), defaults={"tags": "-"})
+    jobs.migrate_json(spark, source, ["nation.json"], target, rules, book)
+    return spark.read.schema("id int, name string, tags array<string>").json(f"{target}/nation.json")
+
+
+@query(
+    "mask_by_classification",
+    "SELECT c_custkey, " + s.provider("full_name", "c_name", "c_name") + " AS c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer",
+)
+def mask_by_classification(spark, sf):
+    """Rules taken from the classification of the tables, applied to one of them."""
+    given = tables(spark, sf, ["customer", "events", "labels"])
+    _, suggested = jobs.classify_tables(spark, given)
+    return mask_table(given["customer"], "customer", replace(suggested, key=KEY))
+
+
 @query(
     "stream_masked_events",
     f"SELECT k AS event_id, ts, user_id, {_LAST4_X.format(c='event_type')} AS event_type, 0.0::DOUBLE AS value FROM "
