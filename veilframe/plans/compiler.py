@@ -28,7 +28,7 @@ class Profile:
     null_first: bool = False
     as_text: bool = False
     fill_arrays: bool = False
-    mask_arrays: bool = False
+    null_items: bool = False
     all_rules: bool = False
 
 
@@ -41,8 +41,8 @@ PROFILES = {
     "table": Profile((NULL, DEFAULT, CMF, FPH, SFD, PMD), keep_last4, "table"),
     "sql_export": Profile(_LATE_FPH, _stars, "sql_export", null_first=True),
     "csv": Profile((NULL, DEFAULT, CMF, PMD, FPH, SFD), keep_ends, "csv", "file", null_first=True, as_text=True),
-    "json": Profile(_LATE_FPH, _stars, "json", "suffix", fill_arrays=True, mask_arrays=True),
-    "json_export": Profile(_LATE_FPH, fixed_prefix, "json_export", "file", mask_arrays=True),
+    "json": Profile(_LATE_FPH, _stars, "json", "suffix", fill_arrays=True, null_items=True),
+    "json_export": Profile(_LATE_FPH, fixed_prefix, "json_export", "file", null_items=True),
     "doc_export": Profile((SFD, PMD, FPH, NULL, DEFAULT, CMF), fixed_prefix, "table", all_rules=True),
 }
 

@@ -31,7 +31,7 @@ class _Walker:
 
         `root` is the field extracted over all enclosing arrays and `index` the position inside it.
         """
-        if isinstance(dtype, (T.StructType, T.MapType)) or (isinstance(dtype, T.ArrayType) and not self.profile.mask_arrays):
+        if isinstance(dtype, (T.StructType, T.MapType)) or (isinstance(dtype, T.ArrayType) and not self.profile.null_items):
             if self.rules.action(self.table, path, (NULL,), self.profile.how):
                 return F.lit(None).cast(dtype)
         if isinstance(dtype, T.StructType):
@@ -66,8 +66,6 @@ class _Walker:
         while isinstance(leaf, T.ArrayType):
             leaf, levels = leaf.elementType, levels + 1
         if not isinstance(leaf, T.StructType):
-            if not self.profile.mask_arrays:
-                return c
             plan = self.plan(path, leaf, root, (*index, None), field)
             if self.rules.action(self.table, path, self.profile.order, self.profile.how) is None:
                 return c
@@ -128,7 +126,9 @@ def mask_nested(df: DataFrame, name: str, rules: RuleSet, profile: Profile) -> D
 
 
 def mask_docs(df: DataFrame, collection: str, rules: RuleSet, profile: str = "table") -> DataFrame:
-    """Documents: dotted paths at any depth; arrays of documents are entered, arrays of scalars kept.
+    """Documents: dotted paths at any depth; arrays of documents are entered.
+
+    A rule on an array of scalars acts on its elements (null on the whole array), so that no value slips through.
 
     `profile="doc_export"` applies all matching rules in sequence instead of the first.
     """
@@ -136,7 +136,7 @@ def mask_docs(df: DataFrame, collection: str, rules: RuleSet, profile: str = "ta
 
 
 def mask_json(df: DataFrame, name: str, rules: RuleSet, profile: str = "json") -> DataFrame:
-    """JSON files: as documents, and every scalar in an array is masked too (`json` also fills empty arrays)."""
+    """JSON files: as documents, but null acts on array elements too (and `json` fills empty arrays)."""
     return mask_nested(df, name, rules, PROFILES[profile])
 
 

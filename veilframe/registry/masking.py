@@ -144,7 +144,9 @@ _TAGS = "[event_type, 'tail'] AS tags"
     "CAST(user_id AS VARCHAR) AS code, "
     f"{s.provider('letters', 'event_type', 'items.kind')} AS kind0, "
     + s.provider("letters", "'second'", "items.kind")
-    + " AS kind1, event_type AS tag0 FROM events",
+    + " AS kind1, "
+    + s.provider("letters", "event_type", "tags")
+    + " AS tag0 FROM events",
 )
 def mask_docs_events(spark, sf):
     rules = RuleSet(
