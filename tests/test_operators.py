@@ -90,6 +90,14 @@ def test_preview_never_shows_protected_values(spark):
     assert shown.after.head().email_addr == "XXXXX.org"
 
 
+def test_preview_judges_columns_alone(spark):
+    names = ["order_id", "shop_id", "qty"]
+    assert preview.column_labels(spark, "order_shop", names, RuleSet(key=KEY)) == {"order_id": "FPH", "shop_id": "FPH", "qty": "NONE"}
+    catalog_rows = spark.createDataFrame([("order_shop", n) for n in names], "table string, column string")
+    assert {r.category for r in classify.classify_columns(catalog_rows).collect()} == {"TABLE_MAPPING"}
+    assert {r.category for r in classify.classify_columns(catalog_rows, alone=True).collect()} == {"FOREIGN_KEY"}
+
+
 def test_preview_of_an_empty_table(spark):
     df = spark.createDataFrame([], "id int, email string, first_name string, notes string")
     shown = preview.preview(df, "t", RuleSet(key=KEY), 20)

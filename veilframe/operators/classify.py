@@ -139,9 +139,13 @@ def name_rule(column: Column) -> Column:
     return out
 
 
-def classify_columns(columns: DataFrame) -> DataFrame:
-    """`(table, column)` rows to the classified ones: category, rule, confidence, key kind, target, reason."""
-    named = key_column_count(columns).withColumns({"__t": F.lower(F.trim("table")), "__c": F.lower(F.trim("column"))})
+def classify_columns(columns: DataFrame, alone: bool = False) -> DataFrame:
+    """`(table, column)` rows to the classified ones: category, rule, confidence, key kind, target, reason.
+
+    `alone` judges each column by itself, without counting the key columns beside it.
+    """
+    counted = columns.withColumn("n_id_columns", F.lit(0)) if alone else key_column_count(columns)
+    named = counted.withColumns({"__t": F.lower(F.trim("table")), "__c": F.lower(F.trim("column"))})
     rows = infer_parent(named)
     t, c = F.col("__t"), F.col("__c")
     kind = (

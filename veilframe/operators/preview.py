@@ -28,9 +28,8 @@ def column_labels(spark: SparkSession, table: str, columns: list[str], rules: Ru
     labels = {c: active_rule(rules, table, c, profile) for c in columns}
     open_columns = [c for c, kind in labels.items() if kind is None]
     if open_columns:
-        # classified alone, without the other columns, as a single name would be
         catalog = spark.createDataFrame([(table, c) for c in open_columns], "table string, column string")
-        guessed = {r.column: r.rule for r in classify_columns(catalog).collect()}
+        guessed = {r.column: r.rule for r in classify_columns(catalog, alone=True).collect()}
         labels |= {c: guessed.get(c, "NONE") for c in open_columns}
     return labels
 

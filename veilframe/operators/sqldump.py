@@ -84,7 +84,8 @@ def foreign_key_ddl(keys: Iterable[ForeignKey]) -> list[str]:
 
 # ---------------------------------------------------------------- reading
 
-_INSERT = r'(?is)INSERT\s+INTO\s+"?(?:[\w$]+"?\.)?"?([\w$]+)"?\s*\(([^)]*)\)\s*VALUES\s*\((.*)\)\s*;?\s*$'
+_HEAD = r'(?is)^\s*INSERT\s+INTO\s+"?(?:[\w$]+"?\.)?"?([\w$]+)"?\s*\(([^)]*)$'
+_VALUES = r"(?i)\)\s*VALUES\s*\("
 _VALUE = r"E?'[^']*+(?:''[^']*+)*+'|[^,'\s][^,']*"
 
 
@@ -94,13 +95,16 @@ def scan_statements(spark: SparkSession, path) -> DataFrame:
 
 
 def parse_inserts(statements: DataFrame) -> DataFrame:
-    value = F.regexp_replace("value", r"(?m)^--.*$", "")
-    rows = statements.select(value.alias("value")).filter(F.col("value").rlike(_INSERT))
-    names = F.transform(F.split(F.regexp_extract("value", _INSERT, 2), ","), lambda c: F.trim(F.replace(c, F.lit('"'))))
-    values = F.regexp_extract_all(F.regexp_extract("value", _INSERT, 3), F.lit(_VALUE), F.lit(0))
-    return rows.select(
-        F.lower(F.regexp_extract("value", _INSERT, 1)).alias("table"), names.alias("columns"), values.alias("values")
-    )
+    """INSERT statements as `(table, columns, values)`; anything else is dropped.
+
+    The statement is cut at its VALUES word, so that only the value pattern runs over the long part.
+    """
+    text = F.regexp_replace("value", r"^(?:\s*--[^\n]*\n)+", "")
+    cut = statements.select(F.split(text, _VALUES, 2).alias("cut")).filter(F.size("cut") == 2)
+    rows = cut.select(F.get("cut", F.lit(0)).alias("head"), F.get("cut", F.lit(1)).alias("rest")).filter(F.col("head").rlike(_HEAD))
+    names = F.transform(F.split(F.regexp_extract("head", _HEAD, 2), ","), lambda c: F.trim(F.replace(c, F.lit('"'))))
+    values = F.regexp_extract_all(F.regexp_replace("rest", r"\)\s*;?\s*$", ""), F.lit(_VALUE), F.lit(0))
+    return rows.select(F.lower(F.regexp_extract("head", _HEAD, 1)).alias("table"), names.alias("columns"), values.alias("values"))
 
 
 def _unquoted(c: Column) -> Column:
