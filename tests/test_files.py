@@ -168,3 +168,25 @@ def test_jdbc_options():
 def test_one_file_per_record(spark, tmp_path):
     writers.write_one_per_record(spark.range(5).coalesce(1), str(tmp_path / "o"))
     assert len([n for n in os.listdir(tmp_path / "o") if n.startswith("part-")]) == 5
+
+
+def test_files_with_different_headers_are_refused(spark, tmp_path):
+    write(tmp_path / "d" / "a.csv", "id,name\n1,x\n")
+    write(tmp_path / "d" / "b.csv", "name,id\ny,2\n")
+    with pytest.raises(Exception, match="header"):
+        readers.scan_csv(spark, str(tmp_path / "d")).collect()
+
+
+def test_declared_lengths_of_table_columns(spark, tmp_path):
+    from veilframe.operators.catalog import describe_columns
+    from veilframe.plans.compiler import mask_table
+
+    spark.sql(f"CREATE TABLE veil_len (c VARCHAR(6), d CHAR(3)) USING parquet LOCATION '{tmp_path}/len'")
+    try:
+        spark.sql("INSERT INTO veil_len VALUES ('ab', 'cde')")
+        df = spark.table("veil_len")
+        assert [r.max_length for r in describe_columns(spark, {"t": df}).orderBy("pos").collect()] == [6, 3]
+        assert len(mask_table(df, "t", RuleSet(key=KEY, masking=("c",))).head().c) == 6
+        assert sqldump.create_statement(df.schema, "t").startswith("CREATE TABLE t (c VARCHAR(6),")
+    finally:
+        spark.sql("DROP TABLE veil_len")

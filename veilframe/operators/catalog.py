@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.plans.compiler import max_length_of
 from veilframe.plans.rules import select_targets
 
 _COLUMN_SCHEMA = "table string, column string, type string, nullable boolean, max_length int, precision int, scale int, pos int"
@@ -27,10 +28,7 @@ def describe_schema(table: str, schema: T.StructType) -> list[tuple]:
     out = []
     for pos, f in enumerate(schema.fields, 1):
         dec = isinstance(f.dataType, T.DecimalType)
-        length = f.dataType.length if isinstance(f.dataType, (T.VarcharType, T.CharType)) else (f.metadata or {}).get(
-            "max_length"
-        )
-        out.append((table, f.name, f.dataType.simpleString(), f.nullable, length,
+        out.append((table, f.name, f.dataType.simpleString(), f.nullable, max_length_of(f),
                     f.dataType.precision if dec else None, f.dataType.scale if dec else None, pos))
     return out
 

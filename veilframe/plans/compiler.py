@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
@@ -48,10 +49,12 @@ PROFILES = {
 
 
 def max_length_of(field: T.StructField) -> int | None:
-    """Declared text length: a varchar(n)/char(n) type or the field's `max_length` metadata."""
+    """Declared text length: varchar(n)/char(n), also as Spark notes it on a table's column, or `max_length` metadata."""
     if isinstance(field.dataType, (T.VarcharType, T.CharType)):
         return field.dataType.length
-    value = (field.metadata or {}).get("max_length")
+    meta = field.metadata or {}
+    noted = re.search(r"\((\d+)\)", meta.get("__CHAR_VARCHAR_TYPE_STRING", ""))
+    value = noted[1] if noted else meta.get("max_length")
     return int(value) if value else None
 
 

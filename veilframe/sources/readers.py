@@ -47,6 +47,7 @@ def _trimmed(c: Column) -> Column:
 def scan_csv(spark: SparkSession, path, multiline: bool = False, ragged: str | None = None) -> DataFrame:
     """Delimited text with a header: every column is text, fields are trimmed, an absent field is the empty text.
 
+    Files of one path must have the same header; a file whose header differs is an error, not a shifted column.
     `ragged="col_"` keeps surplus fields as columns `col_<position>`; it costs one pass to find the widest line.
     """
     header = csv_headers(spark, path, multiline)
@@ -55,7 +56,7 @@ def scan_csv(spark: SparkSession, path, multiline: bool = False, ragged: str | N
         names += [f"{ragged}{i}" for i in range(len(header), _widest_line(spark, path))]
     schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
     rows = spark.read.schema(schema).csv(
-        path, header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8", enforceSchema=True,
+        path, header=True, quote='"', escape='"', multiLine=multiline, encoding="UTF-8", enforceSchema=bool(ragged),
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     )
     return rows.select(*[_trimmed(F.col(f"`{n}`")).alias(n) for n in names])

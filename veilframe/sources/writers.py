@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.plans.compiler import max_length_of
+
 # SQL type name -> type in the created table; names not listed pass through.
 TYPE_MAP = {
     "integer": "INTEGER", "int4": "INTEGER", "bigint": "BIGINT", "int8": "BIGINT", "smallint": "SMALLINT",
@@ -41,12 +43,10 @@ def map_type(field: T.StructField) -> str:
     meta = field.metadata or {}
     if isinstance(field.dataType, T.DecimalType):
         return map_type_name("numeric", precision=field.dataType.precision, scale=field.dataType.scale)
-    if isinstance(field.dataType, T.VarcharType):
-        return map_type_name("varchar", field.dataType.length)
     if isinstance(field.dataType, T.CharType):
         return map_type_name("char", field.dataType.length)
-    if isinstance(field.dataType, T.StringType):
-        return "UUID" if meta.get("logical") == "uuid" else map_type_name("varchar", meta.get("max_length"))
+    if isinstance(field.dataType, (T.StringType, T.VarcharType)):
+        return "UUID" if meta.get("logical") == "uuid" else map_type_name("varchar", max_length_of(field))
     if isinstance(field.dataType, (T.StructType, T.ArrayType, T.MapType)):
         return "JSONB"
     return map_type_name(_SPARK_NAMES.get(type(field.dataType), field.dataType.simpleString()))

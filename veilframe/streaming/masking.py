@@ -18,7 +18,7 @@ def mask_stream(
 ) -> DataFrame:
     """Masking keeps no state: no watermark is needed and rows may arrive in any order."""
     nested = any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in stream.schema.fields)
-    return mask_docs(stream, table, rules) if nested else mask_table(stream, table, rules, profile, domains)
+    return mask_docs(stream, table, rules, profile) if nested else mask_table(stream, table, rules, profile, domains)
 
 
 def read_file_stream(spark: SparkSession, folder: str, schema: T.StructType, form: str = "parquet", **options) -> DataFrame:
