@@ -314,9 +314,9 @@ def _draw(source: np.ndarray, radix: np.ndarray, key: bytes) -> np.ndarray:
 
 
 def _add(digits: np.ndarray, draw: np.ndarray, radix: np.ndarray) -> np.ndarray:
+    # unsigned: where the sum is below the radix, the difference wraps around and the minimum keeps the sum
     draw += digits
-    np.subtract(draw, radix, out=draw, where=draw >= radix)
-    return draw
+    return np.minimum(draw, draw - radix)
 
 
 # Classes of text, the first that fits counts; `hex` needs exactly 24 characters.

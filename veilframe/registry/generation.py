@@ -95,7 +95,8 @@ def gen_composite_keys(spark, sf):
 
 @query(
     "gen_unused_combinations",
-    "SELECT 500::BIGINT AS n_rows, 0::BIGINT AS n_used",
+    "SELECT least(count(*), 500) AS n_rows, 0::BIGINT AS n_used FROM orders WHERE NOT EXISTS "
+    "(SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linenumber = o_orderkey % 7 + 1)",
 )
 def gen_unused_combinations(spark, sf):
     """New line items whose (order, line) pair the table does not hold."""
