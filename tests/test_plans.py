@@ -27,6 +27,15 @@ def test_masking_is_one_narrow_stage(spark):
     assert "Exchange" not in plan and "Python" not in plan and "codegen id : 1" in plan and "codegen id : 2" not in plan
 
 
+def test_the_key_never_shows_in_a_plan(spark):
+    rules = RuleSet(
+        key=KEY, constraint=("o_orderkey", "o_orderstatus"), masking=("o_orderpriority", "o_totalprice"), formats={"o_orderdate": "DATE:yyyy:SHIFT(1,9)"}
+    )
+    masked = mask_table(spark.read.parquet(ORDERS), "orders", rules)
+    parts = bundle.encrypt_parts(spark.createDataFrame([("a", b"x")], "name string, content binary"), KEY)
+    assert KEY not in plan_of(masked) and KEY not in plan_of(parts)
+
+
 def test_only_needed_columns_are_read(spark):
     rules = RuleSet(key=KEY, constraint=("o_custkey",), masking=("o_orderpriority",))
     plan = plan_of(mask_table(spark.read.parquet(ORDERS), "orders", rules).select("o_custkey"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.hashing import Bindings, digit, int_div, keyed_hash, require_key
+from veilframe.functions.hashing import Bindings, digit, int_div, keyed_hash, require_key, subkey
 from veilframe.functions.synthetic import uuid_layout
 
 HALF_ROUNDS = 6
@@ -235,8 +235,8 @@ def fpe_decimal(c: Column, precision: int, scale: int, key: str, permuter=permut
 
 
 def fpe_uuid(c: Column, key: str) -> Column:
-    """One way: the name-based UUID of SHA-256(value + key)."""
-    return uuid_layout(F.md5(F.unhex(F.sha2(F.concat(c.cast("string"), F.lit(require_key(key))), 256))))
+    """One way: the name-based UUID of SHA-256(value + salt)."""
+    return uuid_layout(F.md5(F.unhex(F.sha2(F.concat(c.cast("string"), F.lit(subkey(require_key(key), "uuid"))), 256))))
 
 
 def fpe_bool(c: Column, key: str) -> Column:
@@ -248,7 +248,7 @@ def fpe_bool(c: Column, key: str) -> Column:
 def hash_token(c: Column, key: str) -> Column:
     """`ENC_` and sixteen hex digits, for values that have no format to keep."""
     return F.concat(
-        F.lit("ENC_"), F.substring(F.sha2(F.concat(F.lit(require_key(key) + "|token|"), c.cast("string")), 256), 1, 16)
+        F.lit("ENC_"), F.substring(F.sha2(F.concat(F.lit(subkey(require_key(key), "token")), c.cast("string")), 256), 1, 16)
     )
 
 

@@ -6,6 +6,8 @@ partition therefore gives the same output, equal inputs get equal replacements,
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,11 @@ def require_key(key: str | None) -> str:
     return key.strip()
 
 
+def subkey(key: str, label: str) -> str:
+    """What stands in a plan for the key: plans are printed and logged, so the key itself never enters one."""
+    return hashlib.sha256(f"{key}|{label}".encode()).hexdigest()[:32] + "|"
+
+
 def keyed_hash(value: Column, key: str, label: str, seed: Column | None = None) -> Column:
     """60-bit non-negative hash of `value` under `key`.
 
@@ -31,7 +38,7 @@ def keyed_hash(value: Column, key: str, label: str, seed: Column | None = None)
     text = value.cast("string")
     if seed is not None:
         text = F.coalesce(text, seed.cast("string"), F.lit(""))
-    text = F.concat(F.lit(f"{key}|{label}|"), text)
+    text = F.concat(F.lit(subkey(key, label)), text)
     return F.conv(F.substring(F.sha2(text, 256), 1, 15), 16, 10).cast("long")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from veilframe.functions.fpe import DOMAINS, _mix_sql, _text_function, _walk_surplus, round_constants, split_domain
-from veilframe.functions.hashing import require_key
+from veilframe.functions.hashing import require_key, subkey
 
 _INTEGERS = {"tinyint": "byte", "smallint": "short", "int": "int", "bigint": "long"}
 
@@ -15,7 +15,7 @@ def _quoted(text: str) -> str:
 
 
 def _hash_sql(x: str, key: str, label: str) -> str:
-    text = f"concat({_quoted(f'{key}|{label}|')}, CAST({x} AS STRING))"
+    text = f"concat({_quoted(subkey(key, label))}, CAST({x} AS STRING))"
     return f"CAST(conv(substring(sha2({text}, 256), 1, 15), 16, 10) AS BIGINT)"
 
 
@@ -47,7 +47,7 @@ def register_functions(spark: SparkSession, key: str, prefix: str = "mask_") ->
     key = require_key(key)
     spark.udf.register(f"{prefix}text", _text_function(key, 0))
     last4 = "CASE WHEN length(v) <= 4 THEN v ELSE concat(repeat('X', length(v) - 4), right(v, 4)) END"
-    token = f"concat('ENC_', substring(sha2(concat({_quoted(key + '|token|')}, v), 256), 1, 16))"
+    token = f"concat('ENC_', substring(sha2(concat({_quoted(subkey(key, 'token'))}, v), 256), 1, 16))"
     bodies = {"last4": ("STRING", last4), "token": ("STRING", token)}
     for name, domain in _INTEGERS.items():
         bodies[name] = (name.upper(), f"CAST({_integer_sql('CAST(v AS BIGINT)', domain, key)} AS {name})")

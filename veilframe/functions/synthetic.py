@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions.hashing import digit, int_div, keyed_hash, padded, pick, random_chars
+from veilframe.functions.hashing import digit, int_div, keyed_hash, padded, pick, random_chars, subkey
 
 # Invented word lists, free to change.
 FIRST_NAMES = [
@@ -277,7 +277,7 @@ def _synthetic_date(h: Column, dtype: T.DataType, profile: str) -> Column:
 
 def hash_uuid(c: Column, key: str, label: str) -> Column:
     """A version-3 style UUID text from the keyed hash."""
-    return uuid_layout(F.md5(F.concat(F.lit(f"{key}|{label}.uuid|"), c.cast("string"))))
+    return uuid_layout(F.md5(F.concat(F.lit(subkey(key, f"{label}.uuid")), c.cast("string"))))
 
 
 def uuid_layout(md5_hex: Column) -> Column:

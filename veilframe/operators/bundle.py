@@ -6,6 +6,7 @@ with the file it belongs to, its number in the bundle and its data.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Mapping
 
@@ -148,7 +149,7 @@ def export_bundle(
 
 
 def _aes_key(key: str | None) -> Column:
-    return F.unhex(F.sha2(F.lit(require_key(key)), 256))
+    return F.lit(bytearray(hashlib.sha256(require_key(key).encode()).digest()))
 
 
 def encrypt_parts(parts: DataFrame, key: str) -> DataFrame:

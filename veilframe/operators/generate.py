@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.fpe import permute
-from veilframe.functions.hashing import digit, int_div, keyed_hash, pick
+from veilframe.functions.hashing import digit, int_div, keyed_hash, pick, subkey
 from veilframe.functions.synthetic import ANCHOR, hash_uuid, provide
 from veilframe.operators.catalog import indexed
 from veilframe.plans.rules import ForeignKey, simple_name
@@ -265,7 +265,7 @@ def gen_value(seq: Column, col: GenColumn, key: str) -> Column:
     if "tsvector" in base:
         return provide("sentence", seq, key, f"gen.{name}")
     if kind == "binary" or has("picture", "avatar", "image", "photo", "blob"):
-        return F.unhex(F.sha2(F.concat(F.lit(f"{key}|{name}|"), seq.cast("string")), 256))
+        return F.unhex(F.sha2(F.concat(F.lit(subkey(key, name)), seq.cast("string")), 256))
     if kind == "array" or has("features", "tags"):
         if has("feature"):
             return F.array(pick(FEATURES, h))
@@ -560,7 +560,7 @@ def doc_fields(sample: Mapping | None = None, specs: Iterable[str] = ()) -> dict
 def gen_docs(rows: DataFrame, key: str, sample: Mapping | None = None, specs: Iterable[str] = ()) -> DataFrame:
     """Documents with a 24-digit hexadecimal `_id` from the sequence number."""
     seq = F.col("seq")
-    doc_id = F.substring(F.sha2(F.concat(F.lit(f"{key}|doc|"), seq.cast("string")), 256), 1, 24).alias("_id")
+    doc_id = F.substring(F.sha2(F.concat(F.lit(subkey(key, "doc")), seq.cast("string")), 256), 1, 24).alias("_id")
     return rows.select(doc_id, *[doc_value(seq, f, key, n).alias(f) for f, n in doc_fields(sample, specs).items()])
 
 

@@ -195,7 +195,7 @@ _D = {n: s.khash("seq", f"doc.{n}") for n in ("amount", "createdat", "age")}
 
 @query(
     "gen_documents",
-    f"SELECT substr(sha256('{KEY}|doc|' || seq), 1, 24) AS _id, {s.provider('full_name', 'seq', 'doc.name')} AS name, "
+    f"SELECT substr(sha256('{s.subkey(KEY, 'doc')}' || seq), 1, 24) AS _id, {s.provider('full_name', 'seq', 'doc.name')} AS name, "
     f"{s.words(generate.DOC_STATUSES)}[(seq - 1) % 4 + 1] AS status, (({_D['amount']} % 500000) + 10000)::DOUBLE / 100.0::DOUBLE AS amount, "
     f"TIMESTAMP '2025-01-01' - to_days(CAST({_D['createdat']} % 365 AS INTEGER)) AS \"createdAt\", lpad(to_base((seq - 1) % 46656, 36), 3, '0') AS code, "
     f"left({s.provider('word', 'seq', 'doc.remark')}, 10) AS remark, CAST({_D['age']} % 50 + 20 AS INTEGER) AS age FROM {_SEQ}",

@@ -524,7 +524,7 @@ def fpe_double(spark, sf):
 
 @query(
     "fpe_uuid",
-    "SELECT c_custkey, " + s.uuid_from_md5(f"md5(unhex(sha256(c_name || '{KEY}')))") + " AS v FROM customer",
+    "SELECT c_custkey, " + s.uuid_from_md5(f"md5(unhex(sha256(c_name || '{s.subkey(KEY, 'uuid')}')))") + " AS v FROM customer",
 )
 def fpe_uuid(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", fpe.fpe(F.col("c_name"), "uuid", KEY).alias("v"))
@@ -584,7 +584,7 @@ def fpe_bool(spark, sf):
     return table(spark, sf, "orders").agg(F.countDistinct(flag).alias("n_out"), F.count(F.lit(1)).alias("n_rows"))
 
 
-@query("hash_token", f"SELECT c_custkey, 'ENC_' || substr(sha256('{KEY}|token|' || c_name), 1, 16) AS v FROM customer")
+@query("hash_token", f"SELECT c_custkey, 'ENC_' || substr(sha256('{s.subkey(KEY, 'token')}' || c_name), 1, 16) AS v FROM customer")
 def hash_token(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", fpe.hash_token(F.col("c_name"), KEY).alias("v"))
 
@@ -605,7 +605,7 @@ def token_roundtrip(spark, sf):
 @query(
     "sql_functions",
     f"SELECT c_custkey, k1 AS k, CAST(k2 AS INTEGER) AS n, {_LAST4_X.format(c='c_name')} AS l, "
-    f"'ENC_' || substr(sha256('{KEY}|token|' || c_mktsegment), 1, 16) AS t FROM "
+    f"'ENC_' || substr(sha256('{s.subkey(KEY, 'token')}' || c_mktsegment), 1, 16) AS t FROM "
     + s.feistel(
         s.feistel("customer", "c_custkey", 1, 9223372036854775806, "int.long", "k1"),
         "c_nationkey", 1, 2147483647, "int.int", "k2",

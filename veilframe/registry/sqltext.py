@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from veilframe.functions import synthetic as syn
 from veilframe.functions.fpe import PRIMES, feistel_int, round_constants, split_domain
+from veilframe.functions.hashing import subkey
 
 KEY = "registry-key-001"
 
@@ -17,7 +18,7 @@ def words(items) -> str:
 
 
 def khash(x: str, label: str, key: str = KEY) -> str:
-    return f"('0x' || substr(sha256({quote(f'{key}|{label}|')} || CAST({x} AS VARCHAR)), 1, 15))::BIGINT"
+    return f"('0x' || substr(sha256({quote(subkey(key, label))} || CAST({x} AS VARCHAR)), 1, 15))::BIGINT"
 
 
 def digit(h: str, below: int, divisor: int = 1) -> str:
@@ -95,7 +96,7 @@ def uuid_from_md5(md5: str) -> str:
 
 
 def hash_uuid(x: str, label: str, key: str = KEY) -> str:
-    return uuid_from_md5(f"md5({quote(f'{key}|{label}.uuid|')} || CAST({x} AS VARCHAR))")
+    return uuid_from_md5(f"md5({quote(subkey(key, label + '.uuid'))} || CAST({x} AS VARCHAR))")
 
 
 def feistel(source: str, value: str, lo: int, hi: int, label: str, out: str, key: str = KEY) -> str:
