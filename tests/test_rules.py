@@ -146,3 +146,28 @@ def test_every_spelling_of_a_date(spark):
     df = spark.createDataFrame(list(spelled.items()), "text string, want string")
     got = df.select("text", "want", F.date_format(parse_date_text(F.col("text")), "yyyy-MM-dd HH:mm:ss").alias("got")).collect()
     assert {r.text: r.got for r in got} == spelled
+
+
+def test_texts_made_from_patterns(spark):
+    df = spark.range(200).select(F.col("id").cast("string").alias("a"))
+    patterns = [r"[^a-z]{5}", r"\w{3}-\d?[AB]+", r"^(ab|c(d|e){2})\.x*$", "[A-C'\\\\]{4}", r"(?:GB|DE)\d{2}[ ]?\d{4}"]
+    for pattern in patterns:
+        out = mask_table(df, "t", RuleSet(key=KEY, formats={"a": "REGEX:" + pattern}))
+        assert out.filter(F.col("a").rlike(f"^(?:{pattern})$")).count() == 200, pattern
+        assert out.distinct().count() > 1
+    odd = mask_table(df, "t", RuleSet(key=KEY, formats={"a": r"REGEX:(?=x)[0-9"}))
+    assert odd.filter(F.col("a").rlike(r"^VAL-\d{4}$")).count() == 200
+
+
+def test_null_gets_a_format_from_the_row(spark):
+    df = spark.createDataFrame([(1, None, None), (2, None, None)], "id int, code string, amount double")
+    rows = mask_table(df, "t", RuleSet(key=KEY, formats={"code": "TEXT:{rand:12}", "amount": "NUM:RANGE(5,10):SCALE(2)"})).collect()
+    assert rows[0].code != rows[1].code and all(5 <= r.amount <= 10 for r in rows)
+
+
+def test_export_profiles_pass_nulls_through(spark):
+    df = spark.createDataFrame([(1, None)], "id int, code string")
+    rules = RuleSet(key=KEY, formats={"code": "TEXT:x"}, defaults={"note": "y"})
+    assert mask_table(df, "t", rules, "sql_export").head().code is None
+    assert mask_table(df, "t", RuleSet(key=KEY, defaults={"code": "y"}), "sql_export").head().code is None
+    assert mask_table(df, "t", RuleSet(key=KEY, defaults={"code": "y"})).head().code == "y"
