@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import sys
+import types
+from collections.abc import Callable, Iterable
+from typing import Any
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -31,3 +34,18 @@ def held_out(id_column: Column, of: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
+
+
+def kept(key: Any, make: Callable[[], Any], most: int = 64) -> Any:
+    """What `make` returned for `key` earlier in this process, else made now.
+
+    Functions are sent to executors by value with their globals, so what a worker should keep from task to task
+    lives in a module of its own. At most `most` things are kept.
+    """
+    home = sys.modules.setdefault("veilframe_worker_store", types.ModuleType("veilframe_worker_store"))
+    store = home.__dict__.setdefault("items", {})
+    if key not in store:
+        if len(store) >= most:
+            store.clear()
+        store[key] = make()
+    return store[key]

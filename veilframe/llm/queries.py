@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import held_out
+from veilframe.llm.compression_quality import fit_quality, quality_score
 from veilframe.llm.exact_dedup import duplicate_groups
 from veilframe.llm.sharding import shard_records
 from veilframe.registry.base import Query, table
@@ -47,3 +49,21 @@ def exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Groups of equal texts; the row with the largest doc_id stays."""
     groups = duplicate_groups(table(spark, folder, "documents"), keep="largest")
     return groups.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+QUALITY_THRESHOLD = 0.3
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, folder: str):
+    """The quality classifier, learned from the labels outside the held-out fifth."""
+    return fit_quality(docs, table(spark, folder, "labels"), ~held_out(F.col("doc_id"), 5, 0))
+
+
+@query("op3_compression_classifier")
+def compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    """A calibrated quality score of every document."""
+    docs = table(spark, folder, "documents")
+    score = quality_score(F.col("text"), quality_model(spark, docs, folder))
+    return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score.alias("score")).withColumn(
+        "predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int")
+    )

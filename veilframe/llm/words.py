@@ -11,6 +11,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
+from veilframe.llm.common import kept
+
 SLICE_BYTES = 1 << 20
 _U64 = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -33,18 +35,23 @@ _BYTE = numbers(256, 11)
 _BYTE[65:91] = _BYTE[97:123]
 _BASE = _U64(0xD6E8FEB86659FD93)  # odd, so it has an inverse modulo 2^64
 _BACK = _U64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
+    """Powers of the base and of its inverse, at least n + 1 of each."""
+    size = 2 * SLICE_BYTES
+    while size < n:
+        size *= 2
+
+    def make():
         out = []
         for base in (_BASE, _BACK):
-            p = np.full(max(n, 2 * SLICE_BYTES) + 1, base, _U64)
+            p = np.full(size + 1, base, _U64)
             p[0] = 1
             out.append(np.multiply.accumulate(p))
-        _POWERS[:] = out
-    return _POWERS[0], _POWERS[1]
+        return out[0], out[1]
+
+    return kept(("powers", size), make)
 
 
 def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
