@@ -29,6 +29,25 @@ def column(name: str) -> Column:
     return F.col(quoted(name))
 
 
+class Memory(dict):
+    """Answers of `find` by key, of about the last `most` keys met: an older half is forgotten when a new half is full."""
+
+    def __init__(self, find: Callable[[Any], Any], most: int, longest: int):
+        super().__init__()
+        self.find, self.half, self.longest, self.older = find, most // 2, longest, {}
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.half:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 def held_out(id_column: Column, of: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves `remainder`. A row without id is not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == remainder, F.lit(False))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.llm.bpe_stream import roundtrip_digests
 from veilframe.llm.common import held_out
 from veilframe.llm.compression_quality import fit_quality, quality_score
 from veilframe.llm.exact_dedup import duplicate_groups
 from veilframe.llm.sharding import shard_records
+from veilframe.llm.token_counts import counts_and_fit
 from veilframe.registry.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -67,3 +70,21 @@ def compression_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), score.alias("score")).withColumn(
         "predicted", (F.col("score") >= QUALITY_THRESHOLD).cast("int")
     )
+
+
+@query("op7_token_counts")
+def token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Token counts of all documents, and how much of each fits into 2048 tokens."""
+    counts = counts_and_fit(F.col("text"), public_tokenizers.path("word_bpe_49k.json"), 2048)
+    return (
+        table(spark, folder, "documents")
+        .select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes"), counts.alias("c"))
+        .select("doc_id", "n_bytes", "c.n_tokens", (F.col("c.n_tokens") > 2048).alias("over_limit"), "c.fitting_bytes")
+    )
+
+
+@query("op9_bpe_roundtrip")
+def bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents encoded and decoded again, as digests."""
+    digests = roundtrip_digests(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return table(spark, folder, "documents").select("doc_id", digests.alias("d")).select("doc_id", "d.*")
