@@ -10,7 +10,9 @@ from veilframe.llm.bpe_stream import roundtrip_digests
 from veilframe.llm.common import held_out
 from veilframe.llm.compression_quality import fit_quality, quality_score
 from veilframe.llm.exact_dedup import duplicate_groups
+from veilframe.llm.parity_join import near_copies
 from veilframe.llm.sharding import shard_records
+from veilframe.llm.string_tiling import tile_coverage
 from veilframe.llm.token_counts import counts_and_fit
 from veilframe.registry.base import Query, table
 
@@ -88,3 +90,15 @@ def bpe_roundtrip(spark: SparkSession, folder: str) -> DataFrame:
     """All documents encoded and decoded again, as digests."""
     digests = roundtrip_digests(F.col("text"), public_tokenizers.path("byte_bpe_50k.json"))
     return table(spark, folder, "documents").select("doc_id", digests.alias("d")).select("doc_id", "d.*")
+
+
+@query("op5_string_tiling")
+def string_tiling(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item: a row for each pair."""
+    return tile_coverage(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op2_parity_sketch_join")
+def parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near copies among all documents: four-word shingles, Jaccard similarity of 0.85 and more."""
+    return near_copies(table(spark, folder, "documents"), 85, 100, 4).select("doc_id", "n_shingles", "component_id")

@@ -17,6 +17,8 @@ SLICE_BYTES = 1 << 20
 _U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Also ASCII punctuation and control characters: words are then runs of letters, digits and anything beyond ASCII.
+PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,9 +76,9 @@ def text_slices(texts: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int,
         lo = hi
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all rows in order, and the offsets of the rows in them."""
-    starts, ends, rows = word_bounds(data, off)
+    starts, ends, rows = word_bounds(data, off, between)
     up, down = _powers(len(data))
     total = np.zeros(len(data) + 1, _U64)
     np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
@@ -84,9 +86,9 @@ def word_hashes(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return hashes, rows
 
 
-def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_bounds(data: np.ndarray, off: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the words of all rows in order, and the offsets of the rows in them."""
-    inside = ~_SPACE[data]
+    inside = ~between[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     edge = off[1:-1]  # a row's first byte follows nothing, its last byte precedes nothing
@@ -97,6 +99,16 @@ def word_bounds(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends, np.searchsorted(starts, off)
 
 
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Running Karp-Rabin: hashes of all runs of exactly `width` words, each from the one before by a sum."""
+    if len(words) < width or not width:
+        return np.zeros(0, _U64)
+    up, down = _powers(len(words))
+    total = np.zeros(len(words) + 1, _U64)
+    np.cumsum(words * up[: len(words)], out=total[1:])
+    return mix((total[width:] - total[:-width]) * down[: len(words) - width + 1])
+
+
 _STEP = numbers(64, 29) | _U64(1)
 
 
