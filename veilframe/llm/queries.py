@@ -10,6 +10,8 @@ from veilframe.llm.bpe_stream import roundtrip_digests
 from veilframe.llm.common import held_out
 from veilframe.llm.compression_quality import fit_quality, quality_score
 from veilframe.llm.exact_dedup import duplicate_groups
+from veilframe.llm.kneser_ney import train_and_score
+from veilframe.llm.language import fit_languages, language_of
 from veilframe.llm.parity_join import near_copies
 from veilframe.llm.sharding import shard_records
 from veilframe.llm.string_tiling import tile_coverage
@@ -102,3 +104,23 @@ def string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 def parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
     """Near copies among all documents: four-word shingles, Jaccard similarity of 0.85 and more."""
     return near_copies(table(spark, folder, "documents"), 85, 100, 4).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op8_kneser_ney")
+def kneser_ney(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's log10 probability under a bigram model of six sevenths of them."""
+    docs, out = table(spark, folder, "documents").select("doc_id", "text"), held_out(F.col("doc_id"), 7, 2)
+    model, scores = train_and_score(docs, ~out)
+    return scores.select(
+        "doc_id", out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", "perplexity",
+    )
+
+
+@query("op6_language_spans")
+def language_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, from labelled spans of it."""
+    docs, out = table(spark, folder, "documents"), held_out(F.col("doc_id"), 5, 0)
+    model = fit_languages(docs, ~out)
+    return docs.select("doc_id", out.alias("held_out"), language_of(F.col("text"), model).alias("l")).select(
+        "doc_id", "held_out", "l.lang_pred", "l.score", F.size("l.spans").alias("n_spans"),
+    )
