@@ -16,6 +16,7 @@ from veilframe.llm.parity_join import near_copies
 from veilframe.llm.sharding import shard_records
 from veilframe.llm.string_tiling import tile_coverage
 from veilframe.llm.token_counts import counts_and_fit
+from veilframe.llm.tool_calls import link_tool_calls
 from veilframe.registry.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -124,3 +125,64 @@ def language_spans(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select("doc_id", out.alias("held_out"), language_of(F.col("text"), model).alias("l")).select(
         "doc_id", "held_out", "l.lang_pred", "l.score", F.size("l.spans").alias("n_spans"),
     )
+
+
+#: The tools that the query below takes user turns for: name, parameter, type, required.
+TOOLS = [
+    ("search", "query", "string", True), ("search", "limit", "integer", False),
+    ("translate", "query", "string", True), ("translate", "target", "string", True),
+    ("summarize", "query", "string", True), ("summarize", "limit", "integer", False),
+]
+
+_TOOL_SQL = """
+WITH RECURSIVE u AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, ['search', 'translate', 'summarize', 'browse'][length(text) % 4 + 1] AS name, text,
+         to_json(text) AS q FROM conversations WHERE role = 'user'
+), r AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, turn, text FROM conversations WHERE role = 'assistant'
+), lv AS (
+  SELECT a.conv_id, a.call_id, a.turn, 0 AS level FROM u a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.conv_id = a.conv_id AND b.turn = a.turn - 2)
+  UNION ALL SELECT a.conv_id, a.call_id, a.turn, lv.level + 1 FROM u a JOIN lv ON a.conv_id = lv.conv_id AND a.turn = lv.turn + 2
+), c AS (
+  SELECT u.*, lv.level, r.text AS content,
+    CASE name WHEN 'search' THEN '{"limit":' || length(u.text) || ',"query":' || q || '}'
+      WHEN 'translate' THEN CASE WHEN u.turn >= 4 THEN '{"query":' || q || '}' ELSE '{"query":' || q || ',"target":"en"}' END
+      WHEN 'summarize' THEN CASE WHEN u.turn >= 2 THEN '{"limit":"many","query":' || q || '}' ELSE '{"limit":5,"query":' || q || ',"style":"short"}' END
+      ELSE '{"query":' || q || '}' END AS args,
+    list_concat(CASE WHEN name = 'browse' THEN ['unknown tool'] WHEN name = 'translate' AND u.turn >= 4 THEN ['missing target']
+      WHEN name = 'summarize' AND u.turn >= 2 THEN ['no integer: limit'] WHEN name = 'summarize' THEN ['unknown style'] ELSE [] END,
+      list_concat(CASE WHEN r.conv_id IS NULL THEN ['no result'] ELSE [] END,
+        CASE WHEN u.turn >= 2 AND level = 0 THEN ['needs unknown c' || (u.turn - 2)] ELSE [] END)) AS errors
+  FROM u JOIN lv USING (conv_id, call_id) LEFT JOIN r USING (conv_id, call_id)
+)
+SELECT conv_id, call_id, turn AS position, name, CAST(level AS INTEGER) AS level, CAST(len(errors) AS INTEGER) AS n_errors,
+  '{"arguments":' || args || ',"call_id":"' || call_id || '","errors":' || to_json(errors) || ',"level":' || level || ',"name":"' || name
+  || '","result":' || coalesce(to_json(content), 'null') || '}' AS json FROM c
+UNION ALL
+SELECT conv_id, call_id, turn, NULL, NULL, 1, '{"arguments":null,"call_id":"' || call_id || '","errors":["no call"],"level":null,"name":null,"result":' || to_json(text) || '}'
+FROM r WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.conv_id = r.conv_id AND u.call_id = r.call_id)
+"""
+
+
+@query("op10_tool_call_linking", _TOOL_SQL)
+def tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
+    """Every user turn taken as a tool call that needs the one before it, every assistant turn as the result of the turn before."""
+    turns = table(spark, folder, "conversations")
+    text, turn = F.col("text"), F.col("turn")
+    name = F.element_at(F.array(*map(F.lit, ("search", "translate", "summarize", "browse"))), F.length(text) % 4 + 1)
+    plain = F.to_json(F.struct(text.alias("query")))
+    arguments = (
+        F.when(name == "search", F.to_json(F.struct(text.alias("query"), F.length(text).alias("limit"))))
+        .when((name == "translate") & (turn < 4), F.to_json(F.struct(text.alias("query"), F.lit("en").alias("target"))))
+        .when((name == "summarize") & (turn >= 2), F.to_json(F.struct(text.alias("query"), F.lit("many").alias("limit"))))
+        .when(name == "summarize", F.to_json(F.struct(text.alias("query"), F.lit(5).alias("limit"), F.lit("short").alias("style"))))
+        .otherwise(plain)
+    )
+    call = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    calls = turns.where("role = 'user'").select(
+        "conv_id", call(turn).alias("call_id"), turn.alias("position"), name.alias("name"), arguments.alias("arguments"),
+        F.when(turn >= 2, F.array(call(turn - 2))).alias("depends_on"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("position"), text.alias("content"))
+    schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
+    return link_tool_calls(calls, results, schemas)

@@ -7,7 +7,8 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -114,58 +115,81 @@ class Benchmark:
         return found
 
 
+def tiled_hits(texts: pa.Array, bench: Benchmark, threshold: float) -> list[tuple[int, int, int, int, int, int]]:
+    """(row, item, words of the item, words covered, tiles, longest tile) of all texts that reach the threshold."""
+    hits = []
+    for lo, _, data, off in text_slices(texts):
+        words, rows = word_hashes(data, off, PLAIN)
+        for r, owners in sorted(bench.shared(words, rows).items()):
+            for i in sorted(owners):
+                found = tiles(words[rows[r] : rows[r + 1]], bench.words[i], bench.min_match)
+                total, covered = len(bench.words[i]), sum(t[2] for t in found)
+                if found and covered >= threshold * total:
+                    hits.append((lo + r, i, total, covered, len(found), max(t[2] for t in found)))
+    return hits
+
+
+def benchmark_blocks(
+    benchmark: DataFrame, item_column: str = "item_id", item_text: str = "text", min_match: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES,
+) -> Iterator[Broadcast]:
+    """The benchmark in blocks of about `block_bytes` of text, each sent to the executors as word hashes."""
+    items = benchmark.select(column(item_column).alias("item"), column(item_text).alias("text")).where("text is not null")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-size // block_bytes))
+    for b in range(blocks):
+        rows = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(Benchmark([r.item for r in rows], [r.text for r in rows], min_match))
+
+
+def is_contaminated(text: Column, blocks: list[Broadcast], threshold: float = THRESHOLD) -> Column:
+    """Whether tiles of a text cover at least `threshold` of any item of any block; false for null. One narrow pass."""
+
+    def held_against(sent: Broadcast) -> Column:
+        @F.arrow_udf("boolean")
+        def hit(texts: pa.Array) -> pa.Array:
+            out = np.zeros(len(texts), bool)
+            out[[h[0] for h in tiled_hits(texts, sent.value, threshold)]] = True
+            return pa.array(out)
+
+        return hit(F.coalesce(text, F.lit("")))
+
+    return reduce(Column.__or__, map(held_against, blocks))
+
+
 def tile_coverage(
     docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id",
-    item_text: str = "text", threshold: float = THRESHOLD, min_match: int = MIN_MATCH, carry: tuple[str, ...] = (),
-    block_bytes: int = BLOCK_BYTES,
+    item_text: str = "text", threshold: float = THRESHOLD, min_match: int = MIN_MATCH, block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
     """Pairs of a document and a benchmark item whose tiles cover at least `threshold` of the item's words.
 
-    Columns: the document's id and `carry` columns, the item's id, item_words, covered_words, coverage, n_tiles, longest
-    (words of the longest tile). Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case, so
-    changed case and punctuation do not hide a passage, nor does another order of its parts of `min_match` words and more.
-    Null and empty texts and items without words match nothing; an item shorter than `min_match` must occur whole;
-    repeated rows and repeated items each give their own pairs.
+    Columns: the document's id, the item's id, item_words, covered_words, coverage, n_tiles, longest (words of the longest
+    tile). Words are runs of letters, digits and characters beyond ASCII, A-Z in lower case, so changed case and
+    punctuation do not hide a passage, nor does another order of its parts of `min_match` words and more. Null and empty
+    texts and items without words match nothing; an item shorter than `min_match` must occur whole; repeated rows and
+    repeated items each give their own pairs.
 
     The benchmark is taken in blocks of about `block_bytes` of text, each sent to the executors and held against all
     documents in one narrow pass: no shuffle, so no key can be hot. A document is tiled only with items of which it has a
     seed.
     """
-    ident, text = column(id_column), column(text_column)
-    items = benchmark.select(column(item_column).alias("item"), column(item_text).alias("text")).where("text is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    kinds = {f.name: f.dataType for f in [*docs.schema, *items.schema]}
-    source = docs.select(ident.alias("id"), *[column(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.coalesce(text, F.lit("")).alias("text"))
-    head = ", ".join(f"`{n}` {t.simpleString()}" for n, t in [("id", kinds[id_column]), *[(f"c_{i}", kinds[c]) for i, c in enumerate(carry)], ("item", kinds["item"])])
-    schema = head + ", item_words long, covered_words long, coverage double, n_tiles long, longest long"
-
-    def held_against(rows: list):
-        bench = Benchmark([r.item for r in rows], [r.text for r in rows], min_match)
-        sent = docs.sparkSession.sparkContext.broadcast(bench)  # at most about block_bytes of text, as hashes
+    id_kind, item_kind = docs.schema[id_column].dataType, benchmark.schema[item_column].dataType
+    item_type = to_arrow_type(item_kind)
+    schema = f"id {id_kind.simpleString()}, item {item_kind.simpleString()}, item_words long, covered_words long, coverage double, n_tiles long, longest long"
+    names = ["id", "item", "item_words", "covered_words", "coverage", "n_tiles", "longest"]
+    source = docs.select(column(id_column).alias("id"), F.coalesce(column(text_column), F.lit("")).alias("text"))
 
+    def held_against(sent: Broadcast) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            bench = sent.value
             for batch in batches:
-                hits = []
-                for lo, _, data, off in text_slices(batch.column("text")):
-                    words, rows = word_hashes(data, off, PLAIN)
-                    for r, owners in sorted(bench.shared(words, rows).items()):
-                        for i in sorted(owners):
-                            found = tiles(words[rows[r] : rows[r + 1]], bench.words[i], min_match)
-                            total, covered = len(bench.words[i]), sum(t[2] for t in found)
-                            if found and covered >= threshold * total:
-                                hits.append((lo + r, bench.ids[i], total, covered, covered / total, len(found), max(t[2] for t in found)))
-                picked = batch.drop_columns(["text"]).take(pa.array([h[0] for h in hits], pa.int64()))
-                values = list(zip(*hits, strict=True))[1:] if hits else [[]] * 6
-                types = [pa.from_numpy_dtype(np.int64)] * 2 + [pa.float64()] + [pa.int64()] * 2
-                arrays = [pa.array(values[0]) if hits else pa.array([], item_type), *[pa.array(v, t) for v, t in zip(values[1:], types, strict=True)]]
-                yield pa.RecordBatch.from_arrays([*picked.columns, arrays[0].cast(item_type), *arrays[1:]], names=names)
+                hits = tiled_hits(batch.column("text"), sent.value, threshold)
+                row, item, total, covered, count, longest = zip(*hits, strict=True) if hits else [()] * 6
+                yield pa.RecordBatch.from_arrays([
+                    batch.column("id").take(pa.array(row, pa.int64())), pa.array([sent.value.ids[i] for i in item], item_type),
+                    pa.array(total, pa.int64()), pa.array(covered, pa.int64()), pa.array([c / t for c, t in zip(covered, total, strict=True)], pa.float64()),
+                    pa.array(count, pa.int64()), pa.array(longest, pa.int64()),
+                ], names=names)
 
         return source.mapInArrow(scan, schema)
 
-    item_type = to_arrow_type(kinds["item"])
-    names = ["id", *[f"c_{i}" for i in range(len(carry))], "item", "item_words", "covered_words", "coverage", "n_tiles", "longest"]
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(blocks))
-    parts = [held_against(items.where(block == b).collect()) for b in range(blocks)]
-    return reduce(DataFrame.unionAll, parts).toDF(id_column, *carry, item_column, *names[-5:])
+    blocks = benchmark_blocks(benchmark, item_column, item_text, min_match, block_bytes)
+    return reduce(DataFrame.unionAll, map(held_against, blocks)).toDF(id_column, item_column, *names[2:])
