@@ -24,8 +24,8 @@ from veilframe.llm.common import column
 from veilframe.llm.words import mix, text_slices, word_hashes
 from veilframe.session import fresh_path, stage
 
-HELD_KEYS = 3_000_000
-SLICE = 4 << 20
+HELD_KEYS = 1_500_000
+SLICE = 2 << 20
 _U64 = np.uint64
 _END = mix(np.array([0xE0D], _U64))[0]  # the end of a text, as a word
 _START = _U64(0xFFFFFFFF)  # the place before its first word, only ever a context

@@ -30,8 +30,8 @@ class Bands:
     """
 
     def __init__(self, num: int, den: int):
-        if not 0 < num <= den:
-            raise ValueError("the similarity must be above 0 and at most 1")
+        if not den < 2 * num <= 2 * den:
+            raise ValueError("the similarity must be above 1/2 and at most 1")
         self.num, self.den = num, den
         high = [1]
         while high[-1] < 1 << 40:
@@ -51,24 +51,28 @@ def signatures(elements: np.ndarray, bands: Bands) -> np.ndarray:
 
     In each of its bands the set's elements are hashed into k blocks; a block is a sparse parity sketch (elements flip
     bits, here as the XOR of one random number per bit), and its signature is made of band, block and sketch. An element
-    in which two sets differ changes one block, so at most d blocks differ; a set with more than d non-empty blocks has
-    one that its partner has too. k leaves room for a few empty blocks; a set that still has too many is hashed
-    anew, with another salt, until it has enough. Two partners meet under the first salt that is enough for either of
-    them. Empty blocks, which unrelated sets would share, are never used.
+    in which two sets differ changes one block; a set with more non-empty blocks than it can have differences with any
+    partner of the band has one that its partner has too. k is the most differences in the band and room for a few empty
+    blocks; a set that still has too many is hashed anew, with another salt and more blocks, until it has enough, which
+    comes to pass as a set has more elements than differences (that takes a similarity above 1/2). Two partners meet
+    under the first salt that is enough for either of them. Empty blocks, which unrelated sets would share, are never
+    used.
     """
     out = []
     for band in bands.of(len(elements)):
         d = bands.difference(2 * int(bands.high[band]))
         if not d:
             continue  # only equal sets are similar enough
-        k, salt = d + d // 12 + 3, 0
+        n, salt = len(elements), 0
+        most = bands.difference(n + min(int(bands.high[band]), n * bands.den // bands.num))
         while True:
+            k = (d + d // 12 + 3) * (salt + 1)
             placed = elements if not salt else np.sort(mix(elements + _U64(salt)))
             block = ((placed >> _U64(32)) * _U64(k)) >> _U64(32)
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
             sketch = np.bitwise_xor.reduceat(mix(placed), first)
             out.append(mix(sketch + mix(block[first] + (_U64(band) << _U64(44)) + (_U64(salt) << _U64(54)))))
-            if len(first) > d:
+            if len(first) > most:
                 break
             salt += 1
     return np.concatenate(out) if out else np.zeros(0, _U64)

@@ -56,7 +56,7 @@ def shard_records(
 
     Records are ordered by a digest of `group`, then by a hash of the whole row, so records of one group lie together
     and no source, id or length decides the order. A sample in which a record's chance is in proportion to its size
-    gives quantile splitters; ranges that the exact counts show to be overfull (over twice the mean) are cut again by a
+    gives quantile splitters; ranges that the exact counts show to be overfull (over twice the mean, their largest record aside) are cut again by a
     denser sample of their own until none is left or a cut no longer helps. Within a range records are numbered and their
     bytes summed; with the exact sums of the ranges before it every record knows its first byte's place in the whole
     order, and shard s takes those that begin in the s-th of `shards` equal stretches. So the bytes of two shards differ
@@ -85,12 +85,13 @@ def shard_records(
     total = rows.agg(F.sum("size")).first()[0] or 0
     ranges = max(min_ranges, -(-total // range_bytes))
     splitters = _quantiles(*_sample(rows, total, ranges * SAMPLES_PER_RANGE), ranges)
-    counts: dict[int, tuple[int, int]] = {}
+    counts: dict[int, tuple[int, int, int]] = {}
     while True:
         found = rows.withColumn("range", _range_of(splitters)("key"))
-        counts = {r["range"]: (r["bytes"], r["n"]) for r in found.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()}
+        sums = found.groupBy("range").agg(F.sum("size").alias("bytes"), F.count("*").alias("n"), F.max("size").alias("largest"))
+        counts = {r["range"]: (r["bytes"], r["n"], r["largest"]) for r in sums.collect()}
         goal = max(1, total // ranges)
-        over = [r for r, (b, n) in counts.items() if b > 2 * goal and n > 1]
+        over = [r for r, (b, _, largest) in counts.items() if b - largest > 2 * goal]
         inside = sum(counts[r][0] for r in over)
         if not over:
             break
@@ -98,13 +99,13 @@ def shard_records(
         where = np.searchsorted(splitters, keys, "right")
         more = [_quantiles(keys[where == r], weights[where == r], -(-2 * counts[r][0] // goal)) for r in over]
         finer = np.unique(np.concatenate([splitters, *more]))
-        if len(finer) == len(splitters):  # what is left are single large records
+        if len(finer) == len(splitters):
             break
         splitters = finer
 
     n = len(splitters) + 1
     bytes_before, rows_before = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64)
-    for r, (b, c) in counts.items():
+    for r, (b, c, _) in counts.items():
         bytes_before[r + 1], rows_before[r + 1] = b, c
     bytes_before, rows_before = np.cumsum(bytes_before), np.cumsum(rows_before)
 
