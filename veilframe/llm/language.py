@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import column, kept
 
 TRIGRAMS = 1 << 16
-SAMPLE_PER_LANGUAGE = 2000
-SAMPLE_CHARS = 1 << 14
+SAMPLE_PER_LANGUAGE = 1000
+SAMPLE_CHARS = 1 << 13
 SWITCH = 20.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -119,13 +119,15 @@ def fit_languages(
     rows = docs.where(column(lang_column).isNotNull() & column(text_column).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    languages = sorted(r[0] for r in rows.select(lang_column).distinct().collect())
+    draw = F.xxhash64(column(id_column).cast("string"))
+    rows = rows.select(column(lang_column).alias("lang"), draw.alias("draw"), F.substring(column(text_column), 1, sample_chars).alias("text"))
+    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
     counts, scripts = np.zeros((TRIGRAMS, len(languages))), np.zeros((len(SCRIPTS) + 1, len(languages)))
     for i, language in enumerate(languages):
-        drawn = rows.where(column(lang_column) == language).select(
-            F.xxhash64(column(id_column).cast("string")).alias("draw"), F.substring(column(text_column), 1, sample_chars).alias("text"),
-        ).orderBy("draw", F.xxhash64("text")).limit(sample_per_language)
-        found = words_of([r.text for r in drawn.collect()])
+        own = rows.where(F.col("lang") == language)
+        last = own.select("draw").orderBy("draw").limit(sample_per_language).agg(F.max("draw")).first()[0]
+        texts = {r.text for r in own.where(F.col("draw") <= last).select("text").collect()}
+        found = words_of(sorted(texts))
         counts[:, i] = np.bincount(found.hashes, minlength=TRIGRAMS)
         scripts[:, i] = np.bincount(found.script, weights=found.letters, minlength=len(SCRIPTS) + 1)
     chance = (counts + 0.02) / (counts.sum(axis=0) + 0.02 * TRIGRAMS)

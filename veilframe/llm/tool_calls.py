@@ -31,22 +31,27 @@ def _suits(kind: Column, found: Column) -> Column:
     )
 
 
-def argument_errors(arguments: Column, params: Column) -> Column:
-    """What is wrong with the JSON text `arguments` under `params` (array of param, type, required; null: no such tool).
+def with_argument_errors(calls: DataFrame) -> DataFrame:
+    """`calls` with `errors`: what is wrong with the JSON text `arguments` under `params` (array of param, type,
+    required; null: no such tool).
 
     In this order: no object at all, missing parameters, unknown ones, values of another type; each by name.
     """
-    parsed = F.try_parse_json(arguments)
-    is_object = F.coalesce(F.schema_of_variant(parsed).startswith("OBJECT<"), F.lit(False))
-    given = F.from_json(F.when(is_object, arguments), "map<string, variant>")
-    names = F.array_sort(F.map_keys(given))
-    has = lambda p: F.array_contains(names, p["param"])
-    missing = F.transform(F.filter(params, lambda p: p["required"] & ~has(p)), lambda p: p["param"])
-    extra = F.filter(names, lambda n: ~F.array_contains(F.transform(params, lambda p: p["param"]), n))
-    wrong = F.filter(params, lambda p: has(p) & ~_suits(p["type"], F.schema_of_variant(F.try_element_at(given, p["param"]))))
+    has = lambda p: F.array_contains(F.col("given_names"), p["param"])
+    missing = F.transform(F.filter("params", lambda p: p["required"] & ~has(p)), lambda p: p["param"])
+    extra = F.filter("given_names", lambda n: ~F.array_contains(F.col("params.param"), n))
+    wrong = F.filter("params", lambda p: has(p) & ~_suits(p["type"], F.try_element_at(F.col("given_kinds"), p["param"])))
+    mine = ("parsed", "given", "given_names", "given_kinds")
     return (
-        F.when(params.isNull(), F.array(F.lit("unknown tool"))).when(~is_object, F.array(F.lit("arguments are no object")))
-        .otherwise(F.concat(_words("missing ", missing), _words("unknown ", extra), F.transform(wrong, lambda p: F.concat(F.lit("no "), p["type"], F.lit(": "), p["param"]))))
+        calls.withColumn("parsed", F.coalesce(F.schema_of_variant(F.try_parse_json("arguments")).startswith("OBJECT<"), F.lit(False)))
+        .withColumn("given", F.from_json(F.when(F.col("parsed"), F.col("arguments")), "map<string, variant>"))
+        .withColumn("given_names", F.array_sort(F.map_keys("given")))
+        .withColumn("given_kinds", F.transform_values("given", lambda _, v: F.schema_of_variant(v)))
+        .withColumn(
+            "errors",
+            F.when(F.col("params").isNull(), F.array(F.lit("unknown tool"))).when(~F.col("parsed"), F.array(F.lit("arguments are no object")))
+            .otherwise(F.concat(_words("missing ", missing), _words("unknown ", extra), F.transform(wrong, lambda p: F.concat(F.lit("no "), p["type"], F.lit(": "), p["param"])))),
+        ).drop(*mine)
     )
 
 
@@ -93,49 +98,51 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     or arrays are nested in that form, any other text is a string. Rows that are equal in all columns are one call each,
     the second and later of them with a repeated identifier.
     """
-    own = stage(
-        calls.select("conv_id", "call_id", F.col("position").cast("long").alias("position"), "name", "arguments",
-                     F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("needs"), F.monotonically_increasing_id().alias("row")),
-        "calls",
-    )
     named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    rank = F.struct("position", F.xxhash64("name", "arguments", "needs").alias("hash"), "row")
-    heads = own.where(named).groupBy(*_KEY).agg(F.min(rank).alias("head"))
-    answer = results.where(named).groupBy(*_KEY).agg(
-        F.min(F.struct(F.col("position").cast("long").alias("position"), "content")).alias("first"), F.count("*").alias("n_results"),
-    )
     params = (
         schemas.where("name is not null and param is not null").groupBy("name", "param").agg(F.min("type").alias("type"), F.max(F.coalesce("required", F.lit(False))).alias("required"))
         .groupBy("name").agg(F.array_sort(F.collect_list(F.struct("param", "type", "required"))).alias("params"))  # a tool's own parameters
     )
-    linked = own.join(heads, [*_KEY], "left").withColumn("first_of_id", F.coalesce(F.col("head.row") == F.col("row"), F.lit(False)))
-    linked = linked.join(answer, [*_KEY], "left").join(params, "name", "left")
+    own = calls.select(
+        "conv_id", "call_id", F.col("position").cast("long").alias("position"), "name", "arguments",
+        F.array_distinct(F.coalesce("depends_on", F.array().cast("array<string>"))).alias("needs"),
+    )
+    own = stage(
+        with_argument_errors(own.join(params, "name", "left")).drop("params")
+        .select("*", F.xxhash64("name", "arguments", "needs").alias("hash"), F.monotonically_increasing_id().alias("row")),
+        "calls",
+    )
+    answers = stage(results.select(*_KEY, F.col("position").cast("long").alias("position"), "content"), "results")
+    heads = stage(
+        own.where(named).groupBy(*_KEY).agg(F.min(F.struct("position", "hash", "row")).alias("head")).select(*_KEY, F.col("head.row").alias("row")), "heads",
+    )
+    answer = answers.where(named).groupBy(*_KEY).agg(F.min(F.struct("position", "content")).alias("first"), F.count("*").alias("n_results"))
+    linked = stage(heads.join(answer, [*_KEY], "left").select(*_KEY, "row", F.col("first.content").alias("content"), "n_results"), "linked")
 
-    needs = own.where(named).select(*_KEY, "row", F.explode("needs").alias("dep")).join(heads.select("conv_id", F.col("call_id").alias("dep"), F.col("head.row").alias("dep_row")), ["conv_id", "dep"], "left")
-    unknown = needs.where("dep_row is null").groupBy("row").agg(F.array_sort(F.collect_list("dep")).alias("unknown_needs"))  # of one call's own list
-    first_needs = needs.where("dep_row is not null").join(heads.select(*_KEY, F.col("head.row").alias("row")), [*_KEY, "row"], "left_semi")
-    levels = topological_levels(first_needs.select(*_KEY, "dep")).withColumn("levelled", F.lit(True))
-    linked = linked.join(unknown, "row", "left").join(levels, [*_KEY], "left")
+    dep = heads.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("there"))
+    needs = stage(own.where(named).select(*_KEY, "row", F.explode("needs").alias("dep")).join(dep, ["conv_id", "dep"], "left"), "needs")
+    unknown = needs.where("there is null").groupBy("row").agg(F.array_sort(F.collect_list("dep")).alias("unknown_needs"))  # of one call's own list
+    known = needs.where("there").join(heads, [*_KEY, "row"], "left_semi").select(*_KEY, "dep")
+    levels = stage(topological_levels(known), "levels").join(heads, [*_KEY]).select("row", "level", F.lit(True).alias("levelled"))
 
-    is_named = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull()
-    cycle = F.col("first_of_id") & F.col("levelled").isNotNull() & F.col("level").isNull()
+    whole = own.join(linked.select("row", F.lit(True).alias("first_of_id"), "content", "n_results"), "row", "left").join(unknown, "row", "left").join(levels, "row", "left")
+    none = F.array().cast("array<string>")
     errors = F.concat(
-        argument_errors(F.col("arguments"), F.col("params")),
-        _when(~is_named, "no identifier"), _when(is_named & ~F.col("first_of_id"), "repeated identifier"),
+        "errors", _when(~named, "no identifier"), _when(named & F.col("first_of_id").isNull(), "repeated identifier"),
         _when(F.col("first_of_id") & F.col("n_results").isNull(), "no result"),
-        _when(F.col("first_of_id") & (F.coalesce("n_results", F.lit(0)) > 1), F.concat(F.col("n_results").cast("string"), F.lit(" results"))),
-        _words("needs unknown ", F.coalesce("unknown_needs", F.array().cast("array<string>"))), _when(cycle, "in or above a cycle"),
+        _when(F.col("n_results") > 1, F.concat(F.col("n_results").cast("string"), F.lit(" results"))),
+        _words("needs unknown ", F.coalesce("unknown_needs", none)), _when(F.col("levelled") & F.col("level").isNull(), "in or above a cycle"),
     )
-    level = F.when(F.col("first_of_id"), F.when(F.col("levelled").isNull(), F.lit(0)).otherwise(F.col("level")))
-    called = linked.select(*_KEY, "position", "name", level.alias("level"), errors.alias("errors"), "arguments", F.when(F.col("first_of_id"), F.col("first.content")).alias("content"))
-    lost = results.join(heads.select(*_KEY), [*_KEY], "left_anti").select(
-        *_KEY, F.col("position").cast("long").alias("position"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"),
+    level = F.when(F.col("first_of_id"), F.when(F.col("levelled"), F.col("level")).otherwise(0))
+    called = whole.select(*_KEY, "position", "name", level.alias("level"), errors.alias("errors"), "arguments", "content")
+    lost = answers.join(heads, [*_KEY], "left_anti").select(
+        *_KEY, "position", F.lit(None).cast("string").alias("name"), F.lit(None).cast("int").alias("level"),
         F.array(F.lit("no call")).alias("errors"), F.lit(None).cast("string").alias("arguments"), "content",
     )
     message = F.struct(
-        _value(F.col("arguments")).alias("arguments"), F.col("call_id").cast("string").alias("call_id"), "errors", "level", "name", _value(F.col("content")).alias("result"),
+        F.col("arguments_").alias("arguments"), F.col("call_id").cast("string").alias("call_id"), "errors", "level", "name", F.col("content_").alias("result"),
     )
-    return called.unionAll(lost).select(
+    return called.unionAll(lost).withColumn("arguments_", _value(F.col("arguments"))).withColumn("content_", _value(F.col("content"))).select(
         *_KEY, "position", "name", "level", F.size("errors").alias("n_errors"), F.to_json(F.to_variant_object(message)).alias("json"),
     )
 
