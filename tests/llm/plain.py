@@ -70,19 +70,22 @@ class Bigrams:
         for (a, b), c in self.pair.items():
             self.left[b] += 1
             self.after[a].append(c)
+        self.total = {a: sum(c) for a, c in self.after.items()}
         self.d, self.dw = _discounts(list(self.pair.values())), _discounts(list(self.left.values()))
+        self.word_mass = sum(self.dw[min(c, 3)] for c in self.left.values())
+        self.mass = {a: sum(self.d[min(x, 3)] for x in c) for a, c in self.after.items()}
 
     def word(self, w):
         if not self.pair:
             return 1 / (self.v + 1)
-        mass = sum(self.dw[min(c, 3)] for c in self.left.values()) / len(self.pair)
+        mass = self.word_mass / len(self.pair)
         return max(self.left[w] - self.dw[min(self.left[w], 3)], 0) / len(self.pair) + mass / (self.v + 1)
 
     def probability(self, before, w):
         if before not in self.after:
             return self.word(w)
-        total, c = sum(self.after[before]), self.pair[before, w]
-        mass = sum(self.d[min(x, 3)] for x in self.after[before]) / total
+        total, c = self.total[before], self.pair[before, w]
+        mass = self.mass[before] / total
         return max(c - self.d[min(c, 3)], 0) / total + mass * self.word(w)
 
     def score(self, text):
