@@ -14,8 +14,8 @@ from veilframe.llm.components import components
 from veilframe.llm.words import mix, shingle_sets
 from veilframe.session import stage
 
-PARTITION_SIGNATURES = 2_000_000
-FLUSH_SIGNATURES = 2_000_000
+PARTITION_SIGNATURES = 1_000_000
+FLUSH_SIGNATURES = 1_000_000
 TILE = 512
 BROADCAST_ROWS = 100_000
 _U64 = np.uint64
@@ -137,7 +137,7 @@ def _sets(docs: DataFrame, width: int, names: dict[str, str]) -> DataFrame:
 def _buckets(docs: DataFrame, width: int, bands: Bands, partitions: int) -> DataFrame:
     """(bucket, node): sets that share a signature, a node being the first digest of a set. Equal buckets are one.
 
-    Signatures travel packed, a row per partition and two million of them. A task sends those of equal sets once.
+    Signatures travel packed, a row per partition and million of them. A task sends those of equal sets once.
     """
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def _buckets(docs: DataFrame, width: int, bands: Bands, partitions: int) -> Data
                 digests = _digests(elements)
                 if digests in seen:
                     continue
-                if len(seen) >= 200_000:  # only saves work, so it may forget
+                if len(seen) >= 50_000:  # only saves work, so it may forget
                     seen.clear()
                 seen.add(digests)
                 signs.append(signatures(elements, bands))
@@ -238,6 +238,13 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[
         yield pa.Table.from_batches(held)
 
 
+def _small(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Batches cut to a few rows, for rows that hold whole sets."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def _candidates(members: DataFrame, bands: Bands, across: bool) -> DataFrame:
     """Pairs (a, b) of sets of one bucket whose sketches do not rule the similarity out.
 
@@ -314,7 +321,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     texts = docs.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text", "class", "hub", "place", "role")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _small(batches):
             names, rows, sets = batch.column("class").to_pylist(), [], []
             for i, elements in shingle_sets(batch.column("text"), width):
                 if len(elements) and _class(*_digests(elements)) == names[i]:  # ids may repeat
@@ -325,7 +332,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
-        for batch in batches:
+        for batch in _small(batches):
             left, right = [], []
             for name, h, role, held in zip(*(batch.column(c).to_pylist() for c in ("class", "hub", "role", "set")), strict=True):
                 elements = np.frombuffer(held, _U64)
