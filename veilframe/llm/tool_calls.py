@@ -5,10 +5,10 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from veilframe.session import stage
+from veilframe.session import fresh_path, stage
 
 _KEY = ("conv_id", "call_id")
 
@@ -59,26 +59,26 @@ def topological_levels(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of every call that has an edge (conv_id, call_id, dep) to a call it needs.
 
     level is the length of the longest chain of needs below it: 1 if it only needs calls that need nothing; null in a
-    cycle and above one. One round per level, each over the edges that are still open, staged in the shared folder; so the
+    cycle and above one. Each round clears the edges to calls that wait for nothing any more, so the level of a call is
+    the round that cleared its last edge. A round works on the edges still open and is staged in the shared folder; the
     depth of the deepest conversation is what costs, not its number of calls.
     """
-    open_, levels, level = stage(edges.select(*_KEY, "dep").distinct(), "needs"), None, 0
-    left = open_.count()
-    while left:
+    spark, paths, level, left = edges.sparkSession, [], 0, None
+    open_ = edges.select(*_KEY, "dep").distinct()
+    while True:
         level += 1
-        waiting = open_.select("conv_id", F.col("call_id").alias("dep")).distinct().withColumn("still", F.lit(True))
-        marked = stage(open_.join(waiting, ["conv_id", "dep"], "left").withColumn("still", F.col("still").isNotNull()), "needs")
-        freed = marked.groupBy(*_KEY).agg(F.max("still").alias("still")).where("not still").select(*_KEY, F.lit(level).alias("level"))
-        levels = freed if levels is None else levels.unionAll(freed)
-        if level % 20 == 0:
-            levels = stage(levels, "levels")
-        open_ = marked.where("still").drop("still")
-        now = open_.count()
-        if now == left:
+        waiting = open_.select("conv_id", F.col("call_id").alias("dep")).distinct().withColumn("waits", F.lit(True))
+        seen, path = Observation(), fresh_path(spark, "needs")
+        marked = open_.join(waiting, ["conv_id", "dep"], "left").select(*_KEY, "dep", F.col("waits").isNotNull().alias("open"), F.lit(level).alias("level"))
+        marked.observe(seen, F.count_if("open").alias("open")).write.parquet(path)
+        paths.append(path)
+        now = seen.get["open"]
+        if not now or now == left:
             break
-        left = now
-    stuck = open_.select(*_KEY).distinct().withColumn("level", F.lit(None).cast("int"))
-    return stuck if levels is None else levels.unionAll(stuck)
+        open_, left = spark.read.schema(marked.schema).parquet(path).where("open").drop("open", "level"), now
+    # An edge open in the last round was never cleared; open in an earlier one, it is there again in the next.
+    done = spark.read.schema(marked.schema).parquet(*paths).where((F.col("level") == level) | ~F.col("open"))
+    return done.groupBy(*_KEY).agg(F.when(~F.max("open"), F.max("level")).alias("level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
@@ -112,20 +112,21 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
         .select("*", F.xxhash64("name", "arguments", "needs").alias("hash"), F.monotonically_increasing_id().alias("row")),
         "calls",
     )
-    answers = stage(results.select(*_KEY, F.col("position").cast("long").alias("position"), "content"), "results")
+    answers = results.select(*_KEY, F.col("position").cast("long").alias("position"), "content")
     heads = stage(
         own.where(named).groupBy(*_KEY).agg(F.min(F.struct("position", "hash", "row")).alias("head")).select(*_KEY, F.col("head.row").alias("row")), "heads",
     )
-    answer = answers.where(named).groupBy(*_KEY).agg(F.min(F.struct("position", "content")).alias("first"), F.count("*").alias("n_results"))
-    linked = stage(heads.join(answer, [*_KEY], "left").select(*_KEY, "row", F.col("first.content").alias("content"), "n_results"), "linked")
-
     dep = heads.select("conv_id", F.col("call_id").alias("dep"), F.lit(True).alias("there"))
     needs = stage(own.where(named).select(*_KEY, "row", F.explode("needs").alias("dep")).join(dep, ["conv_id", "dep"], "left"), "needs")
     unknown = needs.where("there is null").groupBy("row").agg(F.array_sort(F.collect_list("dep")).alias("unknown_needs"))  # of one call's own list
-    known = needs.where("there").join(heads, [*_KEY, "row"], "left_semi").select(*_KEY, "dep")
-    levels = stage(topological_levels(known), "levels").join(heads, [*_KEY]).select("row", "level", F.lit(True).alias("levelled"))
+    levels = topological_levels(needs.where("there").join(heads, [*_KEY, "row"], "left_semi")).withColumn("levelled", F.lit(True))
 
-    whole = own.join(linked.select("row", F.lit(True).alias("first_of_id"), "content", "n_results"), "row", "left").join(unknown, "row", "left").join(levels, "row", "left")
+    answer = answers.where(named).groupBy(*_KEY).agg(F.min(F.struct("position", "content")).alias("first"), F.count("*").alias("n_results"))
+    linked = stage(
+        heads.join(answer, [*_KEY], "left").join(levels, [*_KEY], "left")
+        .select("row", F.lit(True).alias("first_of_id"), F.col("first.content").alias("content"), "n_results", "level", "levelled"), "linked",
+    )
+    whole = own.join(linked, "row", "left").join(unknown, "row", "left")
     none = F.array().cast("array<string>")
     errors = F.concat(
         "errors", _when(~named, "no identifier"), _when(named & F.col("first_of_id").isNull(), "repeated identifier"),
