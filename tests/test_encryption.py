@@ -145,3 +145,13 @@ def test_array_elements_encrypt_like_columns(spark):
     df = spark.range(1, 400).select(F.col("id").cast("int").alias("k"), F.array(F.col("id").cast("int"), F.lit(None).cast("int")).alias("a"))
     out = mask_json(df, "t", RuleSet(key=KEY, constraint=("k", "a")))
     assert out.filter("a[0] <> k OR a[1] IS NOT NULL OR size(a) <> 2").count() == 0
+
+
+def test_types_without_a_domain_are_refused(spark):
+    df = spark.sql("SELECT DATE '2024-01-02' AS d, TIMESTAMP '2024-01-02 03:04:05' AS t, X'01' AS b")
+    for name in df.columns:
+        with pytest.raises(ValueError, match="cannot be encrypted"):
+            fpe.fpe_column(F.col(name), df.schema[name].dataType, KEY)
+    for name in ("date", "timestamp", "bytea"):
+        with pytest.raises(ValueError, match="cannot be encrypted"):
+            fpe.fpe(F.col("d"), name, KEY)

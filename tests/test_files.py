@@ -190,3 +190,11 @@ def test_declared_lengths_of_table_columns(spark, tmp_path):
         assert sqldump.create_statement(df.schema, "t").startswith("CREATE TABLE t (c VARCHAR(6),")
     finally:
         spark.sql("DROP TABLE veil_len")
+
+
+def test_csv_keeps_blanks_and_empty_rows(spark, tmp_path):
+    df = spark.createDataFrame([(" a ",), (None,), ("",), ("b",)], "v string")
+    writers.write_csv(df, str(tmp_path / "one"))
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "one")).collect() if r.value != "v")
+    assert lines == sorted([" a ", '""', '""', "b"])
+    assert readers.scan_csv(spark, str(tmp_path / "one")).count() == 4  # reading trims, but loses no row

@@ -209,3 +209,20 @@ def test_stream_picks_up_new_files(spark, tmp_path):
     assert len(rows) == 2 and {r.name for r in rows} == {"XXX Lee"}
 
 
+
+
+def test_composite_keys_pair_by_position(spark):
+    kinds = spark.createDataFrame([("k", "FOREIGN KEY", "child")], "constraint_name string, constraint_type string, table_name string")
+    usage = spark.createDataFrame([("k", "x", 1), ("k", "y", 2)], "constraint_name string, column_name string, ordinal_position int")
+    refs = spark.createDataFrame([("k", "parent", "b", 1), ("k", "parent", "a", 2)], "constraint_name string, table_name string, column_name string, ordinal_position int")
+    pairs = catalog.discover_foreign_keys(kinds, usage, refs).select("column_name", "foreign_column").collect()
+    assert {tuple(r) for r in pairs} == {("x", "b"), ("y", "a")}
+    row = catalog.discover_constraints(kinds, usage, refs).head()
+    assert (row.column_name, row.foreign_column) == ("x, y", "b, a")
+
+
+def test_unique_parents_past_the_last(spark):
+    parents = spark.createDataFrame([(i, f"p{i}") for i in range(7)], "idx long, key string")
+    rows = generate.gen_unique_fk(spark.range(1, 101).select(F.col("id").alias("seq")), "parent", parents, 7, "k" * 16).collect()
+    used = [r.parent for r in rows if r.parent]
+    assert len(rows) == 100 and len(used) == len(set(used)) == 7 and all(r.parent is None for r in rows if r.seq > 7)

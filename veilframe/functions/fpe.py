@@ -508,7 +508,7 @@ def family_of(type_name: str) -> tuple[str, int | None]:
 def fpe(
     c: Column, type_name: str, key: str, precision: int | None = None, scale: int | None = None, permuter=permute_range
 ) -> Column:
-    """Encrypt by SQL type name; a type without a domain leaves the column unchanged (dates, binary)."""
+    """Encrypt by SQL type name. Dates, times and binary have no domain and are an error; an unknown type is left as it is."""
     family, length = family_of(type_name)
     if family in DOMAINS:
         spark_type = {"byte": "tinyint", "short": "smallint", "int": "int", "long": "bigint"}[family]
@@ -523,6 +523,8 @@ def fpe(
         return fpe_bool(c, key)
     if family == "text":
         return fpe_text(c.cast("string"), key, length)
+    if type_name.strip().lower().startswith(("date", "time", "binary", "varbinary", "bytea", "blob", "longblob")):
+        raise ValueError(f"values of type {type_name} cannot be encrypted; use a format or default rule for the column")
     return c
 
 
@@ -558,4 +560,4 @@ def fpe_column(
         return fpe_bool(c, key)
     if isinstance(dtype, T.StringType):
         return fpe_text(c, key, max_length)
-    return c
+    raise ValueError(f"values of type {dtype.simpleString()} cannot be encrypted; use a format or default rule for the column")

@@ -85,30 +85,38 @@ def discover_foreign_keys(
     """Foreign key columns from the three catalog views, plus declared relations.
 
     The views have `constraint_name, constraint_type, table_name`; `constraint_name, column_name, ordinal_position`;
-    and `constraint_name, table_name, column_name`.
+    and `constraint_name, table_name, column_name`. Where the last also has `ordinal_position`, the place of the
+    referenced column in the key, composite keys are paired by position; without it a key of k columns gives all pairs.
     """
     fk = constraints.filter(F.col("constraint_type") == "FOREIGN KEY").select("constraint_name", "table_name")
+    placed = "ordinal_position" in references.columns
     ref = references.select(
-        "constraint_name", F.col("table_name").alias("foreign_table"), F.col("column_name").alias("foreign_column")
+        "constraint_name", F.col("table_name").alias("foreign_table"), F.col("column_name").alias("foreign_column"),
+        *(["ordinal_position"] if placed else []),
     )
     rows = (
         fk.join(key_usage.select("constraint_name", "column_name", "ordinal_position"), "constraint_name")
-        .join(ref, "constraint_name", "left")
+        .join(ref, ["constraint_name", "ordinal_position"] if placed else ["constraint_name"], "left")
         .select("constraint_name", "table_name", "column_name", "foreign_table", "foreign_column", "ordinal_position")
     )
     return rows if declared is None else rows.unionByName(declared, allowMissingColumns=True)
 
 
 def discover_constraints(constraints: DataFrame, key_usage: DataFrame, references: DataFrame) -> DataFrame:
-    """Primary, foreign and unique keys, composite columns folded in ordinal order without repeats."""
+    """Primary, foreign and unique keys, composite columns folded in ordinal order without repeats.
+
+    Referenced columns follow `ordinal_position` of `references` where it has one, else their names.
+    """
     kinds = ["PRIMARY KEY", "FOREIGN KEY", "UNIQUE"]
     base = constraints.filter(F.col("constraint_type").isin(kinds)).select(
         "constraint_name", "constraint_type", "table_name"
     )
     own = key_usage.groupBy("constraint_name", "column_name").agg(F.min("ordinal_position").alias("ordinal_position"))
     own = own.groupBy("constraint_name").agg(F.sort_array(F.collect_list(F.struct("ordinal_position", "column_name"))).alias("k"))
-    ref = references.groupBy("constraint_name").agg(
-        F.min("table_name").alias("foreign_table"), F.sort_array(F.collect_set("column_name")).alias("foreign_columns")
+    place = F.col("ordinal_position").cast("int") if "ordinal_position" in references.columns else F.lit(0)
+    ref = references.groupBy("constraint_name", "column_name").agg(F.min("table_name").alias("table_name"), F.min(place).alias("place"))
+    ref = ref.groupBy("constraint_name").agg(
+        F.min("table_name").alias("foreign_table"), F.sort_array(F.collect_list(F.struct("place", "column_name"))).getField("column_name").alias("foreign_columns"),
     )
     return (
         base.join(own, "constraint_name")
@@ -185,7 +193,7 @@ def profile_dataset(tables: Mapping[str, DataFrame], keys: Mapping[str, list[str
     return reduce(DataFrame.unionByName, out)
 
 
-def parent_keys(df: DataFrame, columns: list[str], limit: int | None = 1000) -> DataFrame:
+def parent_keys(df: DataFrame, columns: list[str], limit: int | None = None) -> DataFrame:
     """Distinct keys, the newest first where a limit is asked for (a bounded top-k, not a full sort)."""
     keys = df.select(*columns).dropna().distinct()
     return keys.orderBy(*[F.desc(c) for c in columns]).limit(limit) if limit else keys

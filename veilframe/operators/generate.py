@@ -164,9 +164,16 @@ def gen_fk(rows: DataFrame, column: str, parents: DataFrame, count: int, key: st
 
 
 def gen_unique_fk(rows: DataFrame, column: str, parents: DataFrame, count: int, key: str) -> DataFrame:
-    """Parent keys without repeats: the permuted sequence number is the position; NULL once all are used."""
-    at = F.when(F.col("seq") <= count, permute(F.least(F.col("seq") - 1, F.lit(count - 1)), count, key, f"ufk.{column}"))
-    return _lookup(rows.withColumn("__idx", at), column, parents)
+    """Parent keys without repeats: the permuted sequence number is the position; NULL once all are used.
+
+    Rows past the last parent key do not take part in the join: without a key they would all meet in one task.
+    """
+    kind = parents.schema["key"].dataType
+    spare = rows.where((F.col("seq") > count) | F.col("seq").isNull()).withColumn(column, F.lit(None).cast(kind))
+    if count < 1:
+        return rows.withColumn(column, F.lit(None).cast(kind))
+    at = permute(F.col("seq") - 1, count, key, f"ufk.{column}")
+    return _lookup(rows.where(F.col("seq") <= count).withColumn("__idx", at), column, parents).unionByName(spare)
 
 
 def _lookup(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
@@ -205,7 +212,7 @@ def gen_composite_key(
 def unused_combinations(candidates: DataFrame, existing: DataFrame, columns: list[str], n: int) -> DataFrame:
     """The first `n` candidate rows (by `seq`) whose key columns the existing table does not hold."""
     free = candidates.join(existing.select(*columns).distinct(), columns, "left_anti")
-    return indexed(free, ["seq"]).filter(F.col("idx") < n).drop("idx")
+    return free.orderBy("seq").limit(n)
 
 
 # ---------------------------------------------------------------- values

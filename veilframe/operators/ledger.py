@@ -45,7 +45,7 @@ class Ledger:
         try:
             action()
         except Exception as e:  # noqa: BLE001 - the ledger is where job errors go
-            self.append(step, "FAILED", started, error=str(e).split("\n")[0][:500])
+            self.append(step, "FAILED", started, error=str(e))
             return False
         counts = observation.get if observation else {}
         self.append(step, "COMPLETED", started, counts.get("read_rows"), counts.get("written_rows"))

@@ -271,11 +271,10 @@ def partial_ends(spark, sf):
 
 @query(
     "redacted_pages",
-    "SELECT page_id, '•••••••• [SFD PROTECTED]' AS url, coalesce(CASE WHEN page_id % 2 = 0 THEN left(html, 15) END, 'N/A') AS html FROM pages",
+    "SELECT page_id, '•••••••• [SFD PROTECTED]' AS url, coalesce(html, 'N/A') AS html FROM pages",
 )
 def redacted_pages(spark, sf):
-    df = table(spark, sf, "pages").withColumn("html", F.when(F.col("page_id") % 2 == 0, F.left("html", F.lit(15))))
-    return df.select(
+    return table(spark, sf, "pages").select(
         "page_id", partial.redact(F.col("url"), "SFD").alias("url"), partial.redact(F.col("html"), "NONE").alias("html")
     )
 
@@ -549,15 +548,15 @@ def _text_check(df, x, pattern):
     )
 
 
-@query("fpe_digits", _TEXT_CHECK.format(source="SELECT lpad(CAST(o_orderkey AS VARCHAR), 7, '0') AS x FROM orders"))
+@query("fpe_digits", _TEXT_CHECK.format(source="SELECT lpad(CAST(o_orderkey AS VARCHAR), 18, '0') AS x FROM orders"))
 def fpe_digits(spark, sf):
-    return _text_check(table(spark, sf, "orders"), F.lpad(F.col("o_orderkey").cast("string"), 7, "0"), r"^\d{7}$")
+    return _text_check(table(spark, sf, "orders"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0"), r"^\d{18}$")
 
 
-@query("fpe_text_base36", _TEXT_CHECK.format(source="SELECT lpad(to_base(o_orderkey, 36), 5, '0') AS x FROM orders"))
+@query("fpe_text_base36", _TEXT_CHECK.format(source="SELECT lpad(to_base(o_orderkey, 36), 9, '0') AS x FROM orders"))
 def fpe_text_base36(spark, sf):
-    x = F.concat(F.lit("A"), F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 36), 4, "0"))
-    return _text_check(table(spark, sf, "orders"), x, r"^[0-9A-Z]{5}$")
+    x = F.concat(F.lit("A"), F.lpad(F.conv(F.col("o_orderkey").cast("string"), 10, 36), 8, "0"))
+    return _text_check(table(spark, sf, "orders"), x, r"^[0-9A-Z]{9}$")
 
 
 @query("fpe_text_long", _TEXT_CHECK.format(source="SELECT c_name AS x FROM customer"))
@@ -571,10 +570,10 @@ def fpe_text_documents(spark, sf):
     return _text_check(table(spark, sf, "documents"), F.col("text"), r"(?s)^.*$")
 
 
-@query("fpe_text_changes", "SELECT count(*) AS n_changed FROM documents WHERE length(text) > 20")
+@query("fpe_text_changes", "SELECT count(*) AS n_changed FROM documents WHERE length(text) > 1")
 def fpe_text_changes(spark, sf):
-    """No text longer than twenty characters comes out as it went in."""
-    df = table(spark, sf, "documents").filter(F.length("text") > 20)
+    """No text comes out as it went in (one character may)."""
+    df = table(spark, sf, "documents").filter(F.length("text") > 1)
     return df.agg(F.count_if(fpe.fpe_text(F.col("text"), KEY) != F.col("text")).alias("n_changed"))
 
 

@@ -172,13 +172,16 @@ def mask_by_classification(spark, sf):
 
 @query(
     "stream_masked_events",
-    f"SELECT k AS event_id, ts, user_id, {_LAST4_X.format(c='event_type')} AS event_type, 0.0::DOUBLE AS value FROM "
+    f"SELECT k AS event_id, ts, user_id, {_LAST4_X.format(c='event_type')} AS event_type, 0.0::DOUBLE AS value, props FROM "
     + s.feistel("events", "event_id", 1, 9223372036854775806, "int.long", "k"),
 )
 def stream_masked_events(spark, sf):
     """The events as a file stream, masked, written with a checkpoint, read back."""
-    schema = table(spark, sf, "events").schema
-    stream = streaming.read_file_stream(spark, sf, schema, pathGlobFilter="events.parquet").drop("props")
+    events = table(spark, sf, "events")
+    if all(f.endswith("/events.parquet") for f in events.inputFiles()):  # one file: a stream takes folders
+        stream = streaming.read_file_stream(spark, sf, events.schema, pathGlobFilter="events.parquet")
+    else:
+        stream = streaming.read_file_stream(spark, f"{sf}/events.parquet", events.schema)
     rules = RuleSet(key=KEY, constraint=("events.event_id",), partial=("event_type",), defaults={"value": "0"})
     out = fresh_path(spark, "stream")
     streaming.start_masking(streaming.mask_stream(stream, "events", rules), f"{out}/data", f"{out}/checkpoint").awaitTermination()

@@ -29,9 +29,15 @@ def build_session(app: str = "veilframe", master: str | None = None, **conf: str
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a temporary one where it is unset (tests)."""
+    """The folder every executor can reach: `spark.checkpoint.dir`.
+
+    Where it is unset, a local session gets a temporary folder; on a cluster that is an error, since no folder of one
+    machine would do.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), "veilframe-shared")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

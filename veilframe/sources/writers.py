@@ -90,9 +90,15 @@ def write_docs(df: DataFrame, path: str, drop: bool = True) -> None:
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Header, quotes only where needed, quotes doubled, empty text for null."""
+    """Header, quotes only where needed, quotes doubled, empty text for null, blanks around a value kept.
+
+    In a table of one column an empty value is written as two quotes, since readers skip empty lines.
+    """
     text = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
-    text.na.fill("").write.mode(mode).csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
+    text.na.fill("").write.mode(mode).csv(
+        path, header=True, quote='"', escape='"', emptyValue='""' if len(df.columns) == 1 else "", nullValue="",
+        ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
