@@ -198,3 +198,16 @@ def test_csv_keeps_blanks_and_empty_rows(spark, tmp_path):
     lines = sorted(r.value for r in spark.read.text(str(tmp_path / "one")).collect() if r.value != "v")
     assert lines == sorted([" a ", '""', '""', "b"])
     assert readers.scan_csv(spark, str(tmp_path / "one")).count() == 4  # reading trims, but loses no row
+
+
+def test_foreign_dump_forms(spark, tmp_path):
+    (tmp_path / "d.sql").write_text(
+        "-- a dump\nCREATE TABLE t (a int, b text);\nINSERT INTO t VALUES (1,'x'), (2,'y;z (q)');\nINSERT INTO t (b, a) VALUES ('it''s', 3);\n"
+        "INSERT INTO t (a, b) VALUES (4, E'a\\\\nb\u0001c\\nd\\\\');\nINSERT INTO t SELECT * FROM u;\nINSERT INTO t VALUES (5, 'open);\n"
+    )
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.StringType())])
+    path = str(tmp_path / "d.sql")
+    rows = {(r.a, r.b) for r in sqldump.scan_sql_dump(spark, path, {"t": schema})["t"].collect()}
+    assert rows == {("1", "x"), ("2", "y;z (q)"), ("3", "it's"), ("4", "a\\nb\u0001c\nd\\")}
+    left = [r.value for r in sqldump.unread_statements(sqldump.read_statements(spark, path)).collect()]
+    assert sorted(x.split()[3] for x in left) == ["SELECT", "VALUES"]

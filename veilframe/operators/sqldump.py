@@ -84,45 +84,73 @@ def foreign_key_ddl(keys: Iterable[ForeignKey]) -> list[str]:
 
 # ---------------------------------------------------------------- reading
 
-_HEAD = r'(?is)^\s*INSERT\s+INTO\s+"?(?:[\w$]+"?\.)?"?([\w$]+)"?\s*\(([^)]*)$'
-_VALUES = r"(?i)\)\s*VALUES\s*\("
+_HEAD = r'(?is)^\s*INSERT\s+INTO\s+"?(?:[\w$]+"?\.)?"?([\w$]+)"?\s*(?:\(([^()]*)\))?\s*$'
+_VALUES = r"""(?i)(?<=[\s)"])VALUES\s*(?=\()"""
+_ROW = r"\(((?:E?'[^']*+(?:''[^']*+)*+'|\([^()']*+\)|[^()']++)*+)\)"
 _VALUE = r"E?'[^']*+(?:''[^']*+)*+'|[^,'\s][^,']*"
 
 
 def scan_statements(spark: SparkSession, path) -> DataFrame:
-    """Statements of dump files as `(table, columns, values)`; a statement ends at a line that ends in a semicolon."""
-    return parse_inserts(spark.read.option("lineSep", ";\n").text(path))
+    """Rows that the statements of dump files insert, as `(table, columns, values)`."""
+    return parse_inserts(read_statements(spark, path))
 
 
-def parse_inserts(statements: DataFrame) -> DataFrame:
-    """INSERT statements as `(table, columns, values)`; anything else is dropped.
+def read_statements(spark: SparkSession, path) -> DataFrame:
+    """Statements as column `value`; a statement ends at a line that ends in a semicolon.
 
-    The statement is cut at its VALUES word, so that only the value pattern runs over the long part.
+    Files with CRLF line ends are split after reading, so one such file is one task's work.
+    """
+    lines = spark.read.option("lineSep", ";\n").text(path)
+    return lines.select(F.explode(F.split("value", ";\r\n")).alias("value"))
+
+
+def _cut(statements: DataFrame) -> DataFrame:
+    """Statements with their text before and after the VALUES word, and whether both are understood.
+
+    The statement is cut at its VALUES word, so that only the row pattern runs over the long part.
     """
     text = F.regexp_replace("value", r"^(?:\s*--[^\n]*\n)+", "")
-    cut = statements.select(F.split(text, _VALUES, 2).alias("cut")).filter(F.size("cut") == 2)
-    rows = cut.select(F.get("cut", F.lit(0)).alias("head"), F.get("cut", F.lit(1)).alias("rest")).filter(F.col("head").rlike(_HEAD))
-    names = F.transform(F.split(F.regexp_extract("head", _HEAD, 2), ","), lambda c: F.trim(F.replace(c, F.lit('"'))))
-    values = F.regexp_extract_all(F.regexp_replace("rest", r"\)\s*;?\s*$", ""), F.lit(_VALUE), F.lit(0))
+    cut = statements.select("value", F.split(text, _VALUES, 2).alias("cut"))
+    rows = cut.select("value", F.get("cut", F.lit(0)).alias("head"), F.get("cut", F.lit(1)).alias("rest"))
+    whole = F.regexp_replace("rest", _ROW, "").rlike(r"^[\s,;]*$")
+    return rows.withColumn("read", F.coalesce(F.col("head").rlike(_HEAD) & whole, F.lit(False)))
+
+
+def parse_inserts(statements: DataFrame) -> DataFrame:
+    """Rows of INSERT statements as `(table, columns, values)`; a statement may hold several rows.
+
+    `columns` is null where the statement lists none. Statements that are not read are in `unread_statements`.
+    """
+    rows = _cut(statements).where("read").select("head", F.explode(F.regexp_extract_all("rest", F.lit(_ROW), F.lit(1))).alias("row"))
+    names = F.regexp_extract("head", _HEAD, 2)
+    names = F.when(F.trim(names) != "", F.transform(F.split(names, ","), lambda c: F.trim(F.replace(c, F.lit('"')))))
+    values = F.regexp_extract_all("row", F.lit(_VALUE), F.lit(0))
     return rows.select(F.lower(F.regexp_extract("head", _HEAD, 1)).alias("table"), names.alias("columns"), values.alias("values"))
 
 
+def unread_statements(statements: DataFrame) -> DataFrame:
+    """Statements other than comments, blanks and CREATE that gave no rows, as column `value`: the rejects of a dump."""
+    plain = F.regexp_replace("value", r"(?m)^\s*--.*$", "")
+    return _cut(statements).where(~F.col("read") & (F.trim(F.regexp_replace(plain, r"[\s;]+", " ")) != "") & ~plain.rlike(r"(?i)^\s*CREATE\s")).select("value")
+
+
 def _unquoted(c: Column) -> Column:
     """Text of one SQL literal; NULL for the word NULL."""
     body = F.replace(F.regexp_replace(c, r"(?s)^E?'(.*)'$", "$1"), F.lit("''"), F.lit("'"))
-    mark = F.lit("\u0001")  # stands for an escaped backslash while the other escapes are undone
-    plain = F.replace(body, F.lit("\\\\"), mark)
-    plain = F.replace(F.replace(plain, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r"))
-    plain = F.replace(plain, mark, F.lit("\\"))
-    return F.when(F.upper(F.trim(c)) == "NULL", F.lit(None)).when(c.startswith("E'"), plain).otherwise(body)
+    # What lies between escaped backslashes holds the other escapes.
+    parts = F.transform(F.split(body, r"\\\\"), lambda p: F.replace(F.replace(p, F.lit("\\n"), F.lit("\n")), F.lit("\\r"), F.lit("\r")))
+    return F.when(F.upper(F.trim(c)) == "NULL", F.lit(None)).when(c.startswith("E'"), F.array_join(parts, "\\")).otherwise(body)
 
 
 def table_of(statements: DataFrame, table: str, schema: T.StructType) -> DataFrame:
-    """Text rows of one table of a dump; give them to `split_rejects` for typed rows."""
+    """Text rows of one table of a dump; give them to `split_rejects` for typed rows.
+
+    Rows of statements without a column list follow the order of `schema`.
+    """
     rows = statements.filter(F.col("table") == table.lower())
     out = []
-    for f in schema.fields:
-        at = F.array_position("columns", f.name).cast("int") - 1
+    for i, f in enumerate(schema.fields):
+        at = F.when(F.col("columns").isNull(), F.lit(i)).otherwise(F.array_position("columns", f.name).cast("int") - 1)
         text = _unquoted(F.get("values", at))
         if isinstance(f.dataType, T.BinaryType):
             text = F.unhex(F.regexp_replace(text, r"^\\x", ""))

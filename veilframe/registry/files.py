@@ -334,3 +334,18 @@ def backup_key_check(spark, sf):
     restored = bundle.scan_bundle(parts, KEY)
     names = ("right_key", "wrong_key", "no_key")
     return restored.agg(F.count(F.lit(1)).alias("n_rows"), *[F.lit(a).alias(n) for n, a in zip(names, answers, strict=True)])
+
+
+@query(
+    "sql_dump_foreign_forms",
+    "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, 'it''s (' || s_name || '), ok;' AS s_name, CAST(s_nationkey AS VARCHAR) AS s_nationkey FROM supplier",
+)
+def sql_dump_foreign_forms(spark, sf):
+    """A dump of another tool: CRLF ends, several rows a statement, every other statement without a column list."""
+    row = F.format_string("(%d, 'it''s (%s), ok;', %d)", "s_suppkey", "s_name", "s_nationkey")
+    head = F.when(F.col("g") % 2 == 0, "INSERT INTO supplier VALUES ").otherwise('INSERT INTO "public"."supplier" ("s_suppkey", s_name, s_nationkey) VALUES\r\n')
+    rows = table(spark, sf, "supplier").groupBy((F.col("s_suppkey") % 64).alias("g"), F.floor(F.col("s_suppkey") / 6400).alias("block")).agg(F.collect_list(row).alias("rows"))  # 100 rows a statement
+    path = fresh_path(spark, "dump")
+    rows.select(F.concat(head, F.array_join("rows", ",\r\n")).alias("value")).write.option("lineSep", ";\r\n").text(path)
+    schema = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").schema
+    return sqldump.scan_sql_dump(spark, path, {"supplier": schema})["supplier"]
