@@ -1,10 +1,11 @@
 import json
+import random
 
 import compare
 import pytest
 
 from veilframe.llm.queries import QUERIES
-from veilframe.llm.tool_calls import link_tool_calls
+from veilframe.llm.tool_calls import link_tool_calls, topological_levels
 
 SMALL = "/root/testdata/sf0.001"
 CALL = "conv_id long, call_id string, position int, name string, arguments string, depends_on array<string>, level string"
@@ -66,6 +67,29 @@ def test_long_chain_and_hot_conversation(spark):
     assert {r.call_id: r.level for r, _ in rows} == {f"c{i}": i % 30 for i in range(240)} and not any(m["errors"] for _, m in rows)
 
 
+def test_levels_of_random_needs(spark):
+    draw, edges = random.Random(8), set()
+    for conv in range(12):
+        n = draw.randrange(2, 40)
+        for i in range(1, n):
+            for j in draw.sample(range(i), min(i, draw.choice([0, 1, 1, 1, 2, 3]))):
+                edges.add((conv, f"c{i}", f"c{j}"))
+        if conv % 3 == 0:
+            edges.add((conv, f"c{draw.randrange(n)}", f"c{draw.randrange(n)}"))
+    needs = {}
+    for c, x, d in edges:
+        needs.setdefault((c, x), set()).add((c, d))
+
+    def level(x, above=()):
+        if x in above:
+            return None
+        below = [level(d, (*above, x)) for d in needs.get(x, ())]
+        return None if None in below else 1 + max(below, default=-1)
+
+    got = {(r.conv_id, r.call_id): r.level for r in topological_levels(spark.createDataFrame(sorted(edges), "conv_id long, call_id string, dep string")).collect()}
+    assert got == {x: level(x) for x in needs}
+
+
 def test_empty(spark):
     assert linked(spark, [], []) == []
     assert [m["errors"] for _, m in linked(spark, [(1, "a", 1, "f", "{}", None)], [], [])] == [["unknown tool", "no result"]]

@@ -55,30 +55,57 @@ def with_argument_errors(calls: DataFrame) -> DataFrame:
     )
 
 
+def _written(df: DataFrame, count: Column) -> tuple[DataFrame, int]:
+    """`df` staged in the shared folder, and a count taken while it was written."""
+    seen, path = Observation(), fresh_path(df.sparkSession, "needs")
+    df.observe(seen, count.alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
+
+
 def topological_levels(edges: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of every call that has an edge (conv_id, call_id, dep) to a call it needs.
 
     level is the length of the longest chain of needs below it: 1 if it only needs calls that need nothing; null in a
-    cycle and above one. Each round clears the edges to calls that wait for nothing any more, so the level of a call is
-    the round that cleared its last edge. A round works on the edges still open and is staged in the shared folder; the
-    depth of the deepest conversation is what costs, not its number of calls.
+    cycle and above one. Chains of calls with one need each are followed by pointer jumping, so a chain of n calls takes
+    log2(n) rounds; when a round ends no more of them, what is left runs into a cycle. Calls with several needs then take a
+    round per such call along the deepest path. Every round is staged in the shared folder.
     """
-    spark, paths, level, left = edges.sparkSession, [], 0, None
-    open_ = edges.select(*_KEY, "dep").distinct()
+    needs, _ = _written(edges.select(*_KEY, "dep").distinct(), F.count("*"))
+    number = needs.groupBy(*_KEY).agg(F.count("*").alias("number"), F.min("dep").alias("at"))
+    chain, left = number.where("number = 1").select(*_KEY, "at", F.lit(1).cast("long").alias("steps"), F.lit(True).alias("moved")), None
     while True:
-        level += 1
-        waiting = open_.select("conv_id", F.col("call_id").alias("dep")).distinct().withColumn("waits", F.lit(True))
-        seen, path = Observation(), fresh_path(spark, "needs")
-        marked = open_.join(waiting, ["conv_id", "dep"], "left").select(*_KEY, "dep", F.col("waits").isNotNull().alias("open"), F.lit(level).alias("level"))
-        marked.observe(seen, F.count_if("open").alias("open")).write.parquet(path)
-        paths.append(path)
-        now = seen.get["open"]
+        onward = chain.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("onward"), F.col("steps").alias("more"))
+        chain, now = _written(
+            chain.join(onward, ["conv_id", "at"], "left").select(
+                *_KEY, F.coalesce("onward", "at").alias("at"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), F.col("onward").isNotNull().alias("moved"),
+            ), F.count_if("moved"),
+        )
         if not now or now == left:
             break
-        open_, left = spark.read.schema(marked.schema).parquet(path).where("open").drop("open", "level"), now
-    # An edge open in the last round was never cleared; open in an earlier one, it is there again in the next.
-    done = spark.read.schema(marked.schema).parquet(*paths).where((F.col("level") == level) | ~F.col("open"))
-    return done.groupBy(*_KEY).agg(F.when(~F.max("open"), F.max("level")).alias("level"))
+        left = now
+    # Each need of a call with several of them, as the call its chain ends in and the steps there; `known` once that has a level.
+    several, open_ = _written(
+        needs.join(number.where("number > 1").select(*_KEY), [*_KEY], "left_semi")
+        .join(chain.select("conv_id", F.col("call_id").alias("dep"), "at", "steps", "moved"), ["conv_id", "dep"], "left")
+        .select(*_KEY, F.coalesce("at", "dep").alias("at"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("moved", F.lit(False)).alias("stuck"))
+        .join(number.where("number > 1").select("conv_id", F.col("call_id").alias("at"), F.lit(True).alias("waits")), ["conv_id", "at"], "left")
+        .select(*_KEY, "at", "steps", F.when(~F.col("stuck") & F.col("waits").isNull(), F.col("steps")).alias("known")), F.count("*"),
+    )
+    while open_:
+        ready = several.groupBy(*_KEY).agg(F.when(F.count("*") == F.count("known"), F.max("known")).alias("level")).where("level is not null")
+        ready = ready.select("conv_id", F.col("call_id").alias("at"), "level")
+        several, now = _written(
+            several.join(ready, ["conv_id", "at"], "left").select(*_KEY, "at", "steps", F.coalesce("known", F.col("level") + F.col("steps")).alias("known")), F.count_if(F.col("known").isNull()),
+        )
+        if not now or now == open_:
+            break
+        open_ = now
+    tops = several.groupBy(*_KEY).agg(F.when(F.count("*") == F.count("known"), F.max("known")).alias("level"))
+    below = tops.select("conv_id", F.col("call_id").alias("at"), F.col("level").alias("base"), F.lit(True).alias("several"))
+    single = chain.join(below, ["conv_id", "at"], "left").select(
+        *_KEY, F.when(~F.col("moved"), F.when(F.col("several"), F.col("base") + F.col("steps")).otherwise(F.col("steps"))).alias("level"),
+    )
+    return single.unionAll(tops).withColumn("level", F.col("level").cast("int"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
