@@ -211,3 +211,16 @@ def test_foreign_dump_forms(spark, tmp_path):
     assert rows == {("1", "x"), ("2", "y;z (q)"), ("3", "it's"), ("4", "a\\nb\u0001c\nd\\")}
     left = [r.value for r in sqldump.unread_statements(sqldump.read_statements(spark, path)).collect()]
     assert sorted(x.split()[3] for x in left) == ["SELECT", "VALUES"]
+
+
+def test_backups_of_one_folder_stay_apart(spark, tmp_path):
+    folder, schema = str(tmp_path / "b"), spark.createDataFrame([("1",)], "id string").schema
+    rows = lambda n, p: spark.range(n).select(F.concat(F.lit(p), F.col("id").cast("string")).alias("id"))
+    jobs.secure_export("csv", {"t.csv": rows(200, "old")}, RuleSet(key=KEY), folder, KEY, "one", "1KB")
+    jobs.secure_export("csv", {"t.csv": rows(30, "b")}, RuleSet(key=KEY), folder, KEY + "2", "one_more", "1KB")
+    jobs.secure_export("csv", {"t.csv": rows(10, "a")}, RuleSet(key=KEY), folder, KEY, "one", "1KB")
+    read = lambda base, key: sorted(r.id for r in jobs.secure_import(spark, folder, key, {"t.csv": schema}, base=base)["t.csv"].collect())
+    assert read("one", KEY) == sorted(f"a{i}" for i in range(10))
+    assert read("one_more", KEY + "2") == sorted(f"b{i}" for i in range(30))
+    with pytest.raises(ValueError):
+        read("missing", KEY)

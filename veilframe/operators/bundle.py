@@ -285,11 +285,28 @@ def find_parts(files: DataFrame, start: str | None = None, prefix: str | None =
     return order_parts(files)
 
 
-def read_part_files(spark: SparkSession, folder: str, extensions=(".enc", ".jsonl")) -> DataFrame:
-    """Part files of a folder as bundle parts."""
+def part_name_pattern(base: str) -> str:
+    """The names that parts of the backup `base` can have, as a regular expression."""
+    return rf"^{re.escape(base)}([-_.][pP][aA][rR][tT]\d+|[-_]\d+)?(\.\w+)+$"
+
+
+def clear_parts(spark: SparkSession, folder: str, base: str) -> None:
+    """Delete the parts that an earlier export named `base` left in `folder`; other backups there stay."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if system.exists(path):
+        for entry in system.listStatus(path):
+            if entry.isFile() and re.match(part_name_pattern(base), entry.getPath().getName()):
+                system.delete(entry.getPath(), False)
+
+
+def read_part_files(spark: SparkSession, folder: str, extensions=(".enc", ".jsonl"), base: str | None = None) -> DataFrame:
+    """Part files of a folder as bundle parts: those of the backup `base`, or all of them."""
     rows = spark.read.format("binaryFile").load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = rows.select(name.alias("name"), "content")
+    if base is not None:
+        rows = rows.where(F.col("name").rlike(part_name_pattern(base)))
     keep = F.lit(False)
     for e in extensions:
         keep = keep | F.col("name").endswith(e)

@@ -161,7 +161,9 @@ def secure_export(
     base: str = "export", max_bytes: int | str = bundle.DEFAULT_PART_BYTES,
 ) -> DataFrame:
     """Mask, cut into parts, encrypt and write part files; returns their names and sizes."""
-    parts = bundle.export_bundle(masked_for_export(kind, tables, rules), base, max_bytes, key)
+    masked = masked_for_export(kind, tables, rules)
+    parts = bundle.export_bundle(masked, base, max_bytes, key)
+    bundle.clear_parts(parts.sparkSession, folder, base)
     return stage(bundle.write_part_files(parts, folder), "export-log")
 
 
@@ -180,23 +182,31 @@ def secure_export_tables(
     if ddl:
         text = text.unionByName(spark.createDataFrame([(d,) for d in ddl], "value string"))
     parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql"), key)
+    bundle.clear_parts(spark, folder, base)
     return stage(bundle.write_part_files(parts, folder), "export-log")
 
 
-def open_parts(spark: SparkSession, folder: str, key: str) -> DataFrame:
-    """Part files of a folder after the key was checked on the first of them."""
-    parts = bundle.read_part_files(spark, folder)
-    if not bundle.validate_key(parts, key):
+def open_parts(spark: SparkSession, folder: str, key: str, base: str | None = None) -> DataFrame:
+    """Part files of the backup `base` of a folder (of all backups in it without one), after the key was checked.
+
+    The first part is found by the names alone, and only its file is read for the check.
+    """
+    parts = bundle.read_part_files(spark, folder, base=base)
+    first = parts.select("part_no", "name").orderBy("part_no", "name").limit(1).head()
+    if first is None or not bundle.validate_key(bundle.read_part_files(spark, f"{folder.rstrip('/')}/{first.name}"), key):
         raise ValueError("the key does not open this backup")
     return parts
 
 
 def secure_import(
     spark: SparkSession, folder: str, key: str, schemas: Mapping[str, T.StructType],
-    rules: RuleSet | None = None, kind: str = "csv",
+    rules: RuleSet | None = None, kind: str = "csv", base: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Restore tables of a bundle; a second rule set can mask them on the way in, limited to its targets."""
-    records = bundle.scan_bundle(open_parts(spark, folder, key), key)
+    """Restore tables of a bundle; a second rule set can mask them on the way in, limited to its targets.
+
+    `base` names the backup where the folder holds several.
+    """
+    records = bundle.scan_bundle(open_parts(spark, folder, key, base), key)
     out = {n: bundle.restore_table(records, n, s) for n, s in schemas.items()}
     if rules is None:
         return out
@@ -205,10 +215,10 @@ def secure_import(
 
 
 def secure_import_tables(
-    spark: SparkSession, folder: str, key: str, schemas: Mapping[str, T.StructType]
+    spark: SparkSession, folder: str, key: str, schemas: Mapping[str, T.StructType], base: str | None = None,
 ) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Restore SQL text parts: per table the typed rows and the rejected ones."""
-    parts = bundle.decrypt_parts(open_parts(spark, folder, key), key)
+    """Restore SQL text parts: per table the typed rows and the rejected ones. `base` as in `secure_import`."""
+    parts = bundle.decrypt_parts(open_parts(spark, folder, key, base), key)
     lines = parts.select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("value"))
     statements = sqldump.parse_inserts(lines)
     return {n: writers.split_rejects(sqldump.table_of(statements, n, s), s) for n, s in schemas.items()}

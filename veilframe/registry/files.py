@@ -349,3 +349,18 @@ def sql_dump_foreign_forms(spark, sf):
     rows.select(F.concat(head, F.array_join("rows", ",\r\n")).alias("value")).write.option("lineSep", ";\r\n").text(path)
     schema = table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey").schema
     return sqldump.scan_sql_dump(spark, path, {"supplier": schema})["supplier"]
+
+
+@query(
+    "secure_csv_roundtrip",
+    "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2) AS c_name FROM customer",
+)
+def secure_csv_roundtrip(spark, sf):
+    """A backup written twice, the second time in fewer parts, and restored by name beside another one."""
+    folder, rules = fresh_path(spark, "secure"), RuleSet(key=KEY, partial=("customer.csv.c_name",))
+    df = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("c_custkey"), "c_name")
+    other = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("c_custkey"), F.col("s_name").alias("c_name"))
+    jobs.secure_export("csv", {"customer.csv": other}, rules, folder, KEY, base="export-old")
+    for size in ("10KB", "10MB"):
+        jobs.secure_export("csv", {"customer.csv": df}, rules, folder, KEY, max_bytes=size)
+    return jobs.secure_import(spark, folder, KEY, {"customer.csv": df.schema}, base="export")["customer.csv"]
