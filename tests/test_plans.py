@@ -1,11 +1,12 @@
 """What the plans look like, and that a hot key changes nothing."""
 
 import collections
+import hashlib
 import random
 
 from pyspark.sql import functions as F
 
-from veilframe.functions import fpe
+from veilframe.functions import fpe, tokens
 from veilframe.operators import bundle, catalog, classify, integrity
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.rules import RuleSet
@@ -34,6 +35,10 @@ def test_the_key_never_shows_in_a_plan(spark):
     masked = mask_table(spark.read.parquet(ORDERS), "orders", rules)
     parts = bundle.encrypt_parts(spark.createDataFrame([("a", b"x")], "name string, content binary"), KEY)
     assert KEY not in plan_of(masked) and KEY not in plan_of(parts)
+    secret = hashlib.sha256(KEY.encode()).hexdigest()
+    sealed = spark.createDataFrame([("a",)], "v string").select(tokens.tokenize(F.col("v"), KEY, "salt").alias("v"))
+    for plan in (plan_of(parts), plan_of(sealed)):
+        assert secret not in plan.lower() and "redacted" in plan
 
 
 def test_only_needed_columns_are_read(spark):
