@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from veilframe.operators import catalog, classify, integrity, preview, sqldump
 from veilframe.plans import jobs
 from veilframe.plans.compiler import mask_table
-from veilframe.plans.rules import ForeignKey, RuleSet
+from veilframe.plans.rules import ForeignKey, RuleSet, select_targets, virtual_relationships
 from veilframe.registry import sqltext as s
 from veilframe.registry.base import TABLES, query, table, tables
 from veilframe.registry.sqltext import KEY
@@ -497,3 +497,28 @@ def unused_keys(spark, sf):
     )
 
 
+
+
+@query(
+    "described_columns",
+    'SELECT table_name AS "table", column_name AS "column", CAST(ordinal_position AS INTEGER) AS pos FROM information_schema.columns '
+    "WHERE table_name IN ('orders', 'customer', 'nation')",
+)
+def described_columns(spark, sf):
+    """Columns of the tables a job is limited to, from their schemas."""
+    given = tables(spark, sf)
+    chosen = select_targets(given, ["Orders", " customer", "NATION"])
+    return catalog.describe_columns(spark, {n: given[n] for n in chosen}).select("table", "column", "pos")
+
+
+@query(
+    "declared_relation_orphans",
+    "SELECT DISTINCT s_nationkey AS missing FROM supplier WHERE s_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_nationkey % 3 <> 0)",
+)
+def declared_relation_orphans(spark, sf):
+    """A relation that only the job file declares, checked against a parent that lacks some keys."""
+    (key,) = virtual_relationships([{"parent": "nation.n_nationkey", "child": "supplier.s_nationkey"}])
+    given = tables(spark, sf, [key.parent, key.child])
+    parent = given[key.parent].where("n_nationkey % 3 <> 0")
+    found = integrity.check_foreign_key(given[key.child], list(key.child_columns), parent, list(key.parent_columns))
+    return found.select(F.col(key.child_columns[0]).alias("missing"))

@@ -618,3 +618,44 @@ def sql_functions(spark, sf):
         "SELECT c_custkey, mask_bigint(c_custkey) AS k, mask_int(c_nationkey) AS n, mask_last4(c_name) AS l, "
         "mask_token(c_mktsegment) AS t FROM veil_customer"
     )
+
+
+# What each profile takes for a column name; stated here on its own, so that the tables of the library are checked.
+_BY_PROFILE = {
+    "table": {"work_email": "email", "first_name": "first_name", "lastname": "last_name", "nick_name": "full_name", "phone": "phone", "home_address": "full_address", "zip_code": "zip", "ssn": "ssn", "remark": "letters"},
+    "sql_export": {"work_email": "email", "firstname": "first_name", "nick_name": "full_name", "home_address": "street", "district": "state", "postal": "zip", "country": "country", "remark": "word"},
+    "json": {"user_name": "full_name", "work_email": "email", "address": "full_address", "company": "company", "skills": "skill", "job_title": "job", "city": "city", "remark": "word"},
+    "json_export": {"username": "full_name", "mobile": "phone", "street": "full_address", "postal": "zip", "company": "company", "remark": "word"},
+    "csv": {"work_email": "email", "last_name": "full_name", "address": "street", "company": "company", "zip": "zip", "remark": "word"},
+}
+
+
+@query(
+    "synthetic_by_profile",
+    "SELECT c_custkey, " + ", ".join(f"{s.provider(p, 'c_name', 'profile')} AS {f}_{n}" for f, names in _BY_PROFILE.items() for n, p in names.items()) + " FROM customer",
+)
+def synthetic_by_profile(spark, sf):
+    """The replacement each profile chooses by a column's name."""
+    return table(spark, sf, "customer").select("c_custkey", *[
+        synthetic.provide(synthetic.provider_for(n, f), F.col("c_name"), KEY, "profile").alias(f"{f}_{n}") for f, names in _BY_PROFILE.items() for n in names
+    ])
+
+
+@query("fpe_text_single", _TEXT_CHECK.format(source="SELECT o_orderstatus AS x FROM orders"))
+def fpe_text_single(spark, sf):
+    return _text_check(table(spark, sf, "orders"), F.col("o_orderstatus"), r"^[A-Z]$")
+
+
+@query("fpe_text_lower", _TEXT_CHECK.format(source="SELECT lower(c_mktsegment) AS x FROM customer"))
+def fpe_text_lower(spark, sf):
+    return _text_check(table(spark, sf, "customer"), F.lower("c_mktsegment"), r"^[0-9a-z]+$")
+
+
+@query("fpe_text_letters", _TEXT_CHECK.format(source="SELECT 'x' || c_mktsegment AS x FROM customer"))
+def fpe_text_letters(spark, sf):
+    return _text_check(table(spark, sf, "customer"), F.concat(F.lit("x"), "c_mktsegment"), r"^[A-Za-z]+$")
+
+
+@query("fpe_text_hex", _TEXT_CHECK.format(source="SELECT left(md5(CAST(o_orderkey AS VARCHAR)), 24) AS x FROM orders"))
+def fpe_text_hex(spark, sf):
+    return _text_check(table(spark, sf, "orders"), F.left(F.md5(F.col("o_orderkey").cast("string")), F.lit(24)), r"^[0-9a-f]{24}$")
