@@ -55,7 +55,7 @@ def held_out(id_column: Column, of: int, remainder: int) -> Column:
 
 
 
-def kept(key: Any, make: Callable[[], Any], most: int = 64) -> Any:
+def kept(key: Any, make: Callable[[], Any], most: int = 24) -> Any:
     """What `make` returned for `key` earlier in this process, else made now.
 
     Functions are sent to executors by value with their globals, so what a worker should keep from task to task
