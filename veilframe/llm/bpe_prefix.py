@@ -89,7 +89,7 @@ class PrefixBPE:
         key = (left << 32) | right
         known = self.suits.get(key)
         if known is None:
-            if len(self.suits) > 400_000:  # only a memory of answers
+            if len(self.suits) > 1_000_000:  # only a memory of answers
                 self.suits.clear()
             a, b = self.text[left], self.text[right]
             known = self.suits[key] = self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]
@@ -204,4 +204,4 @@ def load_bpe(path: str) -> tuple[PrefixBPE, dict[str, int]]:
         bpe = PrefixBPE(model["vocab"], merges, model.get("end_of_word_suffix") or "")
         return bpe, {t["content"]: t["id"] for t in content["added_tokens"]}
 
-    return kept(("bpe", path), load)
+    return kept(("bpe", path), load, "tokens")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe_prefix import PrefixBPE, byte_text, load_bpe, text_byte
 from veilframe.llm.common import Memory, kept
 
-MEMO_WORDS = 400_000
+MEMO_WORDS = 1_000_000
 SHORT = 64
 #: Fixed value: how byte-level vocabularies of this family cut a text into pieces.
 _WIDE = r"\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -141,7 +141,7 @@ class Transducer:
 
 
 def _transducer(path: str) -> Transducer:
-    return kept(("transducer", path), lambda: Transducer(*load_bpe(path)))
+    return kept(("transducer", path), lambda: Transducer(*load_bpe(path)), "tokens")
 
 
 def encode_text(text: Column, path: str) -> Column:

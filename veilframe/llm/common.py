@@ -55,16 +55,19 @@ def held_out(id_column: Column, of: int, remainder: int) -> Column:
 
 
 
-def kept(key: Any, make: Callable[[], Any], most: int = 24) -> Any:
+def kept(key: tuple, make: Callable[[], Any], family: str = "", most: int = 24) -> Any:
     """What `make` returned for `key` earlier in this process, else made now.
 
     Functions are sent to executors by value with their globals, so what a worker should keep from task to task
-    lives in a module of its own. At most `most` things are kept.
+    lives in a module of its own. At most `most` things are kept, and only those of one `family` (default: the first
+    part of the key): a worker that goes on to another operator lets go of what the last one needed.
     """
+    family = family or key[0]
     home = sys.modules.setdefault("veilframe_worker_store", types.ModuleType("veilframe_worker_store"))
     store = home.__dict__.setdefault("items", {})
     if key not in store:
-        if len(store) >= most:
+        if len(store) >= most or home.__dict__.get("family") != family:
             store.clear()
+            home.__dict__["family"] = family
         store[key] = make()
     return store[key]

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe_prefix import PrefixBPE, byte_text, load_bpe
 from veilframe.llm.common import Memory, kept
 
-MEMO_WORDS = 600_000
+MEMO_WORDS = 1_000_000
 #: Fixed value: how the vocabulary cuts a normalised word into pieces; white space is dropped.
 _WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_WHITE}\p{{L}}\p{{N}}]+")
@@ -102,7 +102,7 @@ class PrefixCounter:
 
 
 def _counter(path: str) -> PrefixCounter:
-    return kept(("prefix counter", path), lambda: PrefixCounter(*load_bpe(path)))
+    return kept(("prefix counter", path), lambda: PrefixCounter(*load_bpe(path)), "tokens")
 
 
 def token_count(text: Column, path: str) -> Column:
