@@ -53,8 +53,6 @@ def held_out(id_column: Column, of: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
-
-
 def kept(key: tuple, make: Callable[[], Any], family: str = "", most: int = 24) -> Any:
     """What `make` returned for `key` earlier in this process, else made now.
 
