@@ -5,7 +5,7 @@ import plain
 import pytest
 
 from veilframe.llm.components import components
-from veilframe.llm.parity_join import Bands, near_copies, parity_sketch, signatures
+from veilframe.llm.parity_join import Bands, near_copies, parity_sketch, signatures, similar_pairs
 from veilframe.llm.queries import QUERIES
 from veilframe.llm.words import mix
 
@@ -58,6 +58,31 @@ def test_texts_fetched_by_shuffle(spark, monkeypatch):
     assert got == plain.components(docs, 80, 100, 3)
 
 
+@pytest.mark.parametrize("tile", [512, 4])
+def test_every_link_is_counted_and_returned(spark, monkeypatch, tile):
+    from veilframe.llm import parity_join
+
+    monkeypatch.setattr(parity_join, "TILE", tile)
+    docs = texts(7, 6, 12, (40, 160))
+    docs += [(i + 2000, t) for i, t in docs[:20]] + [(3000, ""), (3001, None), (3002, "b a")]
+    sets = {i: plain.shingles(t, 3) for i, t in docs}
+    want = {(i, j) for i in sets for j in sets if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    got = {r.doc_id: r.n_links for r in near_copies(df, 80, 100, 3, links=True).collect()}
+    assert got == {i: sum(i in pair for pair in want) for i in sets}
+
+    pairs, members = similar_pairs(df, 80, 100, 3)
+    rows, of = {}, {r.doc_id: r["class"] for r in members.collect()}
+    for i, c in of.items():
+        rows.setdefault(c, []).append(i)
+    found = [(i, j) for c, ids in rows.items() if c for i in ids for j in ids if i < j]
+    for r in pairs.collect():
+        a, b = sets[r.a_id], sets[r.b_id]
+        assert r.a_id == min(rows[r.a]) and (r.a_shingles, r.b_shingles, r.common) == (len(a), len(b), len(a & b))
+        found += [(min(i, j), max(i, j)) for i in rows[r.a] for j in rows[r.b]]
+    assert len(found) == len(set(found)) and set(found) == want
+
+
 def test_similar_sets_share_a_signature():
     bands, draw = Bands(80, 100), np.random.default_rng(1)
     for n in [1, 2, 3, 5, 6, 7, 8, 9, 13, 20, 40, 100, 700, 3000]:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from veilframe.session import stage
 PARTITION_SIGNATURES = 1_000_000
 FLUSH_SIGNATURES = 1_000_000
 TILE = 512
+TILE_BYTES = 8 << 20
 BROADCAST_ROWS = 100_000
 _U64 = np.uint64
 
@@ -303,22 +306,15 @@ def _candidates(members: DataFrame, bands: Bands, across: bool) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, bands: Bands) -> DataFrame:
-    """The pairs (a, b) whose whole shingle sets are similar enough.
+def _fetched(docs: DataFrame, wanted: DataFrame, schema: str, width: int) -> DataFrame:
+    """The rows of `wanted`, as `schema` names them, and their whole shingle sets, from the texts under `wanted_id`.
 
-    Each set is sent to the hub of its pairs, and the hub's own set with them; a hub of many pairs has several places.
+    A class is in `wanted` under one id; where rows repeat that id, its set may come more than once.
     """
-    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("places"))
-    spread = pairs.join(places, "a").select(
-        F.col("b").alias("class"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("role"),
-    )
-    hubs = places.select(
-        F.col("a").alias("class"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"),
-    )
-    wanted = stage(spread.unionAll(hubs).join(classes.select("class", F.col("best.id").alias("wanted_id")), "class"), "wanted")
+    wanted = stage(wanted, "wanted")
     if wanted.count() <= BROADCAST_ROWS:  # about 10 MB; beyond, texts are shuffled by id
         wanted = F.broadcast(wanted)
-    texts = docs.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).select("text", "class", "hub", "place", "role")
+    texts = docs.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).drop("id", "wanted_id")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(batches):
@@ -330,6 +326,23 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
             kept = batch.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(sets, pa.binary())], names=[*kept.schema.names, "set"])
 
+    return texts.mapInArrow(fetch, f"{schema}, set binary")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int, bands: Bands) -> DataFrame:
+    """The pairs (a, b) whose whole shingle sets are similar enough.
+
+    Each set is sent to the hub of its pairs, and the hub's own set with them; a hub of many pairs has several places.
+    """
+    places = pairs.groupBy("a").agg(F.ceil(F.count("*") / TILE).cast("int").alias("places"))
+    spread = pairs.join(places, "a").select(
+        F.col("b").alias("class"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("places")).cast("int").alias("place"), F.lit(1).alias("role"),
+    )
+    hubs = places.select(
+        F.col("a").alias("class"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"),
+    )
+    wanted = spread.unionAll(hubs).join(classes.select("class", F.col("best.id").alias("wanted_id")), "class")
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
         for batch in _small(batches):
@@ -345,30 +358,96 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
                         left.append(h), right.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    sets = texts.mapInArrow(fetch, "class binary, hub binary, place int, role int, set binary")
+    sets = _fetched(docs, wanted.select("class", "hub", "place", "role", "wanted_id"), "class binary, hub binary, place int, role int", width)
     return (
         sets.repartition("hub", "place").sortWithinPartitions("hub", "place", "role")
         .select("class", "hub", "role", "set").mapInArrow(compare, "a binary, b binary").distinct()
     )
 
 
-def near_copies(
-    df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_column: str = "doc_id", text_column: str = "text",
-    carry: tuple[str, ...] = (), partition_signatures: int = PARTITION_SIGNATURES,
-) -> DataFrame:
-    """One row per row of `df`: id, `carry` columns, n_shingles, component_id and kept.
-
-    A document is the set of its distinct shingles of `width` words (all its words as one, if it has fewer; nothing, if it
-    has none or no text). Two documents are linked when their sets have a Jaccard similarity of num / den or more;
-    component_id is the smallest id that links lead to. Of a component the row with the smallest id is `kept` (rows
-    without id lose; among equal ids the one whose carried columns have the smallest hash; rows equal in id and carried
-    columns are kept or not together). Documents without words are on their own.
+def _all_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int, bands: Bands, counts: bool) -> DataFrame:
+    """Every link between classes: (a, b, common), a < b, with the number of shingles they have in common.
 
-    Equal sets are one class first, however many rows share them. Classes meet in buckets of a shared signature (see
-    `signatures`); sketches rule most pairs out; what is left is verified on whole shingle sets. A first round
-    tries the pairs that would connect each bucket, a second all pairs that the first left in different components, so no
-    link between components is lost and a group of thousands of near copies does not cost all its pairs.
+    Links lie within components, so each component's classes are compared all with all, on whole sets, once a pair. A
+    component is dealt into chunks of about 512 sets and 8 MB, and a task holds two chunks of it. With `counts` the
+    answer is (class, n_links), a row per class and tile: to how many rows of other classes its links there lead. So no
+    rows are made per link, which a group of thousands of near copies has millions of.
     """
+    grouped = roots.select(F.col("node").alias("class"), "root").join(classes, "class")
+    chunks = grouped.groupBy("root").agg(
+        F.ceil(F.greatest(F.count("*") / TILE, F.sum("n") * 8 / TILE_BYTES)).cast("int").alias("chunks")
+    )
+    wanted = grouped.join(chunks, "root").select(
+        "class", "root", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"), "chunks", F.col("rows").alias("weight"),
+        F.col("best.id").alias("wanted_id"),
+    )
+    sets = _fetched(docs, wanted, "class binary, root binary, chunk int, chunks int, weight long", width)
+    tiled = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
+        "root", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "class", "weight", "set",
+    )
+
+    def links(run: pa.Table) -> Iterator[tuple[list[bytes], np.ndarray, int, list[int], list[int]]]:
+        """(classes, weights, i, the partners j of i, what they have in common)"""
+        held = {c: row for row, c in enumerate(run.column("class").to_pylist())}  # a set may have come more than once
+        sizes = pc.binary_length(run.column("set")).to_numpy()
+        rows = np.array(sorted(held.values(), key=lambda row: sizes[row]))  # by size, so partners of a set are a range
+        run = run.take(pa.array(rows))
+        names, weights, chunk = run.column("class").to_pylist(), run.column("weight").to_numpy(), run.column("chunk").to_numpy()
+        sets = [np.frombuffer(x, _U64) for x in run.column("set").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        sketches = [parity_sketch(x).tobytes() for x in sets]
+        words = min(map(len, sketches)) // 8
+        dense = np.stack([_folded(x, words) for x in sketches])
+        distinct, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        codes = np.split(codes.astype(np.int32), np.cumsum(n)[:-1])
+        present = np.zeros(len(distinct), bool)
+        across = run.column("low")[0].as_py() != run.column("high")[0].as_py()
+        for i in range(len(names) - 1):
+            among = np.arange(i + 1, int(np.searchsorted(n, n[i] * bands.den // bands.num, "right")))
+            if across:  # pairs within a chunk meet in its own tile
+                among = among[chunk[among] != chunk[i]]
+            most = (n[i] + n[among]) * (bands.den - bands.num) // (bands.den + bands.num)
+            among = among[np.bitwise_count(dense[among] ^ dense[i]).sum(axis=1, dtype=np.int64) <= most]
+            if not len(among):
+                continue
+            present[codes[i]] = True
+            common = np.array([np.count_nonzero(present[codes[j]]) for j in among.tolist()])
+            present[codes[i]] = False
+            linked = bands.den * common >= bands.num * (n[i] + n[among] - common)
+            if linked.any():
+                yield names, weights, i, among[linked].tolist(), common[linked].tolist()
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(_small(batches), ("root", "low", "high")):
+            for names, _, i, partners, common in links(run):
+                left, right = zip(*((min(names[i], names[j]), max(names[i], names[j])) for j in partners), strict=True)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(common, pa.int64())], names=["a", "b", "common"],
+                )
+
+    def degrees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(_small(batches), ("root", "low", "high")):
+            found: dict[bytes, int] = {}
+            for names, weights, i, partners, _ in links(run):
+                found[names[i]] = found.get(names[i], 0) + int(weights[partners].sum())
+                for j in partners:
+                    found[names[j]] = found.get(names[j], 0) + int(weights[i])
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["class", "n_links"])
+
+    dealt = tiled.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    return dealt.mapInArrow(degrees, "class binary, n_links long") if counts else dealt.mapInArrow(pairs, "a binary, b binary, common long")
+
+
+class _Grouped(NamedTuple):
+    docs: DataFrame
+    rows: DataFrame
+    classes: DataFrame
+    roots: DataFrame
+    bands: Bands
+
+
+def _grouped(df: DataFrame, num: int, den: int, width: int, id_column: str, text_column: str, carry: tuple[str, ...], partition_signatures: int) -> _Grouped:
+    """Documents, their rows with class, the classes, and the components that links between classes make."""
     bands = Bands(num, den)
     docs = df.select(
         column(id_column).alias("id"), *[column(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.coalesce(column(text_column), F.lit("")).alias("text"),
@@ -377,7 +456,8 @@ def near_copies(
     order: Column = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.xxhash64(*kept).alias("hash"))
     rows = stage(_sets(docs, width, kept).withColumn("order", order), "sets")
     classes = stage(
-        rows.where("n > 0").groupBy("class").agg(F.min("order").alias("best"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes",
+        rows.where("n > 0").groupBy("class").agg(F.min("order").alias("best"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")),
+        "classes",
     )
     total = rows.agg(F.sum("n")).first()[0] or 0
     partitions = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * 2 * (den - num) // (den + num) * 2 // partition_signatures))
@@ -393,11 +473,58 @@ def near_copies(
     more = stage(_verified(docs, rest, classes, width, bands), "links")
     if not more.isEmpty():
         roots = stage(components(links.unionAll(more)), "roots")
+    return _Grouped(docs, rows, classes, roots, bands)
+
+
+def near_copies(
+    df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_column: str = "doc_id", text_column: str = "text",
+    carry: tuple[str, ...] = (), partition_signatures: int = PARTITION_SIGNATURES, links: bool = False,
+) -> DataFrame:
+    """One row per row of `df`: id, `carry` columns, n_shingles, component_id and kept; with `links` also n_links.
 
+    A document is the set of its distinct shingles of `width` words (all its words as one, if it has fewer; nothing, if it
+    has none or no text). Two documents are linked when their sets have a Jaccard similarity of num / den or more;
+    component_id is the smallest id that links lead to. Of a component the row with the smallest id is `kept` (rows
+    without id lose; among equal ids the one whose carried columns have the smallest hash; rows equal in id and carried
+    columns are kept or not together). Documents without words are on their own.
+
+    Equal sets are one class first, however many rows share them. Classes meet in buckets of a shared signature (see
+    `signatures`); sketches rule most pairs out; what is left is verified on whole shingle sets. A first round
+    tries the pairs that would connect each bucket, a second all pairs that the first left in different components, so no
+    link between components is lost and a group of thousands of near copies does not cost all its pairs.
+
+    n_links is the number of other rows that a row is linked with, rows of an equal set among them; for it every component's
+    classes are compared all with all (see `_all_links`). `similar_pairs` returns the links themselves.
+    """
+    docs, rows, classes, roots, bands = _grouped(df, num, den, width, id_column, text_column, carry, partition_signatures)
     named = classes.select("class", "best").join(roots.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     answer = named.join(named.groupBy("root").agg(F.min("best").alias("winner")), "root").select("class", "winner")
+    if links:
+        degrees = _all_links(docs, classes, roots, width, bands, counts=True).groupBy("class").agg(F.sum("n_links").alias("others"))
+        own = classes.select("class", (F.col("rows") - 1).alias("copies")).join(degrees, "class", "left")
+        answer = answer.join(own.select("class", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links")), "class")
     found = rows.drop("sketch").join(answer, "class", "left").withColumn("winner", F.coalesce("winner", "order"))
     return found.select(
         F.col("id").alias(id_column), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], F.col("n").alias("n_shingles"),
         F.col("winner.id").alias("component_id"), (F.col("order") == F.col("winner")).alias("kept"),
+        *([F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")] if links else []),
     )
+
+
+def similar_pairs(
+    df: DataFrame, num: int = 80, den: int = 100, width: int = 5, id_column: str = "doc_id", text_column: str = "text",
+    partition_signatures: int = PARTITION_SIGNATURES,
+) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts, and which text a row has: (pairs, members).
+
+    pairs: a, b (classes, a < b), a_id and b_id (the smallest id of each), a_shingles, b_shingles, common; a row for every two
+    classes with a Jaccard similarity of num / den or more. members: id, class; a row per row of `df`, class null without
+    words. Rows of one class have equal shingle sets, so the links of rows follow from both. The pairs of a
+    group of near copies are as many as the square of its size.
+    """
+    docs, rows, classes, roots, bands = _grouped(df, num, den, width, id_column, text_column, (), partition_signatures)
+    links = _all_links(docs, classes, roots, width, bands, counts=False)
+    for side in ("a", "b"):
+        named = classes.select(F.col("class").alias(side), F.col("best.id").alias(f"{side}_id"), F.col("n").alias(f"{side}_shingles"))
+        links = links.join(named, side)
+    return links.select("a", "b", "a_id", "b_id", "a_shingles", "b_shingles", "common"), rows.select(F.col("id").alias(id_column), "class")

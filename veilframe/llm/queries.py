@@ -103,8 +103,8 @@ def string_tiling(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_parity_sketch_join")
 def parity_sketch_join(spark: SparkSession, folder: str) -> DataFrame:
-    """Near copies among all documents: four-word shingles, Jaccard similarity of 0.85 and more."""
-    return near_copies(table(spark, folder, "documents"), 85, 100, 4).select("doc_id", "n_shingles", "component_id")
+    """Near copies among all documents, and each one's links: four-word shingles, Jaccard similarity of 0.85 and more."""
+    return near_copies(table(spark, folder, "documents"), 85, 100, 4, links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @query("op8_kneser_ney")
