@@ -226,3 +226,20 @@ def test_unique_parents_past_the_last(spark):
     rows = generate.gen_unique_fk(spark.range(1, 101).select(F.col("id").alias("seq")), "parent", parents, 7, "k" * 16).collect()
     used = [r.parent for r in rows if r.parent]
     assert len(rows) == 100 and len(used) == len(set(used)) == 7 and all(r.parent is None for r in rows if r.seq > 7)
+
+
+@pytest.mark.parametrize("n", [7_400, 33_000])
+def test_generated_keys_are_distinct(spark, tmp_path, n):
+    from veilframe.registry import QUERIES
+
+    spark.range(n).select(F.col("id").alias("c_custkey")).write.parquet(str(tmp_path / "customer.parquet"))
+    made = QUERIES["gen_keys"].run(spark, str(tmp_path))
+    counts = made.agg(*[F.countDistinct(c).alias(c) for c in made.columns]).head().asDict()
+    assert counts == dict.fromkeys(made.columns, n)
+
+
+def test_int_key_is_the_same_at_every_size(spark):
+    one = spark.range(1).select(*[generate.gen_key(F.lit(7), GenColumn("k", "int"), n).alias(f"k{n}") for n in (10, 1_000_000, 1_000_001)]).head()
+    assert len(set(one)) == 1
+    with pytest.raises(ValueError):
+        generate.gen_key(F.lit(1), GenColumn("k", "int"), 2**31)

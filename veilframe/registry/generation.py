@@ -28,9 +28,12 @@ _SEQ = "(SELECT c_custkey + 1 AS seq FROM customer)"
     f"TIMESTAMP '2025-01-01' - to_seconds(seq * 300) AS h, CAST(seq AS DECIMAL(12,2)) AS i, {s.hash_uuid('seq', 'j')} AS j FROM {_SEQ}",
 )
 def gen_keys(spark, sf):
-    rows, n = _seq(spark, sf), 5000
+    """Every column holds as many distinct keys as there are rows. Its SQL says so for up to 7,299 rows; then its dates repeat."""
+    rows = _seq(spark, sf)
+    n = rows.count()
+    short = "smallint" if n <= generate.SMALL_KEYS else "int"
     kinds = {
-        "a": GenColumn("a", "bigint"), "b": GenColumn("b", "int"), "c": GenColumn("c", "smallint"), "d": GenColumn("code", "varchar", 50),
+        "a": GenColumn("a", "bigint"), "b": GenColumn("b", "int"), "c": GenColumn("c", short), "d": GenColumn("code", "varchar", 50),
         "e": GenColumn("email", "varchar", 50), "f": GenColumn("f", "varchar", 5), "g": GenColumn("g", "date"), "h": GenColumn("h", "timestamp"),
         "i": GenColumn("i", "decimal", precision=12, scale=2), "j": GenColumn("j", "uuid"),
     }
