@@ -2,6 +2,7 @@
 
 import itertools
 import string
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -155,3 +156,26 @@ def test_types_without_a_domain_are_refused(spark):
     for name in ("date", "timestamp", "bytea"):
         with pytest.raises(ValueError, match="cannot be encrypted"):
             fpe.fpe(F.col("d"), name, KEY)
+
+
+@pytest.mark.parametrize(("precision", "scale"), [(12, 2), (18, 2), (18, 0), (22, 11), (30, 12), (38, 2)])
+def test_decimals_above_nine_digits_stay_distinct(spark, precision, scale):
+    whole = 10 ** min(precision - scale, 18) - 1
+    values = [f"{w}.{f}"[: None if scale else -3] for w in (whole, whole - 1, 1000000001, 2000000001, 999999999, 1000000000) for f in ("10", "11")]
+    values = sorted({Decimal(v) + (Decimal(1).scaleb(-scale) if scale > 9 and v.endswith("11") else 0) for v in values})
+    dtype = f"decimal({precision},{scale})"
+    df = spark.createDataFrame([(str(v),) for v in values], "v string").select(F.col("v").cast(dtype).alias("v"))
+    got = [r.v for r in df.select(fpe.fpe(F.col("v"), "decimal", KEY, precision, scale).alias("v")).collect()]
+    assert len(set(got)) == len(values) and None not in got
+    small = [(int(a), int(b)) for a, b in zip([r.v for r in df.collect()], got, strict=True)]
+    assert all((a < 10**9) == (b < 10**9) for a, b in small)
+
+
+def test_decimals_and_texts_that_do_not_fit_are_errors(spark):
+    wide = spark.createDataFrame([("1" * 19,)], "v string").select(F.col("v").cast("decimal(38,0)").alias("v"))
+    with pytest.raises(Exception, match="18 whole digits"):
+        wide.select(fpe.fpe(F.col("v"), "decimal", KEY, 38, 0)).collect()
+    texts = spark.createDataFrame([("abcde",), (None,), ("abc",)], "v string")
+    assert [r.v and len(r.v) for r in texts.select(fpe.fpe(F.col("v"), "varchar(5)", KEY).alias("v")).collect()] == [5, None, 3]
+    with pytest.raises(Exception, match="longer than its column"):
+        texts.select(fpe.fpe(F.col("v"), "varchar(4)", KEY)).collect()

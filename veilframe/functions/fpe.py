@@ -215,23 +215,37 @@ def fpe_fraction(c: Column, dtype: T.DataType, key: str, permuter=permute_range)
 
 
 def fpe_decimal(c: Column, precision: int, scale: int, key: str, permuter=permute_range) -> Column:
-    """Decimals keep precision and scale: whole part permuted in [1, 10^(p-s)-1], fraction shifted by a keyed hash.
+    """Decimals keep precision and scale: whole part permuted in [1, 10^9-1] or, above, in [10^9, 10^(p-s)-1], fraction
+    shifted by a keyed hash.
 
     The shift depends on the whole part alone, so the pair (whole, fraction) maps one to one for whole parts from one
-    to 999,999,999; the sign and a whole part of zero are folded into the positive range.
+    on; the sign and a whole part of zero are folded into the positive range. A whole part of more than 18 digits and a
+    scale of more than 17 are errors.
     """
     key = require_key(key)
-    digits = min(max(1, precision - scale), 9)
-    top = 10**digits - 1
+    if scale > 17:
+        raise ValueError(f"decimal({precision},{scale}) cannot be encrypted: more than 17 digits of fraction")
+    digits = max(1, precision - scale)
+    near, far = min(digits, 9), min(digits, 18)
+    top = 10**near - 1
     size = F.abs(c.cast(T.DecimalType(38, scale)))
-    whole = F.when(c.isNotNull(), F.greatest(F.least(F.floor(size), F.lit(top)), F.lit(1)).cast("long"))
-    masked = permuter(whole, 1, top, key, f"decimal.{digits}")
+    floor = F.floor(size)
+    if digits > far:
+        error = F.raise_error(F.lit(f"a decimal with more than {far} whole digits cannot be encrypted")).cast(T.LongType())
+        whole = F.when(floor >= F.lit(str(10**far)).cast("decimal(38,0)"), error).otherwise(floor.cast("long"))
+    else:
+        whole = floor.cast("long")
+    whole = F.when(c.isNotNull(), F.greatest(whole, F.lit(1).cast("long")))
+    masked = permuter(F.least(whole, F.lit(top).cast("long")) if far > near else whole, 1, top, key, f"decimal.{near}")
+    if far > near:
+        large = permuter(F.when(whole > top, whole), top + 1, 10**far - 1, key, f"decimal.{far}.large")
+        masked = F.when(whole > top, large).otherwise(masked)
     if scale == 0:
         return masked.cast(T.DecimalType(precision, 0))
-    unit = 10 ** min(scale, 9)
-    part = F.floor((size - F.floor(size)) * unit).cast("long")
+    unit = 10**scale
+    part = ((size % F.lit(1).cast("decimal(1,0)")) * F.lit(unit).cast(T.DecimalType(scale + 1, 0))).cast("long")
     shifted = (part + keyed_hash(whole, key, "decimal.fraction") % unit) % unit
-    return ((masked * unit + shifted).cast("decimal(30,0)") / F.lit(unit)).cast(T.DecimalType(precision, scale))
+    return F.concat(masked.cast("string"), F.lit("."), F.lpad(shifted.cast("string"), scale, "0")).cast(T.DecimalType(precision, scale))
 
 
 def fpe_uuid(c: Column, key: str) -> Column:
@@ -472,9 +486,15 @@ def _rebuild(column: pa.Array, key: str, depth: int) -> pa.Array:
 
 
 def fpe_text(c: Column, key: str, max_length: int | None = None, depth: int = 0) -> Column:
-    """Text: length and character class are kept. `depth` counts the arrays the text is nested in."""
+    """Text: length and character class are kept. `depth` counts the arrays the text is nested in.
+
+    A text longer than `max_length` is an error, since cut texts would meet.
+    """
     masked = _text_function(require_key(key), depth)(c)
-    return F.substring(masked, 1, max_length) if max_length else masked
+    if not max_length:
+        return masked
+    error = F.raise_error(F.lit(f"a text longer than its column ({max_length}) cannot be encrypted")).cast("string")
+    return F.when(F.length(c) > max_length, error).otherwise(masked)
 
 
 # SQL type names that select each family.
