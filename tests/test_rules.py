@@ -171,3 +171,20 @@ def test_export_profiles_pass_nulls_through(spark):
     assert mask_table(df, "t", rules, "sql_export").head().code is None
     assert mask_table(df, "t", RuleSet(key=KEY, defaults={"code": "y"}), "sql_export").head().code is None
     assert mask_table(df, "t", RuleSet(key=KEY, defaults={"code": "y"})).head().code == "y"
+
+
+def test_wide_numbers_keep_their_value(spark):
+    from pyspark.sql import types as T
+
+    from veilframe.functions.formats import apply_format
+
+    digits = "-" + "123456789" * 3 + "123"
+    df = spark.createDataFrame([(digits,)], "s string").select(F.col("s").cast("decimal(38,0)").alias("d"), F.lit(1e30).alias("f"), F.lit("1.123456789012").alias("t"))
+    made = df.select(
+        apply_format(F.col("d"), T.DecimalType(38, 0), "NUM:POSITIVE", "0123456789abcdef", "d").alias("d"),
+        apply_format(F.col("d"), T.DecimalType(38, 0), "NUM:SCALE(0)", "0123456789abcdef", "d").alias("e"),
+        apply_format(F.col("f"), T.DoubleType(), "NUM:NEGATIVE:SCALE(2)", "0123456789abcdef", "f").alias("f"),
+        apply_format(F.col("t"), T.StringType(), "NUM:SCALE(12)", "0123456789abcdef", "t").alias("t"),
+        apply_format(F.col("t"), T.StringType(), "NUM:INTEGER", "0123456789abcdef", "t").alias("u"),
+    ).head()
+    assert (made.d, made.e, made.f, made.t, made.u) == (Decimal(digits[1:]), Decimal(digits), -1e30, "1.123456789012", "1")

@@ -245,21 +245,38 @@ _BOUNDS = {
 
 
 def format_number(c: Column, dtype: T.DataType, rule: NumberRule, key: str, label: str, seed: Column | None) -> Column:
-    """Clamp to the range, set the sign, round half up; the result keeps the column's type."""
-    numeric = isinstance(dtype, T.NumericType)
-    text = c.cast("string") if numeric else F.regexp_replace(c.cast("string"), "[^0-9.-]", "")
-    value = text.try_cast(_WIDE)
+    """Clamp to the range, set the sign, round half up; the result keeps the column's type.
+
+    Floats and doubles are computed as such, other numbers as decimals that hold the column's type. A readable text
+    that needs more than 38 digits is an error.
+    """
+    numeric, floating = isinstance(dtype, T.NumericType), isinstance(dtype, (T.FloatType, T.DoubleType))
+    wide = dtype.simpleString() if floating else _wide(dtype, rule)
     low = 10.0 if rule.low is None else rule.low
     high = 10000.0 if rule.high is None else rule.high
     step = digit(keyed_hash(c, key, f"{label}.num", seed), 1_000_000)
     spread = F.lit(repr(high - low)).cast("decimal(18,4)") * step / F.lit(1_000_000)
-    value = F.coalesce(value, (F.lit(repr(low)).cast("decimal(18,4)") + spread).cast(_WIDE))
+    drawn = (F.lit(repr(low)).cast("decimal(18,4)") + spread).cast(_WIDE).cast(wide)
+    if floating:
+        value = F.when(~F.isnan(c), c)
+    elif numeric:
+        value = c.cast(wide)
+    else:
+        text = F.regexp_replace(c.cast("string"), "[^0-9.-]", "")
+        value = text.try_cast(wide)
+        places = F.lit(0)
+        if rule.scale is None:  # with a scale, what goes beyond it is rounded
+            places = F.length(F.regexp_extract(text, r"\.(\d*?)0*$", 1))
+        readable = text.rlike(r"^-?(\d+\.?\d*|\.\d+)$")
+        error = F.raise_error(F.lit(f"{label}: a number in a text does not fit into {wide}")).cast(wide)
+        value = F.when(readable & (value.isNull() | (places > int(wide[:-1].split(",")[1]))), error).otherwise(value)
+    value = F.coalesce(value, drawn)
     if rule.low is not None:
-        value = F.greatest(value, F.lit(repr(rule.low)).cast(_WIDE))
+        value = F.greatest(value, F.lit(repr(rule.low)).cast(wide))
     if rule.high is not None:
-        value = F.least(value, F.lit(repr(rule.high)).cast(_WIDE))
+        value = F.least(value, F.lit(repr(rule.high)).cast(wide))
     if rule.sign:
-        value = F.abs(value) * F.lit(rule.sign)
+        value = F.abs(value) if rule.sign > 0 else -F.abs(value)
     if rule.scale is not None:
         value = F.round(value, rule.scale)
     if isinstance(dtype, T.IntegralType):
@@ -268,12 +285,22 @@ def format_number(c: Column, dtype: T.DataType, rule: NumberRule, key: str, labe
     if numeric:
         return value.try_cast(dtype)
     if rule.whole:
-        return value.cast("decimal(28,0)").cast("string")
+        return value.cast("decimal(38,0)").cast("string")
     if rule.scale is not None:
-        return value.cast(f"decimal(38,{min(rule.scale, 10)})").cast("string")
+        return value.cast(f"decimal(38,{rule.scale})").cast("string")
     return F.regexp_replace(value.cast("string"), r"\.?0+$", "")
 
 
+def _wide(dtype: T.DataType, rule: NumberRule) -> str:
+    """A decimal type that holds the column's type, with ten digits of fraction (or as many as the rule asks) where there is room."""
+    scale = max(10, rule.scale or 0)
+    if isinstance(dtype, T.DecimalType):
+        scale = max(dtype.scale, min(scale, 38 - (dtype.precision - dtype.scale)))
+    elif isinstance(dtype, T.StringType) and rule.whole:
+        scale = 0
+    return f"decimal(38,{min(scale, 38)})"
+
+
 # ---------------------------------------------------------------- dispatch
 
 
