@@ -17,6 +17,7 @@ from veilframe.llm.sharding import shard_records
 from veilframe.llm.string_tiling import tile_coverage
 from veilframe.llm.token_counts import counts_and_fit
 from veilframe.llm.tool_calls import link_tool_calls
+from veilframe.llm.url_rules import judge_urls
 from veilframe.registry.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -186,3 +187,26 @@ def tool_call_linking(spark: SparkSession, folder: str) -> DataFrame:
     results = turns.where("role = 'assistant'").select("conv_id", call(turn - 1).alias("call_id"), turn.alias("position"), text.alias("content"))
     schemas = spark.createDataFrame(TOOLS, "name string, param string, type string, required boolean")
     return link_tool_calls(calls, results, schemas)
+
+
+#: Host, path and verdict of the rules of the query below.
+URL_RULES = [
+    ("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"),
+]
+
+_URL_SQL = """
+WITH rules(rhost, rpath, rverdict) AS (VALUES %s), u AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest, row_number() OVER () AS n FROM pages
+), h AS (SELECT page_id, n, regexp_extract(rest, '^[^/?#]*') AS raw, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u
+), p AS (SELECT page_id, n, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, path FROM h
+), f AS (SELECT n, rhost || rpath AS rule, rverdict, row_number() OVER (PARTITION BY n ORDER BY length(rhost || rpath) DESC) AS place
+  FROM p JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath))
+SELECT page_id, host, path, rule, coalesce(rverdict, 'allow') AS verdict FROM p LEFT JOIN f ON p.n = f.n AND place = 1
+""" % ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
+
+
+@query("op12_url_intervals", _URL_SQL)
+def url_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's host, path, and the longest rule that fits them."""
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
