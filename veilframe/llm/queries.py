@@ -18,6 +18,7 @@ from veilframe.llm.string_tiling import tile_coverage
 from veilframe.llm.token_counts import counts_and_fit
 from veilframe.llm.tool_calls import link_tool_calls
 from veilframe.llm.url_rules import judge_urls
+from veilframe.llm.whitening import whitened_components
 from veilframe.registry.base import Query, table
 
 QUERIES: dict[str, Query] = {}
@@ -210,3 +211,10 @@ def url_intervals(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's host, path, and the longest rule that fits them."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return judge_urls(table(spark, folder, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op13_exact_whitening")
+def exact_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """All embeddings in their first eight whitened components. A deviation beyond a long is null."""
+    rows = whitened_components(table(spark, folder, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
