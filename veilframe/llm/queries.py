@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilframe.llm.bpe_stream import roundtrip_digests
 from veilframe.llm.common import held_out
 from veilframe.llm.compression_quality import fit_quality, quality_score
+from veilframe.llm.conversation_trie import conversation_trie, with_shared_heads
 from veilframe.llm.exact_dedup import duplicate_groups
 from veilframe.llm.kneser_ney import train_and_score
 from veilframe.llm.language import fit_languages, language_of
@@ -218,3 +219,39 @@ def exact_whitening(spark: SparkSession, folder: str) -> DataFrame:
     """All embeddings in their first eight whitened components. A deviation beyond a long is null."""
     rows = whitened_components(table(spark, folder, "embeddings"))
     return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''),
+    substr(sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t
+), steps AS (  -- of crc32: each character, then eight shifts
+  SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), i -> [ascii(s[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS l FROM ids
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+    xor(list_reduce(l, (a, v) -> CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 6 AS h FROM steps
+), rebuilt AS (
+  SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.base AND t.p < c.h UNION ALL SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.p >= c.h
+), s AS (SELECT conv_id, coalesce(list({'r': r, 'x': x} ORDER BY p) FILTER (p IS NOT NULL), []) AS s FROM c LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
+), pre AS (SELECT conv_id, d, s[1:d] AS path, len(s) = d AS ending FROM s, unnest(range(0, len(s) + 1)) AS u(d)
+), n AS (
+  SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (ending), '')) AS ends_sha256
+  FROM pre GROUP BY path, d
+), k AS (
+  SELECT n.*, up.conv_id AS parent_conv_id, coalesce(length(n.path[n.d].x), 0) AS points FROM n LEFT JOIN n AS up ON up.d = n.d - 1 AND up.path = CASE WHEN n.d > 0 THEN n.path[1:n.d - 1] END
+), kids AS (SELECT path[1:d - 1] AS path, count(*) AS n FROM n WHERE d > 0 GROUP BY 1
+), f AS (SELECT k.*, coalesce(kids.n, 0) AS n_children FROM k LEFT JOIN kids ON kids.path = k.path
+), below AS (
+  SELECT path[1:e] AS path, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum((n_convs - 1) * points) AS saved FROM f, unnest(range(0, d + 1)) AS u(e) GROUP BY 1
+)
+SELECT conv_id, d AS depth, parent_conv_id, n_convs, n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM f JOIN below ON below.path = f.path
+"""
+
+
+@query("op11_conversation_trie", _TRIE_SQL)
+def trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All beginnings of the conversations, each of which takes the first turns of the first one of its hundred."""
+    return conversation_trie(table(spark, folder, "conversations"), with_shared_heads)
