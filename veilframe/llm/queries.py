@@ -228,10 +228,10 @@ WITH t AS (
   FROM conversations WHERE conv_id IS NOT NULL
 ), ids AS (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM t
 ), steps AS (  -- of crc32: each character, then eight shifts
-  SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), i -> [ascii(s[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS l FROM ids
+  SELECT conv_id, list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length(s) + 1), lambda i: [ascii(s[i])::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))) AS l FROM ids
 ), c AS (
   SELECT conv_id, conv_id - conv_id % 100 AS base,
-    xor(list_reduce(l, (a, v) -> CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 6 AS h FROM steps
+    xor(list_reduce(l, lambda a, v: CASE WHEN v >= 0 THEN xor(a, v) ELSE xor(a >> 1, 3988292384::BIGINT * (a & 1)) END), 4294967295::BIGINT) % 6 AS h FROM steps
 ), rebuilt AS (
   SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.base AND t.p < c.h UNION ALL SELECT c.conv_id, p, r, x FROM c JOIN t ON t.conv_id = c.conv_id AND t.p >= c.h
 ), s AS (SELECT conv_id, coalesce(list({'r': r, 'x': x} ORDER BY p) FILTER (p IS NOT NULL), []) AS s FROM c LEFT JOIN rebuilt USING (conv_id) GROUP BY conv_id
