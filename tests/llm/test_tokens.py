@@ -9,6 +9,7 @@ from tokenizers import Tokenizer
 
 from veilframe.llm import bpe_stream, token_counts
 from veilframe.llm.bpe_prefix import byte_text, load_bpe, text_byte
+from veilframe.llm.common import ByteMemory
 from veilframe.llm.queries import QUERIES
 
 SMALL = "/root/testdata/sf0.001"
@@ -66,7 +67,7 @@ def test_encoding_of_any_text(byte):
         assert np.frombuffer(both.encode(text), "<u4").tolist() == want, text
         cuts = sorted(draw.randrange(len(text) + 1) for _ in range(3))
         chunks = [text[a:b] for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-        assert list(both.stream(chunks)) == want, chunks
+        assert np.frombuffer(b"".join(both.stream(chunks)), "<u4").tolist() == want, chunks
         assert "".join(both.decode(want)) == byte.decode(want, skip_special_tokens=False) == text
 
 
@@ -81,6 +82,50 @@ def test_stream_of_one_long_piece(byte):
     assert first == want[0] and list(bpe.stream(iter(byte_text(text.encode())))) == want == bpe.encode(byte_text(text.encode()))
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_long_pieces_in_chunks(byte, seed, monkeypatch):
+    """Pieces of all kinds that are passed on unfinished, with special strings and white space where they end."""
+    monkeypatch.setattr(bpe_stream, "OPEN", 20)
+    both, draw = bpe_stream.Transducer(*load_bpe(BYTE)), random.Random(seed)
+    for _ in range(150):
+        text = "".join(draw.choice(["a", "é", "7", "!", "<", "<|", " ", "\n", "\u3000", "'", "中"]) * draw.randrange(1, 90)
+                       + draw.choice(["", "<|endoftext|>", "'s", " x", "<|endof", "a1b2c3" * 9]) for _ in range(4))
+        want = byte.encode(text, add_special_tokens=False).ids
+        for size in (1, 7, 33, 1000):
+            chunks = [text[i : i + size] for i in range(0, len(text), size)]
+            assert np.frombuffer(b"".join(both.stream(chunks)), "<u4").tolist() == want, (size, text)
+
+
+@pytest.mark.parametrize("text", ["word and " * 400_000, "ab" * 1_000_000, "a1" * 1_000_000, " " * 1_000_000 + "x", "-" * 1_000_000])
+def test_tokens_leave_before_the_text_ends(byte, text):
+    both, read, held = bpe_stream.Transducer(*load_bpe(BYTE)), 0, 0
+    bpe_bytes = []
+
+    def chunks():
+        nonlocal read
+        for i in range(0, len(text), 4096):
+            read = i
+            yield text[i : i + 4096]
+
+    for block in both.stream(chunks()):
+        bpe_bytes.append(block)
+        if len(bpe_bytes) == 1:
+            held = read
+    assert held <= 150_000 < len(text) // 5  # a block of 1,024 tokens, each up to 128 characters long
+    ids = np.frombuffer(b"".join(bpe_bytes), "<u4").tolist()
+    assert "".join(both.decode(ids)) == text
+    assert ids[: 2000] == byte.encode(text[:300_000], add_special_tokens=False).ids[:2000]
+
+
+def test_memories_are_bounded_by_bytes():
+    memory = ByteMemory(lambda key: key.encode() * 2, 20_000, 50)
+    for i in range(5000):
+        key = "k" * (i % 60) + str(i)
+        assert memory[key] == key.encode() * 2
+        size = sum(len(k) + len(v) + 100 for part in (memory, memory.older) for k, v in part.items())
+        assert size < 20_000 and all(len(k) <= 50 for k in memory)
+
+
 def test_broken_bytes_decode_to_marks():
     both = bpe_stream.Transducer(*load_bpe(BYTE))
     half = [i for i, t in both.token_bytes.items() if t == "é".encode()[:1]][:1]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cached_property
 
 from veilframe.llm.common import kept
 
@@ -47,11 +48,18 @@ class PrefixBPE:
                 (self.final if at_end else self.inner)[token[: -len(suffix)] if at_end else token] = i
         if not suffix:
             self.final = self.inner
-        self.inner_ends = self._ends(self.inner)
-        self.final_ends = self._ends(self.final) if suffix else self.inner_ends
         #: A token is at most this many symbols long, so whatever comes later starts less than this before the frontier.
         self.longest = max(map(len, self.inner), default=1)
         self.suits: dict[int, bool] = {}
+        self.most_suits = 1_000_000
+
+    @cached_property
+    def inner_ends(self) -> dict:
+        return self._ends(self.inner)
+
+    @cached_property
+    def final_ends(self) -> dict:
+        return self._ends(self.final) if self.suffix else self.inner_ends
 
     @staticmethod
     def _ends(tokens: dict[str, int]) -> dict:
@@ -89,7 +97,7 @@ class PrefixBPE:
         key = (left << 32) | right
         known = self.suits.get(key)
         if known is None:
-            if len(self.suits) > 1_000_000:  # only a memory of answers
+            if len(self.suits) > self.most_suits:  # only a memory of answers
                 self.suits.clear()
             a, b = self.text[left], self.text[right]
             known = self.suits[key] = self.merge([*self.symbols(a), *self.symbols(b)]) == [a, b]

@@ -48,6 +48,29 @@ class Memory(dict):
         return value
 
 
+class ByteMemory(dict):
+    """Answers of `find` by key, of the last keys met: an older half is forgotten when a new half has taken its bytes.
+
+    Keys and values are strings or bytes; each counts with what Python and the dictionary need for it.
+    """
+
+    def __init__(self, find: Callable[[Any], Any], most_bytes: int, longest: int):
+        super().__init__()
+        self.find, self.half, self.longest, self.older, self.room = find, most_bytes // 2, longest, {}, most_bytes // 2
+
+    def __missing__(self, key: Any) -> Any:
+        value = self.older.get(key)
+        if value is None:
+            value = self.find(key)
+        if len(key) <= self.longest:
+            self.room -= sys.getsizeof(key) + sys.getsizeof(value) + 110
+            if self.room < 0:
+                self.older, self.room = dict(self), self.half
+                self.clear()
+            self[key] = value
+        return value
+
+
 def held_out(id_column: Column, of: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves `remainder`. A row without id is not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == remainder, F.lit(False))
