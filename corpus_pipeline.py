@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.bpe_stream import decode_tokens, encode_text
+from veilframe.llm.bpe_stream import encode_and_check
 from veilframe.llm.common import column, free_name
 from veilframe.llm.compression_quality import quality_score
 from veilframe.llm.exact_dedup import drop_duplicates, only_rows, row_hash
@@ -51,12 +51,12 @@ def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     Null is encoded as empty. The new columns take the next free name where docs has one of theirs.
     """
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens, count, same = (free_name(docs.columns, n) for n in ("tokens", "n_tokens", "roundtrip"))
-    encoded = docs.withColumn(tokens, encode_text(F.col("text"), path))
+    tokens, count, same, both = (free_name(docs.columns, n) for n in ("tokens", "n_tokens", "roundtrip", "encoded"))
+    encoded = docs.withColumn(both, encode_and_check(F.col("text"), public_tokenizers.path("byte_bpe_50k.json")))
+    ids = column(both).getField("tokens")
     return encoded.select(
-        *[column(c) for c in docs.columns if c != "text"], (F.octet_length(column(tokens)) / 4).cast("long").alias(count), column(tokens),
-        (decode_tokens(column(tokens), path) == F.coalesce("text", F.lit(""))).alias(same),
+        *[column(c) for c in docs.columns if c != "text"], (F.octet_length(ids) / 4).cast("long").alias(count), ids.alias(tokens),
+        column(both).getField("roundtrip").alias(same),
     )
 
 
