@@ -5,6 +5,7 @@ import numpy as np
 import plain
 from pyspark.sql import functions as F
 
+from veilframe.llm.common import sampled_text
 from veilframe.llm.compression_quality import QualityModel, fit_quality, quality_score
 from veilframe.llm.language import LanguageModel, fit_languages, identify, labelled, language_of, viterbi, words_of
 from veilframe.llm.queries import QUERIES
@@ -36,6 +37,25 @@ def test_learning_is_repeatable(spark):
     assert fit_quality(docs, labels) == fit_quality(docs.repartition(7), labels.repartition(3))
 
 
+def test_samples_come_from_whole_texts(spark):
+    text = "".join(f"{i:05d}" for i in range(20_000))
+    row = spark.createDataFrame([(text,), ("short",), ("",), (None,)], "text string").select(sampled_text(F.col("text"), 1000, 100).alias("s"), "text").collect()
+    blocks = row[0].s.split("\n")
+    places = [text.index(b) for b in blocks]
+    assert len(blocks) == 10 == len(set(places)) and places == sorted(places) and all(p % 100 == 0 and len(b) == 100 for p, b in zip(places, blocks, strict=True))
+    assert places[-1] > 50_000 and [r.s for r in row[1:]] == ["short", "", None]
+
+
+def test_samples_are_bounded_whatever_the_ids(spark):
+    """Repeated and missing ids share no draw; equal rows count once."""
+    rows = [(None, f"ab{i}c de{i}f", "x") for i in range(300)] + [(5, f"uv{i}w xy{i}z", "y") for i in range(300)] + [(5, "same text", "y")] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert fit_languages(docs, sample_per_language=10).languages == ("x", "y")
+    labels = spark.createDataFrame([(5, 1), (6, 0), (7, 0)], "doc_id long, quality int")
+    more = docs.unionAll(spark.createDataFrame([(6, "bad one", "z"), (7, "bad two", "z")], docs.schema))
+    assert fit_quality(more, labels, sample_per_class=20) == fit_quality(more.repartition(5), labels, sample_per_class=20)
+
+
 def best_path(scores, switch):
     n = scores.shape[1]
     value = lambda p: sum(scores[t, s] for t, s in enumerate(p)) - switch * sum(a != b for a, b in zip(p, p[1:], strict=False))

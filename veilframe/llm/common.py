@@ -71,6 +71,18 @@ class ByteMemory(dict):
         return value
 
 
+def sampled_text(text: Column, most_chars: int, block_chars: int) -> Column:
+    """A text of up to `most_chars` characters as it is; of a longer one that many, in blocks drawn by hash from all of it.
+
+    The blocks stand in their order, set apart by a line break.
+    """
+    blocks = F.sequence(F.lit(0), F.ceil(F.length(text) / block_chars).cast("int") - 1)
+    drawn = F.slice(F.array_sort(F.transform(blocks, lambda i: F.struct(F.xxhash64(i, F.length(text)).alias("draw"), i.alias("i")))), 1, most_chars // block_chars)
+    places = F.array_sort(F.transform(drawn, lambda d: d["i"]))
+    cut = F.array_join(F.transform(places, lambda i: F.substring(text, i * block_chars + 1, F.lit(block_chars))), "\n")
+    return F.when(F.length(text) <= most_chars, text).otherwise(cut)
+
+
 def held_out(id_column: Column, of: int, remainder: int) -> Column:
     """Whether crc32 of the id as text leaves `remainder`. A row without id is not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % of == remainder, F.lit(False))

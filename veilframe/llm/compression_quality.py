@@ -11,12 +11,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import column, kept
+from veilframe.llm.common import column, kept, sampled_text
 
 BLOCK_BYTES = 512
 LEVEL = 3
 SAMPLE_PER_CLASS = 2000
 SAMPLE_CHARS = 1 << 16
+SAMPLE_BLOCK = 1 << 10
 DICTIONARY_BYTES = 1 << 16
 
 
@@ -87,7 +88,9 @@ def fit_quality(
     """Dictionaries and calibration from a bounded sample of labelled documents.
 
     Of the labels that hold `usable` (a condition on the id), `sample_per_class` of each class are drawn by a hash of the
-    id; their texts, of each at most `sample_chars` characters, come to the driver. That is the bound of the sample.
+    id, and of their rows (an id may be repeated) as many by a hash of id and text, equal rows once. Their texts come to the
+    driver, of one longer than `sample_chars` characters that many, in blocks drawn by hash from all of it. That is the
+    bound of the sample.
     Every other one trains its class's dictionary, the rest fit the calibration, weighted to the share each class has among
     all usable labels. Labels other than 0 and 1, ids labelled both ways and labels without a document are left out. If a
     class is missing, both dictionaries are empty and every text scores that share (0.5 without any label).
@@ -101,8 +104,11 @@ def fit_quality(
     share = (counts.get(1, 0) / sum(counts.values())) if counts else 0.5
     drawn = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample_per_class) for y in (0, 1)]
     chosen = F.broadcast(drawn[0].unionAll(drawn[1]).select("id", "y"))  # two ids and labels per sampled row, bounded
-    found = docs.select(ident.alias("id"), F.substring(column(text_column), 1, sample_chars).alias("text")).join(chosen, "id").where("text <> ''")
-    rows = sorted({(r.id, r.text, r.y) for r in found.collect()}, key=lambda r: (hashlib.md5(repr(r[:2]).encode()).digest()))
+    text = column(text_column)
+    found = docs.select(ident.alias("id"), F.xxhash64(ident, text).alias("draw"), text.alias("text")).join(chosen, "id").where("text <> ''")
+    once = found.groupBy("y", "draw").agg(F.first(F.struct("id", sampled_text(F.col("text"), sample_chars, SAMPLE_BLOCK).alias("text"))).alias("r"))
+    few = [once.where(F.col("y") == y).orderBy("draw").limit(sample_per_class) for y in (0, 1)]
+    rows = sorted({(r.id, r.text, r.y) for r in few[0].unionAll(few[1]).select("r.*", "y").collect()}, key=lambda r: (hashlib.md5(repr(r[:2]).encode()).digest()))
     by = {y: [r[1].encode() for r in rows if r[2] == y] for y in (0, 1)}
     if min(len(by[0]), len(by[1])) < 2:
         share = min(max(share, 1e-6), 1 - 1e-6)

@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import column, kept
+from veilframe.llm.common import column, kept, sampled_text
 
 TRIGRAMS = 1 << 16
 SAMPLE_PER_LANGUAGE = 1000
 SAMPLE_CHARS = 1 << 13
+SAMPLE_BLOCK = 1 << 9
 SWITCH = 20.0
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
@@ -114,20 +115,25 @@ def fit_languages(
     sample_per_language: int = SAMPLE_PER_LANGUAGE, sample_chars: int = SAMPLE_CHARS, switch: float = SWITCH,
 ) -> LanguageModel:
     """Trigram statistics of a bounded sample: of each language `sample_per_language` rows that hold `usable`, drawn by a
-    hash of the id, and of each text at most `sample_chars` characters. Rows without language or text are left out.
+    hash of id and text, equal rows once. Of a text longer than `sample_chars` characters that many take part, in blocks drawn
+    by hash from all of it. Rows without language or text are left out. One pass finds the draws, one the texts.
     """
     rows = docs.where(column(lang_column).isNotNull() & column(text_column).isNotNull())
     if usable is not None:
         rows = rows.where(usable)
-    draw = F.xxhash64(column(id_column).cast("string"))
-    rows = rows.select(column(lang_column).alias("lang"), draw.alias("draw"), F.substring(column(text_column), 1, sample_chars).alias("text"))
-    languages = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    text = column(text_column)
+    rows = rows.select(column(lang_column).alias("lang"), F.xxhash64(column(id_column).cast("string"), text).alias("draw"), text.alias("text"))
+    first = Window.partitionBy("lang").orderBy("draw")
+    draws = rows.select("lang", "draw").groupBy("lang", "draw").agg(F.lit(1)).withColumn("n", F.row_number().over(first))
+    last = F.broadcast(draws.where(F.col("n") <= sample_per_language).groupBy("lang").agg(F.max("draw").alias("last")))  # a row a language
+    sample = rows.join(last, "lang").where("draw <= last").groupBy("lang", "draw").agg(F.first(sampled_text(F.col("text"), sample_chars, SAMPLE_BLOCK)).alias("text"))
+    texts: dict[str, set[str]] = {}
+    for r in sample.select("lang", "text").collect():
+        texts.setdefault(r.lang, set()).add(r.text)
+    languages = sorted(texts)
     counts, scripts = np.zeros((TRIGRAMS, len(languages))), np.zeros((len(SCRIPTS) + 1, len(languages)))
     for i, language in enumerate(languages):
-        own = rows.where(F.col("lang") == language)
-        last = own.select("draw").orderBy("draw").limit(sample_per_language).agg(F.max("draw")).first()[0]
-        texts = {r.text for r in own.where(F.col("draw") <= last).select("text").collect()}
-        found = words_of(sorted(texts))
+        found = words_of(sorted(texts[language]))
         counts[:, i] = np.bincount(found.hashes, minlength=TRIGRAMS)
         scripts[:, i] = np.bincount(found.script, weights=found.letters, minlength=len(SCRIPTS) + 1)
     chance = (counts + 0.02) / (counts.sum(axis=0) + 0.02 * TRIGRAMS)
