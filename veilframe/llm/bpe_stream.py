@@ -27,7 +27,7 @@ from veilframe.llm.bpe_prefix import PrefixBPE, byte_text, load_bpe, text_byte
 from veilframe.llm.common import ByteMemory, kept
 
 #: What a worker remembers of short words and pieces, and of pairs of tokens (about 100 bytes each).
-WORD_BYTES, PIECE_BYTES, PAIRS = 36 << 20, 28 << 20, 250_000
+WORD_BYTES, PIECE_BYTES, PAIRS = 80 << 20, 8 << 20, 350_000
 #: Rows of a batch that are held as Python texts at a time.
 ROWS = 256
 SHORT = 64
@@ -148,7 +148,14 @@ class Transducer:
         return b"".join(_blocks(self.bpe.stream(shown)))
 
     def _word(self, word: str) -> bytes:
-        return b"".join(map(self.piece.__getitem__, _PIECE.findall(word)))
+        pieces = _PIECE.findall(word)
+        if len(pieces) == 1 and word[0] == " " < word:  # remembered as the word behind the blank
+            return self._piece(word)
+        return b"".join(self._met(pieces))
+
+    def _met(self, pieces: list[str]) -> Iterator[bytes]:
+        """Tokens of pieces, those that begin with a blank as words."""
+        return (self.later[p[1:]] if p[0] == " " < p else self.piece[p] for p in pieces)
 
     def _plain(self, text: str) -> Iterable[bytes]:
         """Tokens of the pieces of a text without special strings.
@@ -157,7 +164,7 @@ class Transducer:
         separates: a blank belongs to the word after it, a break is a piece of its own.
         """
         if not _regular(text):
-            return map(self.piece.__getitem__, _PIECE.findall(text))
+            return self._met(_PIECE.findall(text))
         out, first, later, broken = [], self.first, self.later, self.piece["\n"]
         for line in text.split("\n"):
             words = line.split(" ")
