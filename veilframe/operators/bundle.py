@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from veilframe.functions.hashing import require_key
 from veilframe.session import stage
+from veilframe.sources.committed import CommittedFolder, committed_files, has_manifest
 
 MAGIC = "#veilframe-bundle-1"
 DEFAULT_PART_BYTES = 100 * 1024 * 1024
@@ -229,8 +230,11 @@ def inspect_bundle(parts: DataFrame, key: str | None = None) -> DataFrame:
 def write_part_files(parts: DataFrame, folder: str) -> DataFrame:
     """Write each part as one file below `folder` (any file system Arrow knows); returns `(name, length)`.
 
-    Tasks write the files, under a temporary name first, so a repeated task replaces its own work.
+    Tasks write the files, under a temporary name first, so a repeated task replaces its own work. A folder without a scheme
+    is one of Spark's default file system.
     """
+    folder = CommittedFolder(parts.sparkSession, folder, "parts").folder
+    folder = re.sub(r"^file:/(?!/)", "file:///", re.sub("^s3a:", "s3:", folder))
 
     def write(batches):
         from pyarrow import fs
@@ -290,22 +294,29 @@ def part_name_pattern(base: str) -> str:
     return rf"^{re.escape(base)}([-_.][pP][aA][rR][tT]\d+|[-_]\d+)?(\.\w+)+$"
 
 
-def clear_parts(spark: SparkSession, folder: str, base: str) -> None:
-    """Delete the parts that an earlier export named `base` left in `folder`; other backups there stay."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if system.exists(path):
-        for entry in system.listStatus(path):
-            if entry.isFile() and re.match(part_name_pattern(base), entry.getPath().getName()):
-                system.delete(entry.getPath(), False)
+def save_parts(parts: DataFrame, folder: str, base: str) -> DataFrame:
+    """Write the parts of the backup `base` and commit them together; returns `(name, length)`.
+
+    The parts of an earlier backup of that name stay until all new ones are written, and are known from its manifest: other
+    files of the folder are never removed or replaced.
+    """
+    out = CommittedFolder(parts.sparkSession, folder, base)
+    try:
+        log = stage(write_part_files(parts, out.staging), "export-log")
+        out.commit({n: n for n in out.staged()})
+    finally:
+        out.drop_staging()
+    return log
 
 
 def read_part_files(spark: SparkSession, folder: str, extensions=(".enc", ".jsonl"), base: str | None = None) -> DataFrame:
-    """Part files of a folder as bundle parts: those of the backup `base`, or all of them."""
+    """Part files of a folder as bundle parts: those of the backup `base` (by its manifest, else by name), or all of them."""
     rows = spark.read.format("binaryFile").load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = rows.select(name.alias("name"), "content")
-    if base is not None:
+    if base is not None and has_manifest(spark, folder, base):
+        rows = rows.join(committed_files(spark, folder, base), "name", "left_semi")
+    elif base is not None:
         rows = rows.where(F.col("name").rlike(part_name_pattern(base)))
     keep = F.lit(False)
     for e in extensions:

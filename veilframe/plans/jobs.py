@@ -163,8 +163,7 @@ def secure_export(
     """Mask, cut into parts, encrypt and write part files; returns their names and sizes."""
     masked = masked_for_export(kind, tables, rules)
     parts = bundle.export_bundle(masked, base, max_bytes, key)
-    bundle.clear_parts(parts.sparkSession, folder, base)
-    return stage(bundle.write_part_files(parts, folder), "export-log")
+    return bundle.save_parts(parts, folder, base)
 
 
 def secure_export_tables(
@@ -182,8 +181,7 @@ def secure_export_tables(
     if ddl:
         text = text.unionByName(spark.createDataFrame([(d,) for d in ddl], "value string"))
     parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql"), key)
-    bundle.clear_parts(spark, folder, base)
-    return stage(bundle.write_part_files(parts, folder), "export-log")
+    return bundle.save_parts(parts, folder, base)
 
 
 def open_parts(spark: SparkSession, folder: str, key: str, base: str | None = None) -> DataFrame:

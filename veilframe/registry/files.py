@@ -117,6 +117,30 @@ def mirrored_files(spark, sf):
     return spark.read.json(target).groupBy("rel").agg(F.count(F.lit(1)).alias("n_rows"), F.min("c_name").alias("first"))
 
 
+@query(
+    "mirrored_tree",
+    "SELECT c_mktsegment || '/in 1/customers.csv' AS path, count(*) AS n_rows, min(c_name) AS first, CAST(sum(c_custkey) AS BIGINT) AS keys FROM customer GROUP BY c_mktsegment",
+)
+def mirrored_tree(spark, sf):
+    """The tree of the sources under its own paths; of files written by several tasks the parts are counted together."""
+    target = fresh_path(spark, "tree")
+    rows = table(spark, sf, "customer").select("c_custkey", "c_name", F.concat("c_mktsegment", F.lit("/in 1/customers.csv")).alias("rel"))
+    writers.save_mirrored(rows, target)
+    read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(target, header=True, schema="c_custkey long, c_name string")
+    path = F.regexp_replace(F.regexp_replace(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))), f"^.*{target.rsplit('/', 1)[-1]}/", ""), r"-part\d+\.csv$", ".csv")
+    return read.select(path.alias("path"), "*").groupBy("path").agg(F.count("*").alias("n_rows"), F.min("c_name").alias("first"), F.sum("c_custkey").alias("keys"))
+
+
+@query("record_files", "SELECT 'suppliers_' || s_suppkey || '.json' AS name, s_name, s_nationkey FROM supplier")
+def record_files(spark, sf):
+    """One JSON file per supplier under its own name, written twice: the second commit replaces the first."""
+    target, df = fresh_path(spark, "records"), table(spark, sf, "supplier").select("s_suppkey", "s_name", "s_nationkey")
+    for rows in (df.where("s_suppkey % 2 = 0"), df):
+        writers.save_one_per_record(rows, target, writers.record_name("suppliers_12.json", F.col("s_suppkey"), 2))
+    read = spark.read.schema("s_name string, s_nationkey " + dict(df.dtypes)["s_nationkey"]).json(target)
+    return read.select(F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)$", 1).alias("name"), "*")
+
+
 @query("record_names", "SELECT o_orderkey, 'orders_' || CAST(o_orderkey + 1 AS VARCHAR) || '.json' AS name FROM orders")
 def record_names(spark, sf):
     name = writers.record_name("orders_12.json", F.col("o_orderkey") + 1, 2)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.plans.compiler import max_length_of
+from veilframe.sources.committed import NAME, plain_json, save_named
 
 # SQL type name -> type in the created table; names not listed pass through.
 TYPE_MAP = {
@@ -120,6 +121,18 @@ def write_mirrored(df: DataFrame, path: str, form: str = "csv", rel: str = "rel"
     (writer.option("header", "true").option("escape", '"') if form == "csv" else writer).format(form).save(path)
 
 
+def save_mirrored(df: DataFrame, folder: str, form: str = "csv", rel: str = "rel", base: str = "mirror") -> list[str]:
+    """The source tree again: rows go to a file at the path in column `rel` below `folder`, all put in place by one commit.
+
+    A file that several tasks have read is written in several parts, `<stem>-part1.csv` and so on.
+    """
+
+    def write(writer, path):
+        (writer.option("header", "true").option("escape", '"') if form == "csv" else writer).format(form).save(path)
+
+    return save_named(df.withColumnRenamed(rel, NAME), folder, base, write)
+
+
 def record_name(base: str, seq: Column, count: int) -> Column:
     """`<base>_<seq>.json`, or `<base>.json` for a single record; a trailing `_12` or `-12` of the base is dropped."""
     stem = re.sub(r"(?i)\.json$", "", base)
@@ -132,6 +145,12 @@ def write_one_per_record(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("maxRecordsPerFile", 1).option("ignoreNullFields", "false").json(path)
 
 
+def save_one_per_record(df: DataFrame, folder: str, name: Column, base: str = "records") -> list[str]:
+    """One JSON file per record, called by `name` (see `record_name`), all put in place by one commit. Names must differ."""
+    rows = df.select(plain_json(df).alias("value"), name.alias(NAME))
+    return save_named(rows, folder, base, lambda writer, path: writer.text(path))
+
+
 def split_rejects(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """Text rows to typed rows: (good, rejected). A row is rejected when any present value does not fit its type.
 
