@@ -214,12 +214,18 @@ def secure_import(
 
 def secure_import_tables(
     spark: SparkSession, folder: str, key: str, schemas: Mapping[str, T.StructType], base: str | None = None,
-) -> dict[str, tuple[DataFrame, DataFrame]]:
-    """Restore SQL text parts: per table the typed rows and the rejected ones. `base` as in `secure_import`."""
+) -> sqldump.DumpTables:
+    """Restore SQL text parts: per table the typed rows and the rejected ones. `base` as in `secure_import`.
+
+    `rejects` of the result holds the statements that gave no rows, such as the key constraints at the end of a backup.
+    """
     parts = bundle.decrypt_parts(open_parts(spark, folder, key, base), key)
     lines = parts.select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("value"))
+    lines = lines.where(~F.col("value").startswith(bundle.MAGIC))
     statements = sqldump.parse_inserts(lines)
-    return {n: writers.split_rejects(sqldump.table_of(statements, n, s), s) for n, s in schemas.items()}
+    out = sqldump.DumpTables({n: writers.split_rejects(sqldump.table_of(statements, n, s), s) for n, s in schemas.items()})
+    out.rejects = sqldump.unread_statements(lines)
+    return out
 
 
 # ---------------------------------------------------------------- classification and generation

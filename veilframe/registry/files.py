@@ -375,6 +375,27 @@ def sql_dump_foreign_forms(spark, sf):
     return sqldump.scan_sql_dump(spark, path, {"supplier": schema})["supplier"]
 
 
+@query(
+    "sql_dump_awkward_literals",
+    r"""SELECT c_custkey, 'x;' || chr(10) || c_name || ''';' AS note, '["a' || c_custkey || '", "b,)''"]' AS tags,
+    CAST('2020-01-' || lpad(CAST(c_custkey % 28 + 1 AS VARCHAR), 2, '0') AS DATE) AS day, c_mktsegment || ';--' AS segment, CAST(1 AS BIGINT) AS n_rejects FROM customer""",
+)
+def sql_dump_awkward_literals(spark, sf):
+    """A dump with statement ends inside literals, comments and dollar quotes, arrays and casts; one statement is no INSERT."""
+    key, day = F.col("c_custkey").cast("string"), F.lpad((F.col("c_custkey") % 28 + 1).cast("string"), 2, "0")
+    text = F.concat(
+        F.lit("/* it's; */ INSERT INTO public.customer (c_custkey, note, tags, day, segment) VALUES\r\n("), key, F.lit(", 'x;\n"), "c_name",
+        F.lit("'';', ARRAY['a"), key, F.lit("', E'b,)\\''::text], '2020-01-"), day, F.lit("'::date, $q$"), "c_mktsegment", F.lit(";--$q$);"),
+    )
+    path = fresh_path(spark, "dump")
+    other = spark.createDataFrame([("ALTER TABLE customer ADD PRIMARY KEY (c_custkey);",)], "value string")
+    other.unionAll(table(spark, sf, "customer").select(text.alias("value"))).write.text(path)
+    schema = T.StructType.fromDDL("c_custkey bigint, note string, tags string, day date, segment string")
+    found = sqldump.scan_sql_dump(spark, path, {"customer": schema})
+    good, _ = writers.split_rejects(found["customer"], schema)
+    return good.withColumn("n_rejects", F.lit(found.rejects.count()).cast("long"))
+
+
 @query(
     "secure_csv_roundtrip",
     "SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, left(c_name, 2) || repeat('*', length(c_name) - 4) || right(c_name, 2) AS c_name FROM customer",
