@@ -4,11 +4,15 @@ import hashlib
 import random
 import zlib
 
+import compare
 import numpy as np
 import pytest
 
 from veilframe.llm import conversation_trie as ct
 from veilframe.llm.double_array import pack
+from veilframe.llm.queries import QUERIES
+
+SMALL = "/root/testdata/sf0.001"
 
 SCHEMA = "conv_id long, turn int, role string, text string"
 
@@ -117,3 +121,7 @@ def test_double_array(seed):
     for p, t in state.items():
         for c in range(1, 45):
             assert trie.step(np.array([t]), np.array([c]))[0] == state.get((*p, c), -1)
+
+
+def test_query_against_sql(spark):
+    assert compare.compare(spark, compare.connect(SMALL), QUERIES["op11_conversation_trie"], SMALL) is None

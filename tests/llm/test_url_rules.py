@@ -2,10 +2,14 @@
 
 import random
 
+import compare
 from pyspark.sql import functions as F
 
+from veilframe.llm.queries import QUERIES
 from veilframe.llm.url_rules import judge_urls
 
+SMALL = "/root/testdata/sf0.001"
+
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
@@ -82,3 +86,7 @@ def test_empty(spark):
     pages = spark.createDataFrame([(1, "http://a.com/x")], "page_id long, url string")
     assert [tuple(r) for r in judge_urls(pages, none).collect()] == [(1, "a.com", "/x", None, "allow")]
     assert judge_urls(pages.limit(0), spark.createDataFrame(RULES, none.schema)).collect() == []
+
+
+def test_query_against_sql(spark):
+    assert compare.compare(spark, compare.connect(SMALL), QUERIES["op12_url_intervals"], SMALL) is None
