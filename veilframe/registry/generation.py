@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.operators import generate
+from veilframe.operators import generate, values
 from veilframe.operators.catalog import row_counts
 from veilframe.operators.generate import GenColumn, TableSpec
 from veilframe.plans.rules import ForeignKey
@@ -23,17 +23,16 @@ _SEQ = "(SELECT c_custkey + 1 AS seq FROM customer)"
 
 @query(
     "gen_keys",
-    "SELECT seq, seq AS a, CAST(seq % 1000000 + 1 AS INTEGER) AS b, CAST(seq % 32000 + 1 AS SMALLINT) AS c, 'CODE_' || seq AS d, "
-    "'user' || seq || '@example.com' AS e, lpad(to_base(seq - 1, 36), 5, '0') AS f, DATE '2025-01-01' - CAST(seq % 7300 AS INTEGER) AS g, "
+    "SELECT seq, seq AS a, CAST(seq + 1 AS INTEGER) AS b, CAST(seq + 1 AS INTEGER) AS c, 'CODE_' || seq AS d, "
+    "'user' || seq || '@example.com' AS e, lpad(to_base(seq - 1, 36), 5, '0') AS f, DATE '2025-01-01' - CAST(seq AS INTEGER) AS g, "
     f"TIMESTAMP '2025-01-01' - to_seconds(seq * 300) AS h, CAST(seq AS DECIMAL(12,2)) AS i, {s.hash_uuid('seq', 'j')} AS j FROM {_SEQ}",
 )
 def gen_keys(spark, sf):
-    """Every column holds as many distinct keys as there are rows. Its SQL says so for up to 7,299 rows; then its dates repeat."""
+    """Every column holds as many distinct keys as there are rows, in types that do not depend on how many there are."""
     rows = _seq(spark, sf)
     n = rows.count()
-    short = "smallint" if n <= generate.SMALL_KEYS else "int"
     kinds = {
-        "a": GenColumn("a", "bigint"), "b": GenColumn("b", "int"), "c": GenColumn("c", short), "d": GenColumn("code", "varchar", 50),
+        "a": GenColumn("a", "bigint"), "b": GenColumn("b", "int"), "c": GenColumn("c", "integer"), "d": GenColumn("code", "varchar", 50),
         "e": GenColumn("email", "varchar", 50), "f": GenColumn("f", "varchar", 5), "g": GenColumn("g", "date"), "h": GenColumn("h", "timestamp"),
         "i": GenColumn("i", "decimal", precision=12, scale=2), "j": GenColumn("j", "uuid"),
     }
@@ -43,14 +42,14 @@ def gen_keys(spark, sf):
 @query(
     "gen_codes",
     "SELECT seq, chr(CAST(65 + (seq - 1) % 26 AS INTEGER)) AS one, chr(CAST(65 + (seq - 1) % 26 AS INTEGER)) || to_base((seq - 1) // 26 % 36, 36) AS two, "
-    f"lpad(to_base((seq - 1) % 46656, 36), 3, '0') AS three, {s.words(generate.COUNTRY_CODES)}[(seq - 1) % 20 + 1] AS country, "
-    f"{s.words(generate.STATE_CODES)}[(seq - 1) % 20 + 1] AS state FROM {_SEQ}",
+    f"lpad(to_base((seq - 1) % 46656, 36), 3, '0') AS three, {s.words(values.COUNTRY_CODES)}[(seq - 1) % 20 + 1] AS country, "
+    f"{s.words(values.STATE_CODES)}[(seq - 1) % 20 + 1] AS state FROM {_SEQ}",
 )
 def gen_codes(spark, sf):
     q = F.col("seq")
     return _seq(spark, sf).select(
-        "seq", generate.short_code(q, 1).alias("one"), generate.short_code(q, 2).alias("two"), generate.short_code(q, 3).alias("three"),
-        generate.cyclic_code(q, generate.COUNTRY_CODES).alias("country"), generate.cyclic_code(q, generate.STATE_CODES).alias("state"),
+        "seq", values.short_code(q, 1).alias("one"), values.short_code(q, 2).alias("two"), values.short_code(q, 3).alias("three"),
+        values.cyclic_code(q, values.COUNTRY_CODES).alias("country"), values.cyclic_code(q, values.STATE_CODES).alias("state"),
     )
 
 
@@ -127,10 +126,10 @@ _H = {n: s.khash("seq", f"gen.{n}") for n in ("status", "pay_date", "seen_at", "
             s.provider("street", "seq", "gen.street") + " AS street",
             s.provider("city", "seq", "gen.city") + " AS city",
             s.provider("zip", "seq", "gen.zip") + " AS zip",
-            s.words(generate.COUNTRY_CODES) + "[(seq - 1) % 20 + 1] AS country",
+            s.words(values.COUNTRY_CODES) + "[(seq - 1) % 20 + 1] AS country",
             s.provider("state", "seq", "gen.state") + " AS state",
             s.provider("company", "seq", "gen.department") + " AS department",
-            s.pick(generate.STATUSES, _H["status"]) + " AS status",
+            s.pick(values.STATUSES, _H["status"]) + " AS status",
             s.provider("ssn", "seq", "gen.ssn") + " AS ssn",
         ]
     ) + f" FROM {_SEQ}",
@@ -147,7 +146,7 @@ def gen_values_by_name(spark, sf):
     "gen_values_by_type",
     f"SELECT seq, CAST(CAST(({_H['price']} % 98900 + 1000) AS DECIMAL(20,0)) / 100 AS DECIMAL(5,2)) AS price, "
     f"DATE '2025-01-01' - CAST({_H['pay_date']} % 730 AS INTEGER) AS pay_date, TIMESTAMP '2025-01-01' - to_hours(CAST({_H['seen_at']} % 8760 AS INTEGER)) AS seen_at, "
-    f"{_H['done']} % 2 = 1 AS done, CAST(seq % 35 + 1990 AS INTEGER) AS release_year, {s.pick(generate.RATINGS, _H['rating'])} AS rating, "
+    f"{_H['done']} % 2 = 1 AS done, CAST(seq % 35 + 1990 AS INTEGER) AS release_year, {s.pick(values.RATINGS, _H['rating'])} AS rating, "
     "'{\"status\":\"ok\",\"seq\":' || seq || '}' AS extra, ['item1', 'item2'] AS tags, CAST(seq % 32000 + 1 AS SMALLINT) AS small, "
     f"{s.hash_uuid('seq', 'gen.token')} AS token, CAST(seq % 50000 + 1 AS INTEGER) AS shop_id, lpad(to_base((seq - 1) % 1679616, 36), 4, '0') AS grade FROM {_SEQ}",
 )
@@ -168,8 +167,8 @@ _SALARY = f"(({_J['salary']} % 1500000) + 500000)::DOUBLE / 100.0::DOUBLE"
 @query(
     "gen_csv_rows",
     f"SELECT CAST(seq AS VARCHAR) AS id, {s.provider('full_name', 'seq', 'json.fullname')} AS \"fullName\", {s.provider('email', 'seq', 'json.email')} AS email, "
-    f"{s.provider('phone', 'seq', 'json.phone')} AS phone, {s.pick(generate.DEPARTMENTS, _J['department'])} AS department, "
-    f"{s.pick(generate.JSON_STATUSES, _J['status'])} AS status, CAST({_SALARY} AS VARCHAR) AS salary, "
+    f"{s.provider('phone', 'seq', 'json.phone')} AS phone, {s.pick(values.DEPARTMENTS, _J['department'])} AS department, "
+    f"{s.pick(values.JSON_STATUSES, _J['status'])} AS status, CAST({_SALARY} AS VARCHAR) AS salary, "
     f"strftime(DATE '2025-01-01' - CAST({_J['createddate']} % 365 AS INTEGER), '%Y-%m-%d') AS \"createdDate\" FROM {_SEQ}",
 )
 def gen_csv_rows(spark, sf):
@@ -199,7 +198,7 @@ _D = {n: s.khash("seq", f"doc.{n}") for n in ("amount", "createdat", "age")}
 @query(
     "gen_documents",
     f"SELECT substr(sha256('{s.subkey(KEY, 'doc')}' || seq), 1, 24) AS _id, {s.provider('full_name', 'seq', 'doc.name')} AS name, "
-    f"{s.words(generate.DOC_STATUSES)}[(seq - 1) % 4 + 1] AS status, (({_D['amount']} % 500000) + 10000)::DOUBLE / 100.0::DOUBLE AS amount, "
+    f"{s.words(values.DOC_STATUSES)}[(seq - 1) % 4 + 1] AS status, (({_D['amount']} % 500000) + 10000)::DOUBLE / 100.0::DOUBLE AS amount, "
     f"TIMESTAMP '2025-01-01' - to_days(CAST({_D['createdat']} % 365 AS INTEGER)) AS \"createdAt\", lpad(to_base((seq - 1) % 46656, 36), 3, '0') AS code, "
     f"left({s.provider('word', 'seq', 'doc.remark')}, 10) AS remark, CAST({_D['age']} % 50 + 20 AS INTEGER) AS age FROM {_SEQ}",
 )
