@@ -179,3 +179,36 @@ def test_decimals_and_texts_that_do_not_fit_are_errors(spark):
     assert [r.v and len(r.v) for r in texts.select(fpe.fpe(F.col("v"), "varchar(5)", KEY).alias("v")).collect()] == [5, None, 3]
     with pytest.raises(Exception, match="longer than its column"):
         texts.select(fpe.fpe(F.col("v"), "varchar(4)", KEY)).collect()
+
+
+def keys_after(spark, values, dtype, domain):
+    df = spark.createDataFrame([(v,) for v in values], f"k {dtype}")
+    out = mask_table(df, "t", RuleSet(key=KEY, constraint=("t.k",)), domains={"t.k": domain})
+    plain = df.select(fpe.fpe_key(F.col("k"), {"smallint": "short", "int": "int", "bigint": "long"}[dtype], domain, KEY).alias("k"))
+    got = [r.k for r in out.collect()]
+    assert got == [r.k for r in plain.collect()]
+    return got
+
+
+def test_keys_are_one_to_one_over_their_whole_type(spark):
+    every = list(range(-32768, 32768))
+    assert sorted(keys_after(spark, every, "smallint", "short")) == every
+    assert sorted(keys_after(spark, every, "smallint", "byte")) == every
+    edges = [s * (2**p + d) for p in (7, 15, 31, 62) for d in range(-50, 50) for s in (-1, 1)] + [2**63 - 1, -(2**63), 2**63 - 2, 0]
+    for domain in ("byte", "int", "long"):
+        assert len(set(keys_after(spark, edges, "bigint", domain))) == len(set(edges))
+
+
+def test_keys_of_different_width_still_join(spark):
+    shared = [-(2**31), -70_000, -129, -128, -5, 0, 1, 127, 128, 32_767, 32_768, 99_999, 2**31 - 1]
+    for domain in ("byte", "short", "int"):
+        assert keys_after(spark, shared, "int", domain) == keys_after(spark, shared, "bigint", domain)
+
+
+def test_decimal_keys_are_one_to_one_over_signs_and_zero(spark):
+    values = [Decimal(i) / 100 for i in range(-30_000, 30_001)]
+    df = spark.createDataFrame([(v,) for v in values], "k decimal(12,2)")
+    out = mask_table(df, "t", RuleSet(key=KEY, constraint=("t.k",)), domains={"t.k": "decimal"})
+    assert out.distinct().count() == len(values)
+    joined = {r.k for r in out.collect()}
+    assert Decimal(0) in joined and min(joined) < 0 < max(joined)

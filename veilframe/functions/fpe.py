@@ -190,12 +190,122 @@ class BoundPermuter:
         return walk_table(out, size, constants) + F.lit(lo)
 
 
+    def spans(self, c: Column, spans: tuple[tuple[int, int], ...], key: str, label: str) -> Column:
+        """`permute_spans` with one bound column per half round."""
+        name, bind = self.bindings.name(), self.bindings.at
+        constants = round_constants(key, label)
+        for part, value in span_parts(c, spans).items():
+            bind(0, f"{name}{part}", value)
+        left, right = f"({name}i div {name}b)", f"({name}i % {name}b)"
+        for i, c6 in enumerate(constants):
+            at, source, below = (left, right, "a") if i % 2 == 0 else (right, left, "b")
+            new = f"{name}h{i}"
+            bind(1 + i, new, F.expr(f"({at} + {_mix_sql(source, c6)}) % {name}{below}"))
+            left, right = (new, right) if i % 2 == 0 else (left, new)
+        out = bind(1 + HALF_ROUNDS, f"{name}o", F.expr(f"{left} * {name}b + {right}"))
+        return place_in_span(c, spans, out, F.col(f"{name}lo"), constants)
+
+
 def _mix_sql(x: str, c: tuple[int, ...]) -> str:
     x = f"(({x} * {c[0]}L + {c[3]}L) % {PRIMES[0]}L)"
     x = f"(({x} * {c[1]}L + {c[4]}L) % {PRIMES[1]}L)"
     return f"(({x} * {c[2]}L + {c[5]}L) % {PRIMES[2]}L)"
 
 
+# ---------------------------------------------------------------- keys of a whole type
+
+_BITS = {"byte": 8, "short": 16, "int": 32, "long": 64}
+
+
+def key_spans(own: str, domain: str) -> tuple[tuple[int, int], ...]:
+    """Ranges that each map onto themselves: the domain, its negatives, and shells up to the column's own type.
+
+    A column of a wider type has the spans of a narrower one and more, so both encrypt what both can hold alike. Only zero,
+    and the largest long where the domain is long, lie in no span.
+    """
+    widths = list(_BITS)
+    top, low = DOMAINS[domain][1], -(2 ** (_BITS[domain] - 1))
+    out = [(1, top), (low, -1)]
+    for wider in widths[widths.index(domain) + 1 : widths.index(own) + 1]:
+        end = 2 ** (_BITS[wider] - 1)
+        out += [(top + 1, end - 1), (-end, low - 1)]
+        top, low = end - 1, -end
+    return tuple(out)
+
+
+def split_span(size: int) -> tuple[int, int]:
+    """`split_domain`, for sizes up to 2^63; the large spans of `key_spans` are multiples of 2^31."""
+    return (2**31, size // 2**31) if size >= 2**62 and size % 2**31 == 0 else split_domain(size)
+
+
+def span_parts(c: Column, spans: tuple[tuple[int, int], ...]) -> dict[str, Column]:
+    """Of the span a value lies in: its place there (`i`), the factors of its size (`a`, `b`) and its start (`lo`)."""
+    value = c.cast("long")
+
+    def choose(of) -> Column:
+        out = None
+        for lo, hi in spans:
+            inside, this = value.between(lo, hi), of(lo, hi)
+            out = F.when(inside, this) if out is None else out.when(inside, this)
+        return out
+
+    def whole(n: int) -> Column:
+        return F.lit(n).cast("long")
+
+    return {
+        "i": choose(lambda lo, hi: value - whole(lo)), "lo": choose(lambda lo, hi: whole(lo)),
+        "a": choose(lambda lo, hi: whole(split_span(hi - lo + 1)[0])), "b": choose(lambda lo, hi: whole(split_span(hi - lo + 1)[1])),
+    }
+
+
+def place_in_span(c: Column, spans: tuple[tuple[int, int], ...], out: Column, start: Column, constants) -> Column:
+    """The network's result as a value of the span again; a value of no span stays."""
+    at = None
+    for lo, hi in spans:
+        size = hi - lo + 1
+        a, b = split_span(size)
+        if a * b > size:
+            walked = walk_table(out, size, constants)
+            at = F.when(start == lo, walked) if at is None else at.when(start == lo, walked)
+    at = out if at is None else at.otherwise(out)
+    return F.when(start.isNull(), c.cast("long")).otherwise(at + start)
+
+
+def permute_spans(c: Column, spans: tuple[tuple[int, int], ...], key: str, label: str) -> Column:
+    """A keyed permutation within each span as one expression, for array elements and plain expressions."""
+    constants = round_constants(key, label)
+
+    def step(i: int, s: Column) -> Column:
+        left, right, a, b = (s.getField(n) for n in ("l", "r", "a", "b"))
+        if i == HALF_ROUNDS:
+            return let(left * b + right, lambda out: place_in_span(c, spans, out, s.getField("lo"), constants))
+        c6 = [F.lit(x).cast("long") for x in constants[i]]
+        if i % 2 == 0:
+            left = (left + mix(right, c6)) % a
+        else:
+            right = (right + mix(left, c6)) % b
+        state = F.struct(left.alias("l"), right.alias("r"), a.alias("a"), b.alias("b"), s.getField("lo").alias("lo"))
+        return let(state, lambda t: step(i + 1, t))
+
+    def halves(s: Column) -> Column:
+        i, b = s.getField("i"), s.getField("b")
+        parts = [F.call_function("div", i, b).alias("l"), (i % b).alias("r"), *[s.getField(n).alias(n) for n in ("a", "b", "lo")]]
+        return let(F.struct(*parts), lambda t: step(0, t))
+
+    return let(F.struct(*[v.alias(n) for n, v in span_parts(c, spans).items()]), halves)
+
+
+def fpe_key(c: Column, own: str, domain: str, key: str, permuter=permute_range) -> Column:
+    """Integers of the type `own`, one to one over the whole type.
+
+    Values of `domain` are encrypted as by `fpe_int`; negatives and values beyond the domain within spans of their own, so
+    they never meet a value of the domain. Zero stays zero. Columns that join must be given the same domain.
+    """
+    spans, label = key_spans(own, domain), f"int.{domain}"
+    permuted = permuter.spans if isinstance(permuter, BoundPermuter) else permute_spans
+    return permuted(c, spans, require_key(key), label)
+
+
 def fpe_int(c: Column, domain: str, key: str, permuter=permute_range) -> Column:
     """Integer columns. Columns that join must be given the same domain."""
     lo, hi = DOMAINS[domain]
@@ -214,13 +324,14 @@ def fpe_fraction(c: Column, dtype: T.DataType, key: str, permuter=permute_range)
     return (permuter(whole, 1, top, key, "float" if narrow else "double") + fraction).cast(dtype)
 
 
-def fpe_decimal(c: Column, precision: int, scale: int, key: str, permuter=permute_range) -> Column:
+def fpe_decimal(c: Column, precision: int, scale: int, key: str, permuter=permute_range, exact: bool = False) -> Column:
     """Decimals keep precision and scale: whole part permuted in [1, 10^9-1] or, above, in [10^9, 10^(p-s)-1], fraction
     shifted by a keyed hash.
 
     The shift depends on the whole part alone, so the pair (whole, fraction) maps one to one for whole parts from one
-    on; the sign and a whole part of zero are folded into the positive range. A whole part of more than 18 digits and a
-    scale of more than 17 are errors.
+    on; the sign and a whole part of zero are folded into the positive range, unless `exact` asks for a mapping that is one
+    to one over all values: then the sign stays, as do zero and a whole part of zero, whose fraction moves among the
+    fractions above zero. A whole part of more than 18 digits and a scale of more than 17 are errors.
     """
     key = require_key(key)
     if scale > 17:
@@ -235,17 +346,26 @@ def fpe_decimal(c: Column, precision: int, scale: int, key: str, permuter=permut
         whole = F.when(floor >= F.lit(str(10**far)).cast("decimal(38,0)"), error).otherwise(floor.cast("long"))
     else:
         whole = floor.cast("long")
+    small = whole == 0
     whole = F.when(c.isNotNull(), F.greatest(whole, F.lit(1).cast("long")))
     masked = permuter(F.least(whole, F.lit(top).cast("long")) if far > near else whole, 1, top, key, f"decimal.{near}")
     if far > near:
         large = permuter(F.when(whole > top, whole), top + 1, 10**far - 1, key, f"decimal.{far}.large")
         masked = F.when(whole > top, large).otherwise(masked)
+    if exact:
+        masked = F.when(small, F.lit(0).cast("long")).otherwise(masked)
+    dtype = T.DecimalType(precision, scale)
     if scale == 0:
-        return masked.cast(T.DecimalType(precision, 0))
+        return (F.when(c < 0, -masked).otherwise(masked) if exact else masked).cast(dtype)
     unit = 10**scale
     part = ((size % F.lit(1).cast("decimal(1,0)")) * F.lit(unit).cast(T.DecimalType(scale + 1, 0))).cast("long")
-    shifted = (part + keyed_hash(whole, key, "decimal.fraction") % unit) % unit
-    return F.concat(masked.cast("string"), F.lit("."), F.lpad(shifted.cast("string"), scale, "0")).cast(T.DecimalType(precision, scale))
+    shift = keyed_hash(whole, key, "decimal.fraction")
+    shifted = (part + shift % unit) % unit
+    if exact:
+        above_zero = (part - 1 + shift % (unit - 1)) % (unit - 1) + 1
+        shifted = F.when(~small, shifted).otherwise(F.when(part > 0, above_zero).otherwise(part))
+    text = F.concat(masked.cast("string"), F.lit("."), F.lpad(shifted.cast("string"), scale, "0"))
+    return (F.concat(F.when(c < 0, "-").otherwise(""), text) if exact else text).cast(dtype)
 
 
 def fpe_uuid(c: Column, key: str) -> Column:
@@ -566,14 +686,18 @@ def fpe_column(
     max_length: int | None = None,
     permuter=permute_range,
 ) -> Column:
-    """Encrypt by Spark type; `domain` overrides the integer domain for columns that join to narrower ones."""
+    """Encrypt by Spark type; `domain` overrides the integer domain for columns that join to narrower ones.
+
+    A column with a domain (`decimal` for decimals) is a declared key: it is encrypted one to one over all values of its type.
+    """
     if logical == "uuid":
         return fpe_uuid(c, key)
     if isinstance(dtype, T.IntegralType):
         own = {T.ByteType: "byte", T.ShortType: "short", T.IntegerType: "int", T.LongType: "long"}[type(dtype)]
-        return _null_with(c, fpe_int(c, domain or own, key, permuter).cast(dtype), dtype)
+        number = fpe_key(c, own, domain, key, permuter) if domain else fpe_int(c, own, key, permuter)
+        return _null_with(c, number.cast(dtype), dtype)
     if isinstance(dtype, T.DecimalType):
-        return _null_with(c, fpe_decimal(c, dtype.precision, dtype.scale, key, permuter), dtype)
+        return _null_with(c, fpe_decimal(c, dtype.precision, dtype.scale, key, permuter, domain is not None), dtype)
     if isinstance(dtype, T.FractionalType):
         return _null_with(c, fpe_fraction(c, dtype, key, permuter), dtype)
     if isinstance(dtype, T.BooleanType):

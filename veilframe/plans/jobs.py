@@ -60,7 +60,7 @@ def _run_all(ledger: Ledger, names: list[str], step: Callable[[str], tuple[Calla
 
 
 def key_plan(tables: Mapping[str, DataFrame], rules: RuleSet, keys: list[ForeignKey]) -> tuple[RuleSet, dict[str, str]]:
-    """Rules spread along the keys, and the integer domain each key column is encrypted in."""
+    """Rules spread along the keys, and the domain each key column is encrypted in, one to one over its whole type."""
     components = key_components(keys)
     types = {
         f"{simple_name(t)}.{f.name.lower()}": f.dataType.simpleString()

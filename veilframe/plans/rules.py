@@ -196,11 +196,14 @@ def unify_key_types(
 ) -> dict[str, str]:
     """`table.column` -> the narrowest integer domain of its component, so that joined keys mask alike.
 
-    `types` maps `table.column` to a type name. Components with a non-integer member are left alone.
+    `types` maps `table.column` to a type name. A component of one decimal type gets `decimal`, others with a non-integer
+    member are left alone. Columns with a domain are encrypted one to one over their whole type (`fpe.fpe_key`).
     """
     out = {}
     for member, members in components.items():
         domains = [_DOMAIN_OF.get(types.get(m, "").lower()) for m in members if m in types]
         if domains and all(domains):
             out[member] = min(domains, key=_WIDTH.index)
+        elif types.get(member, "").startswith("decimal") and len({types[m] for m in members if m in types}) == 1:
+            out[member] = "decimal"
     return out
