@@ -6,6 +6,8 @@ several tables overlap. Each table is recorded in the run ledger; one table fail
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
@@ -16,6 +18,7 @@ from pyspark.sql import types as T
 
 from veilframe.operators import bundle, classify, generate, integrity, sqldump
 from veilframe.operators.catalog import describe_columns
+from veilframe.operators.keystore import KeyStore
 from veilframe.operators.ledger import Ledger, observe_counts
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.nested import mask_docs, mask_json
@@ -79,32 +82,89 @@ def migrate_tables(
     keys: list[ForeignKey] = (),
     unique: Mapping[str, list[list[str]]] | None = None,
     form: str = "parquet",
+    not_null: Mapping[str, list[str]] | None = None,
+    store: KeyStore | None = None,
+    append: bool = False,
 ) -> JobResult:
-    """Mask and write every selected table, then check the keys on the written data."""
+    """Mask and write every selected table, then run the key checks on what was written.
+
+    Each check is a step of the ledger: `read_rows` holds the rows or keys that violate it, which lie below
+    `target/_violations`; a check that finds any is FAILED. With a `store` the keys of this load are compared with those
+    of earlier loads and then added, and with `append` the tables grow by it: no earlier row is read again.
+    """
     names = select_targets(tables, rules.targets)
     spread, domains = key_plan(tables, rules, list(keys))
 
+    def masked_of(name: str) -> DataFrame:
+        return mask_table(tables[name], name, spread, "table", domains)
+
     def step(name: str):
-        masked, seen = observe_counts(mask_table(tables[name], name, spread, "table", domains))
-        return lambda: masked.write.mode("overwrite").format(form).save(f"{target}/{simple_name(name)}"), seen
+        masked, seen = observe_counts(masked_of(name))
+        mode = "append" if append else "overwrite"
+        return lambda: masked.write.mode(mode).format(form).save(f"{target}/{simple_name(name)}"), seen
 
     result = _run_all(ledger, names, step)
     written = {n: spark.read.format(form).load(f"{target}/{simple_name(n)}") for n in result.completed}
-    by_simple = {simple_name(n): df for n, df in written.items()}
-    for name, key_lists in (unique or {}).items():
-        for columns in key_lists:
-            if name in written:
-                result.checks[f"unique {name}({', '.join(columns)})"] = integrity.check_unique(written[name], columns)
-    for fk in keys:
-        child, parent = by_simple.get(simple_name(fk.child)), by_simple.get(simple_name(fk.parent))
-        if child is not None and parent is not None:
-            result.checks[f"foreign key {fk.child}({', '.join(fk.child_columns)})"] = integrity.check_foreign_key(
-                child, list(fk.child_columns), parent, list(fk.parent_columns)
-            )
-    result.checks["row counts"] = integrity.reconcile({n: tables[n] for n in written}, written)
+    load = {n: masked_of(n) for n in written} if store and append else written
+    checks = constraint_checks(load, list(keys), unique or {}, not_null or {}, store)
+    for label, check in checks.items():
+        result.checks[label] = _record_check(spark, ledger, label, check, f"{target}/_violations/{ledger.run_id}")
+    if not append:
+        result.checks["row counts"] = integrity.reconcile({n: tables[n] for n in written}, written)
     return result
 
 
+def constraint_checks(
+    tables: Mapping[str, DataFrame], keys: list[ForeignKey], unique: Mapping[str, list[list[str]]],
+    not_null: Mapping[str, list[str]], store: KeyStore | None = None,
+) -> dict[str, DataFrame]:
+    """Not-null, unique and foreign-key checks by label; with a store their keys are added to it first.
+
+    Keys are added before any check runs: a unique check leaves its own load out, a foreign key may point into it.
+    """
+    named = {simple_name(n): df for n, df in tables.items()}
+
+    def given(by_table: Mapping):
+        return [(simple_name(n), v) for n, v in by_table.items() if simple_name(n) in named]
+
+    checks = {f"not null {n}({', '.join(c)})": integrity.check_not_null(named[n], c) for n, c in given(not_null)}
+    kept: set[tuple[str, tuple[str, ...]]] = {(n, tuple(c)) for n, lists in given(unique) for c in lists}
+    kept |= {(simple_name(k.parent), tuple(k.parent_columns)) for k in keys if simple_name(k.parent) in named}
+    if store:
+        for name, columns in sorted(kept):
+            store.add(name, list(columns), named[name])
+    for name, lists in given(unique):
+        for columns in lists:
+            found = store.repeated(name, columns, named[name]) if store else integrity.check_unique(named[name], columns)
+            checks[f"unique {name}({', '.join(columns)})"] = found
+    for k in keys:
+        child, parent = simple_name(k.child), simple_name(k.parent)
+        if child not in named or not (store or parent in named):
+            continue
+        mine, theirs = list(k.child_columns), list(k.parent_columns)
+        checks[f"foreign key {child}({', '.join(mine)})"] = (
+            store.orphans(named[child], mine, parent, theirs) if store
+            else integrity.check_foreign_key(named[child], mine, named[parent], theirs)
+        )
+    return checks
+
+
+def _record_check(spark: SparkSession, ledger: Ledger, label: str, check: DataFrame, folder: str) -> DataFrame:
+    """Run one check, write the violating keys, and enter their number in the ledger; returns the written keys."""
+    path = f"{folder}/" + re.sub(r"[^A-Za-z0-9_.-]+", "_", label).strip("_")
+    started = dt.datetime.now(dt.timezone.utc)
+    try:
+        check.write.mode("overwrite").parquet(path)
+        violations = spark.read.schema(check.schema).parquet(path)
+        found = violations.count()  # from the footers of the files
+    except Exception as e:  # noqa: BLE001 - the ledger is where job errors go
+        ledger.append(f"check {label}", "FAILED", started, error=str(e))
+        return check
+    error = f"{found} violations, see {path}" if found else None
+    ledger.append(f"check {label}", "FAILED" if found else "COMPLETED", started, found, 0, error)
+    return violations
+
+
 def migrate_docs(
     collections: Mapping[str, DataFrame], target: str, rules: RuleSet, ledger: Ledger, drop: bool = True
 ) -> JobResult:

@@ -7,6 +7,7 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from veilframe.operators import ledger
+from veilframe.operators.keystore import KeyStore
 from veilframe.plans import jobs
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.rules import ForeignKey, RuleSet
@@ -114,6 +115,31 @@ def migrated_tables(spark, sf):
     return orders.join(known, "o_custkey", "left").select("o_orderkey", "o_custkey", F.coalesce("known", F.lit(False)).alias("has_customer"))
 
 
+@query(
+    "migration_checks",
+    "SELECT step, CASE WHEN violations > 0 THEN 'FAILED' ELSE 'COMPLETED' END AS status, violations FROM ("
+    "SELECT 'check unique customer(c_custkey)' AS step, count(*) AS violations FROM customer WHERE c_custkey % 6 = 0 UNION ALL "
+    "SELECT 'check foreign key orders(o_custkey)', count(DISTINCT o_custkey) FROM orders WHERE o_custkey % 2 <> 0 AND o_custkey % 3 <> 0 UNION ALL "
+    "SELECT 'check not null orders(o_custkey)', count(*) FROM (SELECT count(*) AS n FROM orders WHERE o_custkey IS NULL) WHERE n > 0)",
+)
+def migration_checks(spark, sf):
+    """Even customers are loaded, then every third one with all orders: repeated keys and orphans of the second load."""
+    given = tables(spark, sf, ["customer", "orders"])
+    target, path, keys = fresh_path(spark, "job"), fresh_path(spark, "keys"), [ForeignKey("orders", ("o_custkey",), "customer", ("c_custkey",))]
+    loads = {
+        "first": {"customer": given["customer"].where("c_custkey % 2 = 0")},
+        "second": {"customer": given["customer"].where("c_custkey % 3 = 0"), "orders": given["orders"]},
+    }
+    for load, part in loads.items():
+        book = ledger.Ledger(spark, fresh_path(spark, "ledger"), "sql")
+        jobs.migrate_tables(
+            spark, part, target, RuleSet(key=KEY, constraint=("customer.c_custkey",)), book, keys, {"customer": [["c_custkey"]]},
+            not_null={"orders": ["o_custkey"]}, store=KeyStore(spark, path, load), append=True,
+        )
+    steps = ledger.latest_state(book.entries()).where(F.col("step").startswith("check "))
+    return steps.select("step", "status", F.col("read_rows").alias("violations"))
+
+
 @query(
     "migrated_csv",
     "SELECT CAST(s_suppkey AS VARCHAR) AS s_suppkey, left(s_name, 2) || repeat('*', length(s_name) - 4) || right(s_name, 2) AS s_name, '' AS s_nationkey, "
