@@ -83,6 +83,19 @@ def test_every_link_is_counted_and_returned(spark, monkeypatch, tile):
     assert len(found) == len(set(found)) and set(found) == want
 
 
+def test_rows_without_or_with_one_id_are_fetched_by_their_text(spark):
+    docs = [(None if i % 2 else 7, n, t) for n, (i, t) in enumerate(texts(11, 5, 10, (40, 120)))]
+    docs += [(None, 500 + n, t) for n in range(3) for _, _, t in docs[:15]] + [(None, 900 + n, None) for n in range(20)]
+    sets = {n: plain.shingles(t, 3) for _, n, t in docs}
+    df = spark.createDataFrame(docs, "doc_id long, row long, text string").repartition(5)
+    got = {r["row"]: r.n_links for r in near_copies(df, 80, 100, 3, carry=("row",), links=True).collect()}
+
+    def linked(a, b):
+        return bool(a and b) and 100 * len(a & b) >= 80 * len(a | b)
+
+    assert got == {n: sum(linked(s, o) for m, o in sets.items() if m != n) for n, s in sets.items()}
+
+
 def test_similar_sets_share_a_signature():
     bands, draw = Bands(80, 100), np.random.default_rng(1)
     for n in [1, 2, 3, 5, 6, 7, 8, 9, 13, 20, 40, 100, 700, 3000]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -20,7 +21,8 @@ PARTITION_SIGNATURES = 1_000_000
 FLUSH_SIGNATURES = 1_000_000
 TILE = 512
 TILE_BYTES = 8 << 20
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS, BROADCAST_ID_BYTES = 100_000, 10_000_000  # of a side that is broadcast; its rows have about 100 bytes and an id
+SALTS = 64  # parts in which the rows of one set look for their answer
 _U64 = np.uint64
 
 
@@ -307,20 +309,30 @@ def _candidates(members: DataFrame, bands: Bands, across: bool) -> DataFrame:
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame, schema: str, width: int) -> DataFrame:
-    """The rows of `wanted`, as `schema` names them, and their whole shingle sets, from the texts under `wanted_id`.
+    """The rows of `wanted`, as `schema` names them, and their whole shingle sets, from the texts under `wanted_id` and `wanted_hash`.
 
-    A class is in `wanted` under one id; where rows repeat that id, its set may come more than once.
+    A class is in `wanted` under one id and the hash of one text; where rows repeat both, a task returns a set only once, but
+    several tasks may.
     """
     wanted = stage(wanted, "wanted")
-    if wanted.count() <= BROADCAST_ROWS:  # about 10 MB; beyond, texts are shuffled by id
+    size = wanted.agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length(F.col("wanted_id").cast("string")), F.lit(0))).alias("ids")).first()
+    if size.n <= BROADCAST_ROWS and (size.ids or 0) <= BROADCAST_ID_BYTES:  # beyond, texts are shuffled by id and hash
         wanted = F.broadcast(wanted)
-    texts = docs.select("id", "text").join(wanted, F.col("id").eqNullSafe(F.col("wanted_id"))).drop("id", "wanted_id")
+    same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))
+    texts = docs.select("id", "text_hash", "text").join(wanted, same).drop("id", "text_hash", "wanted_id", "wanted_hash")
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[bytes] = set()  # wanted rows that this task has found, by digest
         for batch in _small(batches):
-            names, rows, sets = batch.column("class").to_pylist(), [], []
+            rows, sets = [], []
+            wanted_rows = zip(*(batch.column(c).to_pylist() for c in batch.schema.names if c != "text"), strict=True)
+            marks = [hashlib.blake2b(repr(w).encode(), digest_size=16).digest() for w in wanted_rows]
+            fresh = [i for i, m in enumerate(marks) if m not in done]
+            batch, marks = batch.take(pa.array(fresh, pa.int64())), [marks[i] for i in fresh]
+            names = batch.column("class").to_pylist()
             for i, elements in shingle_sets(batch.column("text"), width):
-                if len(elements) and _class(*_digests(elements)) == names[i]:  # ids may repeat
+                if marks[i] not in done and len(elements) and _class(*_digests(elements)) == names[i]:  # hashes may meet
+                    done.add(marks[i])
                     rows.append(i)
                     sets.append(elements.tobytes())
             kept = batch.drop_columns(["text"]).take(pa.array(rows, pa.int64()))
@@ -341,7 +353,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
     hubs = places.select(
         F.col("a").alias("class"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("places") - 1)).alias("place"), F.lit(0).alias("role"),
     )
-    wanted = spread.unionAll(hubs).join(classes.select("class", F.col("best.id").alias("wanted_id")), "class")
+    wanted = spread.unionAll(hubs).join(classes.select("class", F.col("best.id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash")), "class")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, None
@@ -358,7 +370,7 @@ def _verified(docs: DataFrame, pairs: DataFrame, classes: DataFrame, width: int,
                         left.append(h), right.append(name)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["a", "b"])
 
-    sets = _fetched(docs, wanted.select("class", "hub", "place", "role", "wanted_id"), "class binary, hub binary, place int, role int", width)
+    sets = _fetched(docs, wanted.select("class", "hub", "place", "role", "wanted_id", "wanted_hash"), "class binary, hub binary, place int, role int", width)
     return (
         sets.repartition("hub", "place").sortWithinPartitions("hub", "place", "role")
         .select("class", "hub", "role", "set").mapInArrow(compare, "a binary, b binary").distinct()
@@ -379,7 +391,7 @@ def _all_links(docs: DataFrame, classes: DataFrame, roots: DataFrame, width: int
     )
     wanted = grouped.join(chunks, "root").select(
         "class", "root", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int").alias("chunk"), "chunks", F.col("rows").alias("weight"),
-        F.col("best.id").alias("wanted_id"),
+        F.col("best.id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"),
     )
     sets = _fetched(docs, wanted, "class binary, root binary, chunk int, chunks int, weight long", width)
     tiled = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other")).select(
@@ -452,11 +464,13 @@ def _grouped(df: DataFrame, num: int, den: int, width: int, id_column: str, text
     docs = df.select(
         column(id_column).alias("id"), *[column(c).alias(f"c_{i}") for i, c in enumerate(carry)], F.coalesce(column(text_column), F.lit("")).alias("text"),
     )
-    kept = {n: n for n in docs.columns if n != "text"}
+    kept = [n for n in docs.columns if n != "text"]
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
     order: Column = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.xxhash64(*kept).alias("hash"))
-    rows = stage(_sets(docs, width, kept).withColumn("order", order), "sets")
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")
+    rows = stage(_sets(docs, width, {n: n for n in [*kept, "text_hash"]}).withColumns({"order": order, "salt": salt}), "sets")
     classes = stage(
-        rows.where("n > 0").groupBy("class").agg(F.min("order").alias("best"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")),
+        rows.where("n > 0").groupBy("class").agg(F.min("order").alias("best"), F.min_by("text_hash", "order").alias("text_hash"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.count("*").alias("rows")),
         "classes",
     )
     total = rows.agg(F.sum("n")).first()[0] or 0
@@ -503,7 +517,10 @@ def near_copies(
         degrees = _all_links(docs, classes, roots, width, bands, counts=True).groupBy("class").agg(F.sum("n_links").alias("others"))
         own = classes.select("class", (F.col("rows") - 1).alias("copies")).join(degrees, "class", "left")
         answer = answer.join(own.select("class", (F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links")), "class")
-    found = rows.drop("sketch").join(answer, "class", "left").withColumn("winner", F.coalesce("winner", "order"))
+    # A set of very many rows sends each of its parts its answer, so no task reads all of them; rows without words need none.
+    parts = rows.where("n > 0").select("class", "salt").distinct().join(answer, "class")
+    found = rows.where("n > 0").join(parts, ["class", "salt"]).unionByName(rows.where("n = 0"), allowMissingColumns=True)
+    found = found.withColumn("winner", F.coalesce("winner", "order"))
     return found.select(
         F.col("id").alias(id_column), *[F.col(f"c_{i}").alias(c) for i, c in enumerate(carry)], F.col("n").alias("n_shingles"),
         F.col("winner.id").alias("component_id"), (F.col("order") == F.col("winner")).alias("kept"),
