@@ -85,7 +85,7 @@ def test_every_link_is_counted_and_returned(spark, monkeypatch, tile):
 
 def test_rows_without_or_with_one_id_are_fetched_by_their_text(spark):
     docs = [(None if i % 2 else 7, n, t) for n, (i, t) in enumerate(texts(11, 5, 10, (40, 120)))]
-    docs += [(None, 500 + n, t) for n in range(3) for _, _, t in docs[:15]] + [(None, 900 + n, None) for n in range(20)]
+    docs += [(None, 500 + 15 * n + m, t) for n in range(3) for _, m, t in docs[:15]] + [(None, 900 + n, None) for n in range(20)]
     sets = {n: plain.shingles(t, 3) for _, n, t in docs}
     df = spark.createDataFrame(docs, "doc_id long, row long, text string").repartition(5)
     got = {r["row"]: r.n_links for r in near_copies(df, 80, 100, 3, carry=("row",), links=True).collect()}
