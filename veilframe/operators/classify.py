@@ -185,10 +185,14 @@ def classify_columns(columns: DataFrame, alone: bool = False) -> DataFrame:
     )
 
 
-def classification_summary(classified: DataFrame, lists: bool = True) -> DataFrame:
+LIST_NAMES = 1000  # names in one row of a list
+
+
+def classification_summary(classified: DataFrame, lists: bool = True, names: int = LIST_NAMES) -> DataFrame:
     """Columns per rule kind and per key kind with their counts, and the totals.
 
-    `lists` also names the columns of each group; leave it out where the catalog itself is large data.
+    With `lists` the sorted names of each group come too, in chunks (0, 1, ...) of at most `names`: a group has a row per
+    chunk, and no task gathers more than one. Totals list no names.
     """
     groups = F.explode(
         F.filter(
@@ -201,11 +205,18 @@ def classification_summary(classified: DataFrame, lists: bool = True) -> DataFra
     )
     full = F.concat("table", F.lit("."), "column")
     rows = classified.select(groups.alias("group"), full.alias("full"))
-    counts = [F.count(F.lit(1)).alias("n_columns")]
-    if lists:
-        listed = F.when(~F.col("group").startswith("total:"), F.col("full"))
-        counts.append(F.array_join(F.sort_array(F.collect_set(listed)), ", ").alias("columns"))
-    return rows.groupBy("group").agg(*counts)
+    counts = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n_columns"))
+    if not lists:
+        return counts
+    from veilframe.operators.catalog import indexed
+
+    numbered = indexed(rows.where(~F.col("group").startswith("total:")).distinct(), ["group", "full"])
+    starts = numbered.groupBy("group").agg(F.min("idx").alias("first"))
+    placed = numbered.join(starts, "group").withColumn("chunk", F.floor((F.col("idx") - F.col("first")) / names).cast("int"))
+    chunks = placed.groupBy("group", "chunk").agg(F.array_join(F.sort_array(F.collect_list("full")), ", ").alias("columns"))
+    return counts.join(chunks, "group", "left").select(
+        "group", F.coalesce("chunk", F.lit(0)).alias("chunk"), "n_columns", F.coalesce("columns", F.lit("")).alias("columns")
+    )
 
 
 def rules_from_classification(classified: DataFrame, base: RuleSet | None = None) -> RuleSet:

@@ -257,6 +257,19 @@ def classification_summary(spark, sf):
     return classify.classification_summary(classify.classify_columns(_name_catalog(spark, sf)), lists=False)
 
 
+@query(
+    "classification_lists",
+    "WITH g AS (SELECT g, f FROM (SELECT unnest(['rule:' || rule, 'key:' || key_type, 'total:columns', CASE WHEN key_type IS NOT NULL THEN 'total:keys' END]) AS g, "
+    f"\"table\" || '.' || \"column\" AS f FROM {_SUMMARY_CLASSES}) WHERE g IS NOT NULL), n AS (SELECT g, count(*) AS n FROM g GROUP BY g), "
+    "p AS (SELECT g, f, (row_number() OVER (PARTITION BY g ORDER BY f) - 1) // 50 AS chunk FROM (SELECT DISTINCT g, f FROM g WHERE g NOT LIKE 'total:%')), "
+    "c AS (SELECT g, chunk, string_agg(f, ', ' ORDER BY f) AS columns FROM p GROUP BY g, chunk) "
+    "SELECT n.g AS \"group\", CAST(coalesce(chunk, 0) AS INTEGER) AS chunk, n AS n_columns, coalesce(columns, '') AS columns FROM n LEFT JOIN c USING (g)",
+)
+def classification_lists(spark, sf):
+    """The names of each group, fifty to a row."""
+    return classify.classification_summary(classify.classify_columns(_name_catalog(spark, sf)), names=50)
+
+
 @query(
     "sensitive_columns_by_table",
     "SELECT \"table\", count(*) AS n_columns, CAST(max(n_rows) AS BIGINT) AS n_rows FROM (SELECT * FROM (VALUES ('customer', 'c_name', 'SFD')) v(\"table\", \"column\", rule)) "
@@ -384,6 +397,30 @@ def injective_keys(spark, sf):
     return integrity.check_injective(masked, "o_custkey", "masked")
 
 
+@query(
+    "whole_keys_distinct",
+    "SELECT count(DISTINCT l_orderkey * 40009 - 3000000) AS distinct_in, count(DISTINCT l_orderkey * 40009 - 3000000) AS distinct_out FROM lineitem",
+)
+def whole_keys_distinct(spark, sf):
+    """Negative keys, zero and keys beyond an int parent stay apart in a bigint child."""
+    rows = table(spark, sf, "lineitem").select((F.col("l_orderkey") * 40_009 - 3_000_000).alias("before"))
+    masked = mask_table(rows.withColumn("k", F.col("before")), "lineitem", RuleSet(key=KEY, constraint=("lineitem.k",)), "table", {"lineitem.k": "int"})
+    return integrity.check_injective(masked, "before", "k")
+
+
+@query(
+    "decimal_keys_distinct",
+    "SELECT count(DISTINCT v) AS distinct_in, count(DISTINCT v) AS distinct_out FROM "
+    "(SELECT CAST(c_acctbal AS DECIMAL(12,2)) AS v FROM customer UNION ALL SELECT -CAST(c_acctbal AS DECIMAL(12,2)) FROM customer)",
+)
+def decimal_keys_distinct(spark, sf):
+    """Amounts of both signs stay apart."""
+    amount = F.col("c_acctbal").cast("decimal(12,2)")
+    rows = table(spark, sf, "customer").select(F.explode(F.array(amount, (-amount).cast("decimal(12,2)"))).alias("before"))
+    masked = mask_table(rows.withColumn("k", F.col("before")), "customer", RuleSet(key=KEY, constraint=("customer.k",)), "table", {"customer.k": "decimal"})
+    return integrity.check_injective(masked, "before", "k")
+
+
 @query(
     "outside_domain",
     "SELECT o_custkey, count(*) AS n_rows FROM orders WHERE o_custkey < 1 OR o_custkey > 500 GROUP BY 1",

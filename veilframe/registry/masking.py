@@ -161,7 +161,8 @@ def mask_docs_events(spark, sf):
 
 @query(
     "mask_docs_export_events",
-    f"SELECT event_id, '****' AS code, {_FIXED.format(c='event_type')} AS kind0, 'done' AS event_type FROM events",
+    f"SELECT event_id, {_FIXED.format(c='code')} AS code, {_FIXED.format(c='event_type')} AS kind0, 'done' AS event_type FROM "
+    "(SELECT *, CAST(user_id AS VARCHAR) || '-' || event_type AS code FROM events)",
 )
 def mask_docs_export_events(spark, sf):
     """All matching rules in sequence: a later one acts on the result of the earlier."""
@@ -169,7 +170,7 @@ def mask_docs_export_events(spark, sf):
         key=KEY, partial=("events.body.code", "events.items.kind"), masking=("events.body.event_type",),
         defaults={"events.body.event_type": "done"},
     )
-    docs = _event_docs(spark, sf).withColumn("body", F.col("body").withField("code", F.right("body.code", F.lit(3))))
+    docs = _event_docs(spark, sf).withColumn("body", F.col("body").withField("code", F.concat("body.code", F.lit("-"), "body.event_type")))
     out = mask_docs(docs, "events", rules, "doc_export")
     return out.select("event_id", "body.code", F.col("items")[0]["kind"].alias("kind0"), "body.event_type")
 
