@@ -7,6 +7,7 @@ several tables overlap. Each table is recorded in the run ledger; one table fail
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import re
 from collections.abc import Callable, Mapping
 from concurrent.futures import ThreadPoolExecutor
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from veilframe.functions.hashing import subkey
 from veilframe.operators import bundle, classify, generate, integrity, sqldump
 from veilframe.operators.catalog import describe_columns
 from veilframe.operators.keystore import KeyStore
@@ -298,20 +300,32 @@ def classify_tables(spark: SparkSession, tables: Mapping[str, DataFrame]) -> tup
 
 
 def generate_dataset(
-    spark: SparkSession, specs: list[generate.TableSpec], target: str, key: str, ledger: Ledger
+    spark: SparkSession, specs: list[generate.TableSpec], target: str, key: str, ledger: Ledger, restart: bool = False
 ) -> dict[str, DataFrame]:
-    """Generate tables, parents before children, and write them."""
+    """Generate tables, parents before children, and write them.
+
+    With `restart` the ledger's steps carry a fingerprint of the table (its spec, the key and the parents it was made from),
+    and a table whose last entry is COMPLETED under the same one is kept; what was RUNNING, FAILED or made otherwise is made
+    again.
+    """
     by_name = {s.name: s for s in specs}
     keys = [ForeignKey(s.name, (c.name,), c.foreign[0], (c.foreign[1],)) for s in specs for c in s.columns if c.foreign]
     parents: dict[tuple[str, str], tuple[DataFrame, int]] = {}
     out: dict[str, DataFrame] = {}
+    prints: dict[str, str] = {}
+    last = _last_steps(ledger) if restart else {}
     for name in generate.topo_order(by_name, keys):
         spec = by_name[name]
         rows = generate.generate(generate.sequence(spark, spec.rows), spec, key, parents)
-        seen_rows, seen = observe_counts(rows)
-        path = f"{target}/{simple_name(name)}"
-        if not ledger.run(name, lambda d=seen_rows, p=path: d.write.mode("overwrite").parquet(p), seen):
-            continue
+        path, step = f"{target}/{simple_name(name)}", name
+        if restart:
+            made_of = repr((subkey(key, "dataset"), path, spec, sorted(prints.items())))
+            step = f"{name}#{hashlib.sha256(made_of.encode()).hexdigest()[:32]}"
+        if last.get(name) != (step, "COMPLETED"):
+            seen_rows, seen = observe_counts(rows)
+            if not ledger.run(step, lambda d=seen_rows, p=path: d.write.mode("overwrite").parquet(p), seen):
+                continue
+        prints[name] = step
         out[name] = spark.read.schema(rows.schema).parquet(path)
         wanted = {fk.parent_columns[0] for fk in keys if simple_name(fk.parent) == simple_name(name)}
         wanted |= {c.name for c in spec.columns if c.primary}
@@ -319,3 +333,12 @@ def generate_dataset(
             table = generate.indexed_keys(out[name], column)
             parents[(name, column)] = (table, table.count())
     return out
+
+
+def _last_steps(ledger: Ledger) -> dict[str, tuple[str, str]]:
+    """Table -> (step, status) of its newest entry of all runs: one row per generated table."""
+    ledger.append("restart", "COMPLETED", dt.datetime.now(dt.timezone.utc))  # so there is a ledger to read
+    entries = ledger.entries().where(F.col("step").contains("#"))
+    order = F.struct(F.coalesce("ended", "started"), F.col("status") != "RUNNING")
+    newest = entries.groupBy(F.substring_index("step", "#", 1).alias("name")).agg(F.max_by(F.struct("step", "status"), order).alias("s"))
+    return {r.name: (r.s.step, r.s.status) for r in newest.collect()}

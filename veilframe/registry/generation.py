@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilframe.operators import generate, values
+from veilframe.operators import generate, integrity, values
 from veilframe.operators.catalog import row_counts
 from veilframe.operators.generate import GenColumn, TableSpec
+from veilframe.operators.ledger import Ledger
+from veilframe.plans import jobs
 from veilframe.plans.rules import ForeignKey
 from veilframe.registry import sqltext as s
 from veilframe.registry.base import query, table
 from veilframe.registry.sqltext import KEY
+from veilframe.session import fresh_path
 
 
 def _seq(spark, sf, name="customer", column="c_custkey"):
@@ -260,6 +263,32 @@ def generation_report(spark, sf):
     return generate.generation_report(made, {"customer": 2 * n, "supplier": 10})
 
 
+@query(
+    "generated_dataset",
+    "SELECT 'parent' AS \"table\", 1::BIGINT AS n_made, count(*) AS n_rows, 0::BIGINT AS n_orphans FROM customer UNION ALL "
+    "SELECT 'child', 1, 2 * count(*), 0 FROM customer",
+)
+def generated_dataset(spark, sf):
+    """A job that breaks at its second table and is started again: each table is made once, and all keys join."""
+    n = table(spark, sf, "customer").count()
+    target, book = fresh_path(spark, "dataset"), Ledger(spark, fresh_path(spark, "ledger"), "generate")
+    parent = TableSpec("parent", (GenColumn("id", "bigint", primary=True), GenColumn("full_name", size=40)), n)
+    link = GenColumn("parent_id", "bigint", foreign=("parent", "id"))
+    broken = TableSpec("child", (GenColumn("id", "char", 1, primary=True), link), 2 * n)  # a letter cannot number so many
+    child = TableSpec("child", (GenColumn("id", "bigint", primary=True), link), 2 * n)
+    try:
+        jobs.generate_dataset(spark, [parent, broken], target, KEY, book, restart=True)
+        raise AssertionError("the first run should break")
+    except ValueError:
+        made = jobs.generate_dataset(spark, [parent, child], target, KEY, book, restart=True)
+    steps = book.entries().where("status = 'COMPLETED' AND step LIKE '%#%'")
+    times = steps.groupBy(F.substring_index("step", "#", 1).alias("table")).agg(F.count(F.lit(1)).alias("n_made"))
+    orphans = integrity.check_foreign_key(made["child"], ["parent_id"], made["parent"], ["id"]).agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n"))
+    orphans = orphans.select(F.lit("child").alias("table"), F.col("n").alias("n_orphans"))
+    counted = times.join(row_counts(made), "table").join(orphans, "table", "left")
+    return counted.select("table", "n_made", "n_rows", F.coalesce("n_orphans", F.lit(0).cast("long")).alias("n_orphans"))
+
+
 @query(
     "generation_order",
     "SELECT * FROM (VALUES ('region', 1), ('nation', 2), ('customer', 3), ('supplier', 4), ('orders', 5), ('part', 6), ('lineitem', 7)) v(\"table\", pos) "
