@@ -123,10 +123,18 @@ def pack_parts(
     base: str,
     suffix: str = ".jsonl",
     order_by: list[str] | None = None,
+    greedy: bool = False,
 ) -> DataFrame:
-    """Lines to parts, in input order or sorted; a group never holds more than one part's bytes and one line."""
+    """Lines to parts, in input order or sorted; a group never holds more than one part's bytes and one line.
+
+    With `greedy` parts are cut as `rotation.greedy_parts` does: below the limit, but for a single line that is larger.
+    """
     sized = lines.select(line.alias("line"), *[c for c in order_by or [] if c != "line"])
-    parts = assign_parts(sized, F.octet_length("line") + 1, max_bytes, base, order_by)
+    if greedy:
+        from veilframe.operators.rotation import greedy_parts as assign
+    else:
+        assign = assign_parts
+    parts = assign(sized, F.octet_length("line") + 1, max_bytes, base, order_by)
     ordered = F.sort_array(F.collect_list(F.struct("__row", "line")))
     text = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
     return (
@@ -141,11 +149,12 @@ def pack_parts(
 
 
 def export_bundle(
-    tables: Mapping[str, DataFrame], base: str, max_bytes: int | str = DEFAULT_PART_BYTES, key: str | None = None
+    tables: Mapping[str, DataFrame], base: str, max_bytes: int | str = DEFAULT_PART_BYTES, key: str | None = None,
+    greedy: bool = False,
 ) -> DataFrame:
-    """Tables to parts, encrypted when a key is given."""
+    """Tables to parts (`greedy` as in `pack_parts`), encrypted when a key is given."""
     line = F.to_json(F.struct("file", "data"))
-    parts = pack_parts(record_lines(tables), line, max_bytes, base)
+    parts = pack_parts(record_lines(tables), line, max_bytes, base, greedy=greedy)
     return encrypt_parts(parts, key) if key else parts
 
 

@@ -224,7 +224,7 @@ def secure_export(
 ) -> DataFrame:
     """Mask, cut into parts, encrypt and write part files; returns their names and sizes."""
     masked = masked_for_export(kind, tables, rules)
-    parts = bundle.export_bundle(masked, base, max_bytes, key)
+    parts = bundle.export_bundle(masked, base, max_bytes, key, greedy=True)
     return bundle.save_parts(parts, folder, base)
 
 
@@ -242,7 +242,7 @@ def secure_export_tables(
     ddl = sqldump.foreign_key_ddl(keys)
     if ddl:
         text = text.unionByName(spark.createDataFrame([(d,) for d in ddl], "value string"))
-    parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql"), key)
+    parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql", greedy=True), key)
     return bundle.save_parts(parts, folder, base)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.operators import bundle, sqldump
+from veilframe.operators import bundle, rotation, sqldump
 from veilframe.plans import jobs
 from veilframe.plans.rules import RuleSet
 from veilframe.registry.base import query, table, tables
@@ -193,6 +193,23 @@ def assign_parts(spark, sf):
     return bundle.assign_parts(df, "n_chars", _PART_BYTES, "docs", ["doc_id"]).select("doc_id", "part_no", "part_name")
 
 
+@query(
+    "rotated_parts",
+    "WITH RECURSIVE r AS (SELECT doc_id, strlen(text) + 1 AS size, row_number() OVER (ORDER BY doc_id) AS no FROM documents), "
+    "o AS (SELECT doc_id, no, sum(size) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) AS fin, "
+    "sum(size) OVER (ORDER BY no ROWS UNBOUNDED PRECEDING) - size AS start FROM r), "
+    f"n AS (SELECT a.no, greatest(b.no, a.no + 1) AS following FROM o a JOIN o b ON b.fin >= a.start + {_PART_BYTES} AND b.start < a.start + {_PART_BYTES}), "
+    "cuts AS (SELECT CAST(1 AS BIGINT) AS no, 1 AS part_no UNION ALL SELECT n.following, cuts.part_no + 1 FROM cuts JOIN n ON n.no = cuts.no "
+    "WHERE n.following <= (SELECT count(*) FROM r)) "
+    "SELECT o.doc_id, c.part_no, CASE WHEN (SELECT count(*) FROM cuts) > 1 THEN 'docs-part' || CAST(c.part_no AS VARCHAR) ELSE 'docs' END AS part_name "
+    "FROM o JOIN (SELECT no, part_no, lead(no, 1, 9223372036854775807) OVER (ORDER BY no) AS stop FROM cuts) c ON o.no >= c.no AND o.no < c.stop",
+)
+def rotated_parts(spark, sf):
+    """Parts filled greedily: a document that would bring a part to the limit begins the next one."""
+    df = table(spark, sf, "documents").select("doc_id", (F.octet_length("text") + 1).alias("size"))
+    return rotation.greedy_parts(df, "size", _PART_BYTES, "docs", ["doc_id"]).select("doc_id", "part_no", "part_name")
+
+
 @query(
     "part_files",
     "WITH r AS (SELECT doc_id, strlen(text) + 1 AS size FROM documents), "
