@@ -124,37 +124,46 @@ def pack_parts(
     suffix: str = ".jsonl",
     order_by: list[str] | None = None,
     greedy: bool = False,
+    of: str | None = None,
 ) -> DataFrame:
     """Lines to parts, in input order or sorted; a group never holds more than one part's bytes and one line.
 
     With `greedy` parts are cut as `rotation.greedy_parts` does: below the limit, but for a single line that is larger.
+    `of` names the column with each line's table: `contents` then tells the tables of a part and how many lines each has.
     """
-    sized = lines.select(line.alias("line"), *[c for c in order_by or [] if c != "line"])
+    sized = lines.select(line.alias("line"), *[c for c in dict.fromkeys([*(order_by or []), *([of] if of else [])]) if c != "line"])
     if greedy:
         from veilframe.operators.rotation import greedy_parts as assign
     else:
         assign = assign_parts
     parts = assign(sized, F.octet_length("line") + 1, max_bytes, base, order_by)
-    ordered = F.sort_array(F.collect_list(F.struct("__row", "line")))
-    text = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
-    return (
-        parts.groupBy("part_no", "part_name")
-        .agg(text.alias("text"))
-        .select(
-            "part_no",
-            F.concat("part_name", F.lit(suffix)).alias("name"),
-            F.encode(F.concat(F.lit(MAGIC + "\n"), "text"), "utf-8").alias("content"),
+    if of:
+        runs = parts.groupBy("part_no", "part_name", F.col(of).alias("of")).agg(
+            F.collect_list(F.struct("__row", "line")).alias("lines")
         )
+        contents = F.sort_array(F.collect_list(F.struct("of", F.size("lines").cast("long").alias("lines"))))
+        grouped = runs.groupBy("part_no", "part_name").agg(
+            F.sort_array(F.flatten(F.collect_list("lines"))).alias("lines"), contents.alias("contents")
+        )
+    else:
+        ordered = F.sort_array(F.collect_list(F.struct("__row", "line")))
+        grouped = parts.groupBy("part_no", "part_name").agg(ordered.alias("lines"))
+    text = F.array_join(F.transform("lines", lambda r: r["line"]), "\n")
+    return grouped.select(
+        "part_no",
+        F.concat("part_name", F.lit(suffix)).alias("name"),
+        F.encode(F.concat(F.lit(MAGIC + "\n"), text), "utf-8").alias("content"),
+        *(["contents"] if of else []),
     )
 
 
 def export_bundle(
     tables: Mapping[str, DataFrame], base: str, max_bytes: int | str = DEFAULT_PART_BYTES, key: str | None = None,
-    greedy: bool = False,
+    greedy: bool = False, indexed: bool = False,
 ) -> DataFrame:
-    """Tables to parts (`greedy` as in `pack_parts`), encrypted when a key is given."""
+    """Tables to parts (`greedy` as in `pack_parts`), encrypted when a key is given; `indexed` parts know their `contents`."""
     line = F.to_json(F.struct("file", "data"))
-    parts = pack_parts(record_lines(tables), line, max_bytes, base, greedy=greedy)
+    parts = pack_parts(record_lines(tables), line, max_bytes, base, greedy=greedy, of="file" if indexed else None)
     return encrypt_parts(parts, key) if key else parts
 
 
@@ -163,9 +172,14 @@ def _aes_key(key: str | None) -> Column:
 
 
 def encrypt_parts(parts: DataFrame, key: str) -> DataFrame:
-    """AES-256-CBC with a random vector in front; `.enc` is added to the name."""
-    secret = F.aes_encrypt(F.col("content"), _aes_key(key), F.lit("CBC"), F.lit("PKCS"))
-    return parts.withColumns({"content": secret, "name": F.concat("name", F.lit(".enc"))})
+    """AES-256-CBC with a random vector in front; `.enc` is added to the name. `contents` becomes encrypted text."""
+    def secret(value):
+        return F.aes_encrypt(value, _aes_key(key), F.lit("CBC"), F.lit("PKCS"))
+
+    out = {"content": secret(F.col("content")), "name": F.concat("name", F.lit(".enc"))}
+    if "contents" in parts.columns:
+        out["contents"] = F.base64(secret(F.encode(F.concat(F.lit(MAGIC), F.to_json("contents")), "utf-8")))
+    return parts.withColumns(out)
 
 
 def _plain(key: str | None) -> Column:
@@ -242,6 +256,11 @@ def write_part_files(parts: DataFrame, folder: str) -> DataFrame:
     Tasks write the files, under a temporary name first, so a repeated task replaces its own work. A folder without a scheme
     is one of Spark's default file system.
     """
+    return _write_parts(parts, folder).select("name", "length")
+
+
+def _write_parts(parts: DataFrame, folder: str) -> DataFrame:
+    """As `write_part_files`, with the digest of each file and the `contents` of encrypted parts (else null)."""
     folder = CommittedFolder(parts.sparkSession, folder, "parts").folder
     folder = re.sub(r"^file:/(?!/)", "file:///", re.sub("^s3a:", "s3:", folder))
 
@@ -249,7 +268,7 @@ def write_part_files(parts: DataFrame, folder: str) -> DataFrame:
         from pyarrow import fs
 
         for batch in batches:
-            names, sizes = [], []
+            names, sizes, digests = [], [], []
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, root = fs.FileSystem.from_uri(folder)
                 system.create_dir(root, recursive=True)
@@ -258,9 +277,15 @@ def write_part_files(parts: DataFrame, folder: str) -> DataFrame:
                 system.move(f"{root}/_{name}.tmp", f"{root}/{name}")
                 names.append(name)
                 sizes.append(len(content))
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["name", "length"])
-
-    return parts.select("name", "content").mapInArrow(write, "name string, length long")
+                digests.append(hashlib.sha256(content).hexdigest())
+            columns = [pa.array(names, pa.string()), pa.array(sizes, pa.int64()), pa.array(digests, pa.string()), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, ["name", "length", "sha256", "contents"])
+
+    known = dict(parts.dtypes).get("contents") == "string"
+    contents = F.col("contents") if known else F.lit(None).cast("string").alias("contents")
+    return parts.select("name", "content", contents).mapInArrow(
+        write, "name string, length long, sha256 string, contents string"
+    )
 
 
 def part_number(name: Column) -> Column:
@@ -306,21 +331,55 @@ def part_name_pattern(base: str) -> str:
 def save_parts(parts: DataFrame, folder: str, base: str) -> DataFrame:
     """Write the parts of the backup `base` and commit them together; returns `(name, length)`.
 
-    The parts of an earlier backup of that name stay until all new ones are written, and are known from its manifest: other
+    The manifest keeps each part's digest, and its contents (encrypted) where the parts are indexed. The parts of an earlier backup of that name stay until all new ones are written, and are known from its manifest: other
     files of the folder are never removed or replaced.
     """
     out = CommittedFolder(parts.sparkSession, folder, base)
     try:
-        log = stage(write_part_files(parts, out.staging), "export-log")
-        out.commit({n: n for n in out.staged()})
+        log = stage(_write_parts(parts, out.staging), "export-log")
+        about = {r.name: {"sha256": r.sha256, "contents": r.contents} for r in log.toLocalIterator()}
+        out.commit({n: n for n in out.staged()}, about)
     finally:
         out.drop_staging()
-    return log
+    return log.select("name", "length")
+
 
+def part_index(spark: SparkSession, folder: str, key: str, base: str) -> DataFrame:
+    """`(name, file, lines)`: which tables lie in which parts of the backup `base`, from its manifest.
 
-def read_part_files(spark: SparkSession, folder: str, extensions=(".enc", ".jsonl"), base: str | None = None) -> DataFrame:
-    """Part files of a folder as bundle parts: those of the backup `base` (by its manifest, else by name), or all of them."""
-    rows = spark.read.format("binaryFile").load(folder)
+    Parts whose contents the manifest does not hold, or the key does not open, have a null `file`.
+    """
+    entries = CommittedFolder(spark, folder, base).entries()
+    known = spark.createDataFrame([(e["name"], e.get("contents")) for e in entries], "name string, contents string")
+    text = F.decode(F.try_aes_decrypt(F.unbase64("contents"), _aes_key(key), F.lit("CBC"), F.lit("PKCS")), "utf-8")
+    text = F.when(text.startswith(MAGIC), F.substring(text, len(MAGIC) + 1, 2**31 - 1))
+    held = F.explode_outer(F.from_json(text, "array<struct<of: string, lines: long>>"))
+    return known.select("name", held.alias("held")).select("name", F.col("held.of").alias("file"), "held.lines")
+
+
+def check_part_files(spark: SparkSession, folder: str, base: str) -> DataFrame:
+    """`(name, status)` of the parts of the backup `base` by its manifest: OK, ABSENT, DAMAGED or UNKNOWN (no digest kept)."""
+    entries = CommittedFolder(spark, folder, base).entries()
+    known = spark.createDataFrame([(e["name"], e.get("sha256")) for e in entries], "name string, sha256 string")
+    files = spark.read.format("binaryFile").load(folder).select(
+        F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("found")
+    )
+    status = (
+        F.when(F.col("found").isNull(), "ABSENT").when(F.col("sha256").isNull(), "UNKNOWN")
+        .when(F.col("found") == F.col("sha256"), "OK").otherwise("DAMAGED")
+    )
+    return known.join(files, "name", "left").select("name", status.alias("status"))
+
+
+def read_part_files(
+    spark: SparkSession, folder: str, extensions=(".enc", ".jsonl"), base: str | None = None, names: list[str] | None = None
+) -> DataFrame:
+    """Part files of a folder as bundle parts: those of the backup `base` (by its manifest, else by name), or all of them.
+
+    With `names` only these files are opened.
+    """
+    paths = folder if names is None else [f"{folder.rstrip('/')}/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", n) for n in names]
+    rows = spark.read.format("binaryFile").load(paths)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     rows = rows.select(name.alias("name"), "content")
     if base is not None and has_manifest(spark, folder, base):

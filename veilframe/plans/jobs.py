@@ -29,6 +29,7 @@ from veilframe.plans.rules import (
 )
 from veilframe.session import stage
 from veilframe.sources import readers, writers
+from veilframe.sources.committed import has_manifest
 
 PARALLEL_TABLES = 5
 
@@ -224,7 +225,7 @@ def secure_export(
 ) -> DataFrame:
     """Mask, cut into parts, encrypt and write part files; returns their names and sizes."""
     masked = masked_for_export(kind, tables, rules)
-    parts = bundle.export_bundle(masked, base, max_bytes, key, greedy=True)
+    parts = bundle.export_bundle(masked, base, max_bytes, key, greedy=True, indexed=True)
     return bundle.save_parts(parts, folder, base)
 
 
@@ -237,12 +238,12 @@ def secure_export_tables(
     masked, spark, text = masked_for_export("tables", tables, rules), None, None
     for name, df in masked.items():
         spark = df.sparkSession
-        one = sqldump.to_sql_dump(df, name, (primary_keys or {}).get(name, ()))
+        one = sqldump.to_sql_dump(df, name, (primary_keys or {}).get(name, ())).withColumn("table", F.lit(name))
         text = one if text is None else text.unionByName(one)
     ddl = sqldump.foreign_key_ddl(keys)
     if ddl:
-        text = text.unionByName(spark.createDataFrame([(d,) for d in ddl], "value string"))
-    parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql", greedy=True), key)
+        text = text.unionByName(spark.createDataFrame([(d, None) for d in ddl], "value string, table string"))
+    parts = bundle.encrypt_parts(bundle.pack_parts(text, text["value"], max_bytes, base, ".sql", greedy=True, of="table"), key)
     return bundle.save_parts(parts, folder, base)
 
 
@@ -253,21 +254,45 @@ def open_parts(spark: SparkSession, folder: str, key: str, base: str | None = No
     """
     parts = bundle.read_part_files(spark, folder, base=base)
     first = parts.select("part_no", "name").orderBy("part_no", "name").limit(1).head()
-    if first is None or not bundle.validate_key(bundle.read_part_files(spark, f"{folder.rstrip('/')}/{first.name}"), key):
+    if first is None or not bundle.validate_key(bundle.read_part_files(spark, folder, names=[first.name]), key):
         raise ValueError("the key does not open this backup")
     return parts
 
 
+def parts_by_table(
+    spark: SparkSession, folder: str, key: str, tables: list[str], base: str | None = None
+) -> dict[str, DataFrame]:
+    """The parts that each table needs, after the key was checked: those that the manifest of `base` names for it.
+
+    So a part that holds one table is decrypted once, however many tables are restored. Without `base`, or from a backup whose
+    manifest holds no contents, every table needs all parts, as does a table that the manifest does not name. A part that
+    is gone is an error, as is one that does not open.
+    """
+    every = open_parts(spark, folder, key, base)
+    if base is None or not has_manifest(spark, folder, base):
+        return dict.fromkeys(tables, every)
+    held = F.lower("file")
+    wanted = F.col("lines").isNull() | held.isin([n.lower() for n in tables])
+    named: dict[str, set[str]] = {}
+    for r in bundle.part_index(spark, folder, key, base).where(wanted).select("name", "lines", held.alias("held")).collect():
+        if r.lines is None:
+            return dict.fromkeys(tables, every)
+        named.setdefault(r.held, set()).add(r.name)
+    return {
+        n: bundle.read_part_files(spark, folder, names=sorted(named[n.lower()])) if n.lower() in named else every for n in tables
+    }
+
+
 def secure_import(
     spark: SparkSession, folder: str, key: str, schemas: Mapping[str, T.StructType],
     rules: RuleSet | None = None, kind: str = "csv", base: str | None = None,
 ) -> dict[str, DataFrame]:
     """Restore tables of a bundle; a second rule set can mask them on the way in, limited to its targets.
 
-    `base` names the backup where the folder holds several.
+    `base` names the backup where the folder holds several. With it, a table opens only the parts that its manifest names for it.
     """
-    records = bundle.scan_bundle(open_parts(spark, folder, key, base), key)
-    out = {n: bundle.restore_table(records, n, s) for n, s in schemas.items()}
+    parts = parts_by_table(spark, folder, key, list(schemas), base)
+    out = {n: bundle.restore_table(bundle.scan_bundle(parts[n], key), n, s) for n, s in schemas.items()}
     if rules is None:
         return out
     mask = _EXPORT_MASKS[kind]
@@ -281,12 +306,17 @@ def secure_import_tables(
 
     `rejects` of the result holds the statements that gave no rows, such as the key constraints at the end of a backup.
     """
-    parts = bundle.decrypt_parts(open_parts(spark, folder, key, base), key)
-    lines = parts.select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("value"))
-    lines = lines.where(~F.col("value").startswith(bundle.MAGIC))
-    statements = sqldump.parse_inserts(lines)
-    out = sqldump.DumpTables({n: writers.split_rejects(sqldump.table_of(statements, n, s), s) for n, s in schemas.items()})
-    out.rejects = sqldump.unread_statements(lines)
+
+    def lines(parts):
+        opened = bundle.decrypt_parts(parts, key)
+        rows = opened.select(F.explode(F.split(F.decode("content", "utf-8"), "\n")).alias("value"))
+        return rows.where(~F.col("value").startswith(bundle.MAGIC))
+
+    out = sqldump.DumpTables()
+    for name, parts in parts_by_table(spark, folder, key, list(schemas), base).items():
+        statements = sqldump.parse_inserts(lines(parts))
+        out[name] = writers.split_rejects(sqldump.table_of(statements, name, schemas[name]), schemas[name])
+    out.rejects = sqldump.unread_statements(lines(open_parts(spark, folder, key, base)))
     return out
 
 

@@ -363,6 +363,27 @@ def secure_docs_roundtrip(spark, sf):
     return back.select("event_id", "body.kind", F.col("items")[0]["uid"].alias("uid"), "body.note")
 
 
+@query(
+    "restored_tables",
+    "SELECT 'nation' AS file, count(*) AS records, count(*) AS restored, CAST(sum(n_nationkey) AS BIGINT) AS keys FROM nation UNION ALL "
+    "SELECT 'supplier', count(*), count(*), CAST(sum(s_suppkey) AS BIGINT) FROM supplier UNION ALL "
+    "SELECT 'customer', count(*), count(*), CAST(sum(c_custkey) AS BIGINT) FROM customer",
+)
+def restored_tables(spark, sf):
+    """Tables of one backup, each restored from the parts that the manifest names for it."""
+    given = tables(spark, sf, ["nation", "supplier", "customer"])
+    folder = fresh_path(spark, "secure")
+    jobs.secure_export("tables", given, RuleSet(key=KEY), folder, KEY, "all", "20KB")
+    back = jobs.secure_import(spark, folder, KEY, {n: d.schema for n, d in given.items()}, base="all")
+    out = None
+    for name, df in back.items():
+        one = df.agg(F.count(F.lit(1)).alias("restored"), F.sum(F.col(df.columns[0]).cast("long")).alias("keys"))
+        one = one.select(F.lit(name).alias("file"), "restored", "keys")
+        out = one if out is None else out.unionByName(one)
+    records = bundle.part_index(spark, folder, KEY, "all").groupBy("file").agg(F.sum("lines").alias("records"))
+    return records.join(out, "file")
+
+
 @query(
     "backup_key_check",
     "SELECT count(*) AS n_rows, TRUE AS right_key, FALSE AS wrong_key, FALSE AS no_key FROM customer",

@@ -44,6 +44,10 @@ class CommittedFolder:
 
     def names(self) -> list[str]:
         """Names of the files of the last commit, below the folder."""
+        return [entry["name"] for entry in self.entries()]
+
+    def entries(self) -> list[dict]:
+        """The files of the last commit: their names, and what the commit was told about them."""
         if not self.system.exists(self._at(self.manifest)):
             return []
         stream = self.system.open(self._at(self.manifest))
@@ -51,7 +55,7 @@ class CommittedFolder:
             text = bytes(self._utils.readFullyToByteArray(stream)).decode()
         finally:
             stream.close()
-        return [json.loads(line)["name"] for line in text.splitlines()]
+        return [json.loads(line) for line in text.splitlines()]
 
     def staged(self) -> list[str]:
         """Data files below the staging folder, relative to it."""
@@ -71,8 +75,8 @@ class CommittedFolder:
         if not self.system.rename(self._at(source), to):
             raise OSError(f"could not move {source} to {target}")
 
-    def commit(self, moves: Mapping[str, str]) -> None:
-        """Staged files (relative to the staging folder) to their names below the folder.
+    def commit(self, moves: Mapping[str, str], about: Mapping[str, Mapping] | None = None) -> None:
+        """Staged files (relative to the staging folder) to their names below the folder; `about` a name goes into the manifest.
 
         A name that is taken by a file of no earlier commit of `base` is an error, and nothing is changed. An error on the way
         puts everything back.
@@ -97,7 +101,7 @@ class CommittedFolder:
                 list(pool.map(move, ((f"{self.staging}/{s}", f"{self.folder}/{n}") for s, n in moves.items())))
             if self.system.exists(self._at(self.manifest)):
                 move((self.manifest, f"{aside}/_manifest"))
-            self._write(f"{self.staging}/_manifest", "".join(json.dumps({"name": n}) + "\n" for n in sorted(new)))
+            self._write(f"{self.staging}/_manifest", "".join(json.dumps({**(about or {}).get(n, {}), "name": n}) + "\n" for n in sorted(new)))
             move((f"{self.staging}/_manifest", self.manifest))
         except BaseException:
             for source, target in reversed(done):
