@@ -7,14 +7,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from re import _constants as rc
-from re import _parser as rp
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.functions.hashing import digit, int_div, keyed_hash, pick, random_chars
+from veilframe.functions.regextext import read_regex
 
 # ---------------------------------------------------------------- dates
 
@@ -134,76 +133,37 @@ def char_pattern(c: Column, pattern: str, key: str, label: str, seed: Column | N
 
 
 _OPEN_ENDED = 4  # extra repeats tried for + and *
-_CLASS_CHARS = {
-    rc.CATEGORY_DIGIT: "0123456789",
-    rc.CATEGORY_WORD: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_",
-    rc.CATEGORY_SPACE: " ",
-}
 
 
 def text_from_regex(c: Column, regex: str, key: str, label: str, seed: Column | None = None) -> Column:
-    """A text that matches `regex` (literals, classes, groups, alternation, bounded repeats).
+    """A text that matches `regex` (literals, classes, groups, alternation, repeats), by built-in functions alone.
 
-    A regex outside that subset gives `VAL-` and four digits.
+    A regex outside that subset gives `VAL-` and four digits. Where texts must differ, `regextext.unique_text` numbers them.
     """
     try:
-        tree = rp.parse(regex)
-        return _regex_pieces(c, tree, key, f"{label}.re", seed)
-    except (re.error, NotImplementedError):
+        return _regex_piece(c, read_regex(regex), key, f"{label}.re", seed)
+    except ValueError:
         h = keyed_hash(c, key, f"{label}.re", seed)
         return F.concat(F.lit("VAL-"), (digit(h, 8999) + 1000).cast("string"))
 
 
-def _regex_pieces(c, tree, key, label, seed) -> Column:
-    out = [_regex_piece(c, op, arg, key, f"{label}.{i}", seed) for i, (op, arg) in enumerate(tree)]
-    return F.concat(*out) if out else F.lit("")
-
-
-def _regex_piece(c, op, arg, key, label, seed) -> Column:
-    if op is rc.LITERAL:
-        return F.lit(chr(arg))
-    if op is rc.AT:
-        return F.lit("")
-    if op is rc.ANY:
-        return pick(list("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), keyed_hash(c, key, label, seed))
-    if op is rc.IN:
-        return pick(list(_class_chars(arg)), keyed_hash(c, key, label, seed))
-    if op is rc.SUBPATTERN:
-        return _regex_pieces(c, arg[3], key, label, seed)
-    if op is rc.BRANCH:
-        options = [_regex_pieces(c, branch, key, f"{label}.b{i}", seed) for i, branch in enumerate(arg[1])]
+def _regex_piece(c, node, key, label, seed) -> Column:
+    if node[0] == "chars":
+        return F.lit(node[1]) if len(node[1]) == 1 else pick(list(node[1]), keyed_hash(c, key, label, seed))
+    if node[0] == "cat":
+        out = [_regex_piece(c, part, key, f"{label}.{i}", seed) for i, part in enumerate(node[1])]
+        return F.concat(*out) if out else F.lit("")
+    if node[0] == "alt":
+        options = [_regex_piece(c, option, key, f"{label}.b{i}", seed) for i, option in enumerate(node[1])]
         choice = digit(keyed_hash(c, key, f"{label}.choice", seed), len(options)) + 1
         return F.element_at(F.array(*options), choice.cast("int"))
-    if op in (rc.MAX_REPEAT, rc.MIN_REPEAT):
-        low, high, body = arg
-        high = low + _OPEN_ENDED if high is rc.MAXREPEAT else int(high)
-        copies = [_regex_pieces(c, body, key, f"{label}.r{i}", seed) for i in range(high)]
-        if low == high:
-            return F.concat(*copies) if copies else F.lit("")
-        count = digit(keyed_hash(c, key, f"{label}.count", seed), high - low + 1) + low
-        return F.array_join(F.slice(F.array(*copies), F.lit(1), count.cast("int")), "")
-    raise NotImplementedError(str(op))
-
-
-def _class_chars(items) -> str:
-    chars: list[str] = []
-    negated = False
-    for op, arg in items:
-        if op is rc.NEGATE:
-            negated = True
-        elif op is rc.LITERAL:
-            chars.append(chr(arg))
-        elif op is rc.RANGE:
-            chars += [chr(x) for x in range(arg[0], arg[1] + 1)]
-        elif op is rc.CATEGORY and arg in _CLASS_CHARS:
-            chars += _CLASS_CHARS[arg]
-        else:
-            raise NotImplementedError(str(op))
-    if negated:
-        chars = [chr(x) for x in range(33, 127) if chr(x) not in chars]
-    if not chars:
-        raise NotImplementedError("empty class")
-    return "".join(dict.fromkeys(chars))
+    _, low, high, body = node
+    high = low + _OPEN_ENDED if high is None else high
+    copies = [_regex_piece(c, body, key, f"{label}.r{i}", seed) for i in range(high)]
+    if low == high:
+        return F.concat(*copies) if copies else F.lit("")
+    count = digit(keyed_hash(c, key, f"{label}.count", seed), high - low + 1) + low
+    return F.array_join(F.slice(F.array(*copies), F.lit(1), count.cast("int")), "")
 
 
 # ---------------------------------------------------------------- numbers

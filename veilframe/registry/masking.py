@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.functions import formats, fpe, partial, synthetic, tokens
+from veilframe.functions import formats, fpe, partial, regextext, synthetic, tokens
 from veilframe.functions.sql import register_functions
 from veilframe.plans.compiler import mask_table
 from veilframe.plans.nested import mask_array, mask_docs, mask_json
@@ -367,6 +367,20 @@ def cmf_regex(spark, sf):
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").rlike(f"^(?:{regex})$")).alias("n_match"))
 
 
+@query(
+    "unique_texts",
+    "SELECT count(*) AS n_rows, count(*) AS n_match, count(DISTINCT o_orderkey) AS n_texts FROM orders",
+)
+def unique_texts(spark, sf):
+    """A text of its own for every order, by the number of the order among the texts of a pattern."""
+    regex = r"[A-F]{2}(north|south)-\d{3,5}[xyz]?"
+    df = table(spark, sf, "orders").select(regextext.unique_text(F.col("o_orderkey"), regex, KEY).alias("v"))
+    return df.agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("v").rlike(f"^(?:{regex})$")).alias("n_match"),
+        F.countDistinct("v").alias("n_texts"),
+    )
+
+
 @query(
     "cmf_number",
     "SELECT l_orderkey, l_linenumber, CAST(round(abs(p), 1) AS DOUBLE) AS a, CAST(-round(abs(p), 0) AS DOUBLE) AS b, "
