@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from veilframe.plans.compiler import max_length_of
 from veilframe.plans.rules import select_targets
+from veilframe.session import stage
 
 _COLUMN_SCHEMA = "table string, column string, type string, nullable boolean, max_length int, precision int, scale int, pos int"
 
@@ -172,6 +173,29 @@ def json_field_counts(df: DataFrame, column: str) -> DataFrame:
     return keys.groupBy("path").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def json_leaf_counts(df: DataFrame, column: str) -> DataFrame:
+    """`(path, n_values)`: dotted paths of a JSON text column's values at any depth, and how many values each has.
+
+    Arrays are entered without a mark, as by `field_paths`; a JSON null is a value, an empty object or array has none. Unreadable
+    and null texts count nothing. One level is opened at a time, without a shuffle, and counted before the next.
+    """
+    spark, found = df.sparkSession, None
+    level = df.select(F.lit("").alias("path"), F.try_parse_json(column).alias("value")).where("value IS NOT NULL")
+    while True:
+        kind = F.schema_of_variant("value")
+        nested = stage(level.withColumn("nested", kind.startswith("OBJECT") | kind.startswith("ARRAY")), "json-level")
+        counts = nested.where("NOT nested").groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+        found = counts if found is None else found.unionByName(counts)
+        containers = nested.where("nested")
+        if containers.isEmpty():
+            return found.groupBy("path").agg(F.sum("n").alias("n_values"))
+        below = F.when(F.col("key").isNull(), F.col("path")).when(F.col("path") == "", F.col("key"))
+        inner = containers.select("path", F.col("value").alias("container")).lateralJoin(
+            spark.tvf.variant_explode(F.col("container").outer())
+        )
+        level = inner.select(below.otherwise(F.concat_ws(".", "path", "key")).alias("path"), "value")
+
+
 # ---------------------------------------------------------------- profile
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe.operators import catalog, classify, integrity, preview, sqldump
@@ -11,6 +13,8 @@ from veilframe.plans.rules import ForeignKey, RuleSet, select_targets, virtual_r
 from veilframe.registry import sqltext as s
 from veilframe.registry.base import TABLES, query, table, tables
 from veilframe.registry.sqltext import KEY
+from veilframe.session import fresh_path, stage
+from veilframe.sources import writers
 from veilframe.sources.writers import map_type_name
 
 _COUNTS = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", count(*) AS n_rows FROM {t}" for t in TABLES)
@@ -83,6 +87,53 @@ def json_field_paths(spark, sf):
     return catalog.json_field_counts(table(spark, sf, "events"), "props")
 
 
+@query(
+    "json_leaf_paths",
+    "SELECT 'event.kind' AS path, count(*) AS n_values FROM events UNION ALL SELECT 'event.id', count(*) FROM events UNION ALL "
+    "SELECT 'items.uid', CAST(sum(event_id % 3) AS BIGINT) FROM events UNION ALL "
+    "SELECT 'items.tags', CAST(sum(2 * (event_id % 3)) AS BIGINT) FROM events",
+)
+def json_leaf_paths(spark, sf):
+    """Values below objects and arrays at any depth, counted by path."""
+    item = F.struct(F.col("user_id").alias("uid"), F.array(F.lit("a"), F.col("event_type")).alias("tags"))
+    doc = F.struct(
+        F.struct(F.col("event_type").alias("kind"), F.col("event_id").alias("id")).alias("event"),
+        F.array_repeat(item, (F.col("event_id") % 3).cast("int")).alias("items"),
+    )
+    return catalog.json_leaf_counts(table(spark, sf, "events").select(F.to_json(doc).alias("doc")), "doc")
+
+
+@query(
+    "discovered_tables",
+    "SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders",
+)
+def discovered_tables(spark, sf):
+    """Tables of a database of the session's catalog, without the job runner's, and their rows."""
+    database = f"veilframe_{uuid.uuid4().hex}"
+    spark.sql(f"CREATE DATABASE {database} LOCATION '{fresh_path(spark, 'database')}'")
+    try:
+        for name, source in (("customer", "customer"), ("orders", "orders"), ("BATCH_step", "orders")):
+            spark.sql(f"CREATE VIEW {database}.{name} AS SELECT * FROM parquet.`{sf}/{source}.parquet`")
+        names = catalog.discover_tables(spark, database=database)
+        out = None
+        for name in names:
+            one = spark.table(f"{database}.{name}").agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+            out = one if out is None else out.unionByName(one)
+        return stage(out, "tables")
+    finally:
+        spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+@query("prepared_table", "SELECT c_custkey, c_name FROM customer")
+def prepared_table(spark, sf):
+    """A target that is dropped and created again with the schema before it is loaded."""
+    df, path = table(spark, sf, "customer").select("c_custkey", "c_name"), fresh_path(spark, "prepared")
+    df.select(F.lit("old").alias("other")).write.parquet(path)
+    writers.prepare_table(spark, df.schema, path)
+    df.write.mode("append").parquet(path)
+    return spark.read.parquet(path)
+
+
 @query(
     "document_field_paths",
     "SELECT p AS path, n FROM (SELECT unnest(['event', 'event.kind', 'event.props', 'event.props.k', 'items', 'items[].uid']) AS p), "
