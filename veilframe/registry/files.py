@@ -51,6 +51,19 @@ def csv_roundtrip_conversations(spark, sf):
     return readers.scan_csv(spark, path, multiline=True).withColumn("text", F.md5("text"))
 
 
+@query(
+    "csv_carriage_returns",
+    "SELECT CAST(conv_id AS VARCHAR) AS conv_id, CAST(turn AS VARCHAR) AS turn, "
+    "md5('<' || replace(coalesce(text, ''), ' ', chr(13)) || chr(13) || chr(10) || '>') AS text FROM conversations",
+)
+def csv_carriage_returns(spark, sf):
+    """Whole texts with carriage returns, alone and before line breaks, come back as they were."""
+    path, text = fresh_path(spark, "csv"), F.replace(F.coalesce("text", F.lit("")), F.lit(" "), F.lit("\r"))
+    df = table(spark, sf, "conversations").select("conv_id", "turn", F.concat(F.lit("<"), text, F.lit("\r\n>")).alias("text"))
+    writers.write_csv(df, path)
+    return readers.scan_csv(spark, path, multiline=True).withColumn("text", F.md5("text"))
+
+
 @query(
     "csv_row_count",
     "SELECT count(*) AS n_rows FROM supplier",
