@@ -238,6 +238,16 @@ def test_generated_keys_are_distinct(spark, tmp_path, n):
     assert counts == dict.fromkeys(made.columns, n)
 
 
+def test_date_keys_go_on_before_the_year_one(spark):
+    n, day = 900_000, GenColumn("g", "date")
+    rows = spark.range(1, n + 1).select(F.col("id").alias("seq"))
+    made = rows.select("seq", generate.gen_key(F.col("seq"), day, n).alias("g"))
+    one = made.agg(F.countDistinct("g").alias("keys"), F.count_if(F.datediff(F.lit("2025-01-01"), F.col("g")) == F.col("seq")).alias("right"), F.min("g").cast("string").alias("first")).head()
+    assert (one.keys, one.right, one.first) == (n, n, "-0440-11-20")
+    with pytest.raises(ValueError):
+        generate.gen_key(F.lit(1), day, 2**31)
+
+
 def test_int_key_is_the_same_at_every_size(spark):
     one = spark.range(1).select(*[generate.gen_key(F.lit(7), GenColumn("k", "int"), n).alias(f"k{n}") for n in (10, 1_000_000, 1_000_001)]).head()
     assert len(set(one)) == 1
