@@ -86,3 +86,52 @@ def test_one_file_per_record(spark, tmp_path):
     assert (tmp_path / "r" / "notes_1.json").read_text() == '{"id":1,"text":"x\\ny"}\n' and (tmp_path / "r" / "notes_2.json").read_text() == '{"id":2,"text":null}\n'
     with pytest.raises(ValueError, match="name"):
         writers.save_one_per_record(df, str(tmp_path / "r"), F.lit("a"), "a/b")
+
+
+def test_very_many_records(spark, tmp_path, monkeypatch):
+    folder, moved = str(tmp_path / "r"), []
+    monkeypatch.setattr(CommittedFolder, "_move", lambda self, *pair, f=CommittedFolder._move: moved.append(pair) or f(self, *pair))
+
+    def save(first, end):
+        df = spark.range(first, end).select("id", F.lit(end).alias("end"))
+        return writers.save_one_per_record(df, folder, F.concat(F.when(F.col("id") % 2 == 0, "a b/").otherwise(""), F.col("id").cast("string")))
+
+    def held():
+        return {n: (tmp_path / "r" / n).read_text() for n in tree(folder) if n != "_records.manifest"}
+
+    def wanted(first, end):
+        return {f"{'' if i % 2 else 'a b/'}{i}": f'{{"id":{i},"end":{end}}}\n' for i in range(first, end)}
+
+    assert save(0, 1500) == sorted(wanted(0, 1500)) and held() == wanted(0, 1500)
+    assert save(700, 2000) == sorted(wanted(700, 2000)) and held() == wanted(700, 2000)
+    assert len(moved) < 10  # tasks move the files
+    (tmp_path / "r" / "2001").write_text("mine")
+    with pytest.raises(FileExistsError, match="such as 2001"):
+        save(600, 2003)
+    out = CommittedFolder(spark, folder, "records")
+    out.make_staging()
+    (tmp_path / "r" / os.path.basename(out.staging) / "x").write_text("new")
+    with pytest.raises(OSError, match="could not move"):
+        out.commit({"x": "701", "absent": "702"})
+    out.drop_staging()
+    assert held() == {**wanted(700, 2000), "2001": "mine"}
+
+
+def test_checksums_go_with_their_files(spark, tmp_path, monkeypatch):
+    from veilframe.sources import committed
+
+    folder, df = str(tmp_path / "t"), spark.range(40).coalesce(1)
+    rows = df.select("id", F.concat(F.lit("f"), F.col("id")).alias("rel"))
+    writers.save_mirrored(rows, folder)
+    monkeypatch.setattr(committed, "BY_TASKS", 1)
+    writers.save_mirrored(rows.withColumn("id", F.col("id") + 100), folder)
+    assert sorted(r.id for r in spark.read.csv([f"{folder}/f{i}" for i in range(40)], header=True, schema="id long").collect()) == list(range(100, 140))
+    text = rows.select(F.col("id").cast("string").alias("value"), F.col("rel").alias(committed.NAME))
+    committed.save_lines(text, folder, "mirror")
+    assert sorted(int(r.value) for r in spark.read.text([f"{folder}/f{i}" for i in range(40)]).collect()) == list(range(40))
+
+
+def test_records_of_one_name_or_none(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "a"), (3, None), (4, "")], "id int, name string").repartition(4)
+    assert writers.save_one_per_record(df.select("id", "name"), str(tmp_path / "r"), F.col("name")) == ["__HIVE_DEFAULT_PARTITION__", "a"]
+    assert sorted((tmp_path / "r" / "a").read_text().splitlines()) == ['{"id":1,"name":"a"}', '{"id":2,"name":"a"}']

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilframe.plans.compiler import max_length_of
-from veilframe.sources.committed import NAME, plain_json, save_named
+from veilframe.sources.committed import NAME, plain_json, save_lines, save_named
 
 # SQL type name -> type in the created table; names not listed pass through.
 TYPE_MAP = {
@@ -148,7 +148,7 @@ def write_one_per_record(df: DataFrame, path: str) -> None:
 def save_one_per_record(df: DataFrame, folder: str, name: Column, base: str = "records") -> list[str]:
     """One JSON file per record, called by `name` (see `record_name`), all put in place by one commit. Names must differ."""
     rows = df.select(plain_json(df).alias("value"), name.alias(NAME))
-    return save_named(rows, folder, base, lambda writer, path: writer.text(path))
+    return save_lines(rows, folder, base)
 
 
 def split_rejects(df: DataFrame, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
