@@ -63,3 +63,26 @@ def test_whole_run(spark):
     rows = cp.run(spark, SMALL)
     assert rows.columns == ["doc_id", "lang", "source", "n_chars", "n_tokens", "tokens", "roundtrip"]
     assert rows.where("not roundtrip").count() == 0 < rows.count() < spark.read.parquet(f"{SMALL}/documents.parquet").count()
+
+
+def test_a_worker_lets_go_of_what_the_last_operator_kept():
+    import gc
+    import weakref
+
+    from veilframe.llm.common import Memory, kept
+
+    class Owner:
+        def __init__(self):
+            self.words = Memory(self.find, 10, 10)  # points back at its owner
+
+        def find(self, key):
+            return key
+
+    gc.disable()
+    try:
+        held = weakref.ref(kept(("first", 1), Owner))
+        assert held() and kept(("first", 1), Owner) is held()
+        kept(("second", 1), dict)
+        assert held() is None
+    finally:
+        gc.enable()

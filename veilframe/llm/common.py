@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Callable, Iterable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -93,14 +96,31 @@ def kept(key: tuple, make: Callable[[], Any], family: str = "", most: int = 24)
 
     Functions are sent to executors by value with their globals, so what a worker should keep from task to task
     lives in a module of its own. At most `most` things are kept, and only those of one `family` (default: the first
-    part of the key): a worker that goes on to another operator lets go of what the last one needed.
+    part of the key): a worker that goes on to another operator lets go of what the last one needed, and gives it back to
+    the system.
     """
     family = family or key[0]
     home = sys.modules.setdefault("veilframe_worker_store", types.ModuleType("veilframe_worker_store"))
     store = home.__dict__.setdefault("items", {})
     if key not in store:
         if len(store) >= most or home.__dict__.get("family") != family:
-            store.clear()
+            if store:
+                store.clear()
+                _give_back()
             home.__dict__["family"] = family
         store[key] = make()
     return store[key]
+
+
+def _give_back() -> None:
+    """Memory that nothing uses returns to the system, for the executor's other processes.
+
+    Memories of words point at their owners and these at them, so only a collection finds them, and numpy code makes too few
+    objects for one to come by itself.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass

@@ -13,7 +13,7 @@ import pyarrow as pa
 
 from veilframe.llm.common import kept
 
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18  # some fifty bytes of arrays for each, powers included
 _U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
